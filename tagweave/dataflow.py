@@ -88,6 +88,12 @@ def global_rank(df: DataFrame, order: Sequence[Column], col: str = "pos") -> Dat
     return rank_within(df, [], order, col)
 
 
+def _partitions(spark: SparkSession) -> int:
+    return max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+
+
 def _heavy(df: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
     """Keys with more than ``block_rows`` rows. At most rows/block_rows of them
     exist, which bounds what the callers broadcast."""
@@ -130,9 +136,13 @@ def pair_join(
             .drop("_blocks")
         )
 
-    lhs = dealt(left, left_id, "_lb", "_rb")
-    rhs = dealt(right, right_id, "_rb", "_lb")
-    return lhs.join(rhs, [*keys, "_lb", "_rb"]).drop("_lb", "_rb")
+    # such joins emit far more than they read, so a fixed partition count keeps the
+    # runtime from merging partitions by their small input size
+    on = [*keys, "_lb", "_rb"]
+    n = _partitions(left.sparkSession)
+    lhs = dealt(left, left_id, "_lb", "_rb").repartition(n, *on)
+    rhs = dealt(right, right_id, "_rb", "_lb").repartition(n, *on)
+    return lhs.join(rhs, on).drop("_lb", "_rb")
 
 
 def lookup_join(

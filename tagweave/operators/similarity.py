@@ -1,9 +1,9 @@
 """Exact set-similarity join over company tags, for a minimum Jaccard score.
 
 All pairs of a popular tag are never compared. Companies with the same tags
-collapse to one signature, and two signatures meet only on a tag among the rarest
-few of each: with n tags and threshold t, sets that reach t must share one of the
-n - ceil(t*n) + 1 rarest tags. Only pairs that reach t are expanded to companies.
+collapse to one signature, and two signatures meet only on a tag among the first few
+of each, rare subsectors first: with n tags and threshold t, sets that reach t must
+share one of the first n - ceil(t*n) + 1. Only pairs that reach t become companies.
 """
 
 from __future__ import annotations
@@ -31,20 +31,42 @@ def tag_signatures(companies: DataFrame) -> DataFrame:
 
 
 def _prefixed(signatures: DataFrame, threshold: float) -> DataFrame:
-    """Signatures with their rarest tags first and the length of the join prefix."""
-    exploded = signatures.select("sig", F.explode("all_tags").alias("tag"))
-    seen = exploded.groupBy("tag").agg(F.count(F.lit(1)).alias("uses"))
+    """Signatures with the part of their join prefix that consists of subsectors.
+
+    Tags are ordered with subsectors first, then by rarity. A pair shares a subsector,
+    so the first tag it shares in this order is one, and lies in both prefixes.
+    """
+    seen = (
+        signatures.select(
+            F.explode(
+                F.concat(
+                    F.transform("sectors", lambda t: F.struct(t.alias("tag"), F.lit(0).alias("sub"))),
+                    F.transform("subsectors", lambda t: F.struct(t.alias("tag"), F.lit(1).alias("sub"))),
+                )
+            ).alias("x")
+        )
+        .groupBy("x.tag")
+        .agg(F.max("x.sub").alias("sub"), F.count(F.lit(1)).alias("uses"))
+    )
     # a signature has few tags, so the collected arrays are short
     ranked = (
-        exploded.join(seen, "tag")
+        signatures.select("sig", F.explode("all_tags").alias("tag"))
+        .join(seen, "tag")
         .groupBy("sig")
-        .agg(F.array_sort(F.collect_list(F.struct("uses", "tag"))).alias("ranked"))
+        .agg(
+            F.array_sort(
+                F.collect_list(F.struct((-F.col("sub")).alias("kind"), "uses", "tag"))
+            ).alias("ranked")
+        )
     )
     n = F.size("ranked")
     length = n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
-    return signatures.join(ranked, "sig").withColumn(
-        "prefix", F.slice(F.transform("ranked", lambda r: r["tag"]), F.lit(1), length)
-    ).drop("ranked")
+    prefix = F.filter(F.slice("ranked", F.lit(1), length), lambda r: r["kind"] == -1)
+    return (
+        signatures.join(ranked, "sig")
+        .withColumn("prefix", F.transform(prefix, lambda r: r["tag"]))
+        .drop("ranked")
+    )
 
 
 def similar_signatures(
@@ -52,25 +74,29 @@ def similar_signatures(
 ) -> DataFrame:
     """Unordered pairs (sig_a <= sig_b) of signatures that overlap in sectors and
     subsectors and reach the score; a signature pairs with itself too."""
-    sets = _prefixed(
-        signatures.withColumn("all_tags", F.array_union("sectors", "subsectors")), threshold
+    sets = durable(
+        _prefixed(
+            signatures.withColumn("all_tags", F.array_union("sectors", "subsectors")), threshold
+        ).withColumn("n_tags", F.size("all_tags")),
+        "prefixes",
     )
 
     def side(suffix: str) -> DataFrame:
-        cols = ("sig", "sectors", "subsectors", "sub_subsectors", "all_tags", "prefix")
+        cols = ("sig", "sectors", "subsectors", "sub_subsectors", "all_tags", "n_tags", "prefix")
         return sets.select(
             *[F.col(c).alias(f"{c}{suffix}") for c in cols],
-            F.explode("prefix").alias("tag"),
-        )
+            F.explode("sectors").alias("sector_key"),
+        ).withColumn("tag", F.explode(f"prefix{suffix}"))
 
-    size_a, size_b = F.size("all_tags_a"), F.size("all_tags_b")
     reach = F.lit(threshold - 1e-9)
-    met = pair_join(side("_a"), side("_b"), ["tag"], ["sig_a"], ["sig_b"], block_rows).filter(
+    keys = ["sector_key", "tag"]
+    met = pair_join(side("_a"), side("_b"), keys, ["sig_a"], ["sig_b"], block_rows).filter(
         (F.col("sig_a") <= F.col("sig_b"))
-        & (size_a >= size_b * reach)
-        & (size_b >= size_a * reach)
+        & (F.col("n_tags_a") >= F.col("n_tags_b") * reach)
+        & (F.col("n_tags_b") >= F.col("n_tags_a") * reach)
+        # each pair at its first shared sector and first shared tag only
+        & (F.array_min(F.array_intersect("sectors_a", "sectors_b")) == F.col("sector_key"))
         & (F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("tag"))
-        & overlap("sectors_a", "sectors_b")
         & overlap("subsectors_a", "subsectors_b")
     )
     if lenient:
