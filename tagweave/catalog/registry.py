@@ -308,4 +308,7 @@ def with_tables(sql: str) -> str:
     parts = [f"{n} as materialized ({TABLES[n].strip()})" for n in TABLES if n in needed]
     if not parts:
         return sql.strip()
-    return "with " + ",\n".join(parts) + "\n" + sql.strip()
+    own = sql.strip()
+    # the statement's own named parts follow the tables
+    glue = ",\n" + own[len("with ") :] if own.startswith("with ") else "\n" + own
+    return "with " + ",\n".join(parts) + glue
