@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("pairs",)
+_MODULES = ("pairs", "tagging", "content")
 
 
 def load() -> tuple[dict, dict]:

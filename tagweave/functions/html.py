@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.constants import (
@@ -42,12 +42,18 @@ def attribute(tag: Column, name: str) -> Column:
     return F.regexp_extract(tag, rf"""(?i)(?<![\w:-]){name}=["']([^"']*)["']""", 1)
 
 
+def _first_resolved(refs: Column, base: Column | str) -> Column:
+    """First of some references, absolute. The lambda names it, so the long
+    expression behind it is evaluated once."""
+    base = _c(base)
+    return F.get(F.transform(F.slice(refs, 1, 1), lambda r: resolve_url(base, r)), F.lit(0))
+
+
 def profile_link(html: Column | str, base: Column | str) -> Column:
     """First company-profile link on the page, absolute; null if none."""
     hrefs = F.transform(all_tags(html, "<a[^>]+>"), lambda t: attribute(t, "href"))
     hits = F.filter(hrefs, lambda h: F.lower(h).contains("linkedin.com/company/"))
-    first = F.get(hits, F.lit(0))
-    return F.when(first.isNotNull(), resolve_url(base, first))
+    return _first_resolved(hits, base)
 
 
 def _icon_links(html: Column | str) -> Column:
@@ -64,8 +70,7 @@ def favicon_link(html: Column | str, base: Column | str) -> Column:
     """Touch icon if there is one, else the first icon link; null if none."""
     icons = _icon_links(html)
     touch = F.filter(icons, lambda x: x["rel"].contains("apple-touch-icon"))
-    href = F.coalesce(F.get(touch, F.lit(0))["href"], F.get(icons, F.lit(0))["href"])
-    return F.when(href.isNotNull(), resolve_url(base, href))
+    return _first_resolved(F.transform(F.concat(touch, icons), lambda x: x["href"]), base)
 
 
 def logo_candidates(
@@ -131,9 +136,9 @@ def lines_of(text: Column | str) -> Column:
     return F.filter(stripped, lambda s: s != "")
 
 
-def noise_ratio(text: Column | str, short: int = SHORT_LINE_CHARS) -> Column:
+def noise_ratio(lines: Column | str, short: int = SHORT_LINE_CHARS) -> Column:
     """Share of short lines among the non-blank ones; 0 when there are none."""
-    lines = lines_of(text)
+    lines = _c(lines)
     few = F.size(F.filter(lines, lambda s: F.length(s) < short))
     return F.when(F.size(lines) == 0, F.lit(0.0)).otherwise(few.cast("double") / F.size(lines))
 
@@ -144,14 +149,23 @@ def blocking_phrase(text: Column | str, phrases: Iterable[str] = BLOCKING_PHRASE
     return F.coalesce(*[F.when(lowered.contains(p), F.lit(p)) for p in phrases])
 
 
+def with_text_facts(df: DataFrame, text: str) -> DataFrame:
+    """Adds what the gates below need (lines, noise, phrase), each computed once: a
+    projection of its own keeps the optimizer from repeating the text work."""
+    lined = df.withColumn("lines", lines_of(text)).withColumn("phrase", blocking_phrase(text))
+    return lined.withColumn("noise", noise_ratio("lines")).withColumn(
+        "n_lines", F.size("lines")
+    ).drop("lines")
+
+
 def light_gate(text: Column | str) -> Column:
-    """Why a light fetch is refused, or 'accepted'."""
+    """Why a light fetch is refused, or 'accepted'. Needs :func:`with_text_facts`."""
     text = F.coalesce(_c(text), F.lit(""))
     return (
         F.when(F.length(text) < MIN_LIGHT_CHARS, "too_short")
         .when(text.rlike(TEMPLATE_MARK), "template_syntax")
-        .when(blocking_phrase(text).isNotNull(), "blocking_page")
-        .when(noise_ratio(text) > MAX_NOISE_RATIO, "noise")
+        .when(F.col("phrase").isNotNull(), "blocking_page")
+        .when(F.col("noise") > MAX_NOISE_RATIO, "noise")
         .otherwise("accepted")
     )
 
@@ -165,38 +179,33 @@ def prefixed_text(text: Column | str, link: Column | str, limit: int = MAX_TEXT_
     return F.left(full, F.lit(limit))
 
 
-def characterize(text: Column | str) -> Column:
-    """Diagnosis {verdict, notes} of an extracted text."""
-    text = F.coalesce(_c(text), F.lit(""))
-    size = F.length(text).cast("string")
-    phrase, noise = blocking_phrase(text), noise_ratio(text)
+def verdict_of(text: Column | str) -> Column:
+    """Diagnosis label of a text. Needs :func:`with_text_facts`."""
+    return (
+        F.when(F.col("phrase").isNotNull(), "blocking_page")
+        .when(F.length(_c(text)) < MIN_CONTENT_CHARS, "incomplete_content")
+        .when(F.col("noise") > MAX_NOISE_RATIO, "content_drowned_in_noise")
+        .otherwise("ok")
+    )
 
-    def finding(verdict: str, *notes: Column) -> Column:
-        return F.struct(F.lit(verdict).alias("verdict"), F.concat(*notes).alias("notes"))
 
+def notes_on(verdict: Column | str, text: Column | str) -> Column:
+    """What led to the diagnosis, in words. Needs :func:`with_text_facts`."""
+    verdict, size = _c(verdict), F.length(_c(text))
     return (
         F.when(
-            phrase.isNotNull(),
-            finding(
-                "blocking_page",
-                F.lit("matched trigger phrase: '"), phrase, F.lit("' (length="), size, F.lit(")"),
-            ),
+            verdict == "blocking_page",
+            F.format_string("matched trigger phrase: '%s' (length=%d)", F.col("phrase"), size),
         )
         .when(
-            F.length(text) < MIN_CONTENT_CHARS,
-            finding(
-                "incomplete_content",
-                F.lit("markdown length="), size, F.lit(f" < {MIN_CONTENT_CHARS}"),
-            ),
+            verdict == "incomplete_content",
+            F.format_string(f"markdown length=%d < {MIN_CONTENT_CHARS}", size),
         )
         .when(
-            noise > MAX_NOISE_RATIO,
-            finding(
-                "content_drowned_in_noise",
-                F.format_string("noise_ratio=%.2f", noise),
-                F.lit(" over "), F.size(lines_of(text)).cast("string"),
-                F.lit(" lines (length="), size, F.lit(")"),
+            verdict == "content_drowned_in_noise",
+            F.format_string(
+                "noise_ratio=%.2f over %d lines (length=%d)", F.col("noise"), F.col("n_lines"), size
             ),
         )
-        .otherwise(finding("ok", F.lit("length="), size))
+        .otherwise(F.format_string("length=%d", size))
     )

@@ -16,16 +16,21 @@ def _c(col: Column | str) -> Column:
 
 def normalize_domain(url: Column | str) -> Column:
     """Lower-case host without userinfo, port, brackets, one leading ``www.`` and
-    trailing dots; '' where there is none. A scheme is only one at the start."""
-    u = F.regexp_replace(F.coalesce(_c(url), F.lit("")), r"^\s+|\s+$", "")
-    rest = F.when(u.rlike(_SCHEME + "//"), F.regexp_replace(u, _SCHEME + "//", "")).otherwise(
-        F.regexp_replace(u, "^//", "")
-    )
-    authority = F.regexp_extract(rest, r"^([^/?#]*)", 1)
-    host = F.regexp_replace(authority, r"^.*@", "")
-    host = F.when(host.contains("["), F.regexp_extract(host, r"\[([^\]]*)", 1)).otherwise(
-        F.regexp_extract(host, r"^([^:]*)", 1)
+    trailing dots; '' where there is none. A scheme is only one at the start.
+
+    One chain of replacements that names its input once, so it stays small wherever
+    the optimizer copies it.
+    """
+    steps = (
+        (r"^\s+|\s+$", ""),
+        (r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//", ""),  # scheme or bare slashes
+        (r"[/?#][\s\S]*$", ""),  # path, query, fragment
+        (r"^.*@", ""),  # userinfo
+        (r"^(?:[^\[]*\[([^\]]*).*|([^:\[]*):.*)$", "$1$2"),  # brackets or port
     )
+    host = F.coalesce(_c(url), F.lit(""))
+    for pattern, value in steps:
+        host = F.regexp_replace(host, pattern, value)
     return F.regexp_replace(F.regexp_replace(F.lower(host), r"^www\.", ""), r"\.+$", "")
 
 

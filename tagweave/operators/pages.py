@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from tagweave.constants import DIAGNOSIS_STREAK
 from tagweave.dataflow import durable, global_rank, seeded
 from tagweave.functions.html import (
-    characterize,
     favicon_link,
     light_gate,
     logo_candidates,
+    notes_on,
     page_text,
     prefixed_text,
     profile_link,
+    verdict_of,
+    with_text_facts,
 )
 from tagweave.functions.urls import normalize_domain
 from tagweave.operators.reviews import stability_cut
@@ -30,8 +32,8 @@ def page_facts(pages: DataFrame) -> DataFrame:
             "favicon": favicon_link("html", "url"),
             "logos": logo_candidates("html", "url"),
         }
-    )
-    return texts.select(
+    ).drop("html")
+    return with_text_facts(texts, "body").select(
         "page_id",
         "url",
         "domain",
@@ -43,14 +45,19 @@ def page_facts(pages: DataFrame) -> DataFrame:
     )
 
 
+def characterized(pages: DataFrame) -> DataFrame:
+    """Adds ``verdict`` and ``notes`` on each page's text, in place of its html."""
+    texts = with_text_facts(pages.withColumn("body", page_text("html")).drop("html"), "body")
+    judged = texts.withColumn("verdict", verdict_of("body"))
+    return judged.withColumn("notes", notes_on("verdict", "body")).drop(
+        "body", "phrase", "noise", "n_lines"
+    )
+
+
 def page_diagnoses(pages: DataFrame) -> DataFrame:
-    found = pages.select(
-        "page_id",
-        "url",
-        normalize_domain("url").alias("domain"),
-        characterize(page_text("html")).alias("_d"),
+    return characterized(pages.withColumn("domain", normalize_domain("url"))).select(
+        "page_id", "url", "domain", "verdict", "notes"
     )
-    return found.select("page_id", "url", "domain", "_d.verdict", "_d.notes")
 
 
 def diagnose(
@@ -76,9 +83,7 @@ def diagnose(
         .select("_first.*")
     )
     texts = placed.join(firsts, ["_key", "page_id"])
-    found = texts.select(
-        "page_id", "domain", "_key", characterize(page_text("html")).alias("_d")
-    ).select("page_id", "domain", "_key", "_d.verdict", "_d.notes")
+    found = characterized(texts).select("page_id", "domain", "_key", "verdict", "notes")
     ranked = durable(
         global_rank(found, [F.col("_key"), F.col("page_id")]), "diagnosed"
     )

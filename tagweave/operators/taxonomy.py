@@ -22,6 +22,7 @@ from tagweave.constants import (
     REDIRECT_SUBSECTORS,
     UNCATEGORIZED,
 )
+from tagweave.dataflow import durable
 from tagweave.functions.tags import (
     default_uncategorized,
     demote_generic,
@@ -256,7 +257,11 @@ def classify(
     prediction: DataFrame, taxonomy: DataFrame, rules: TagRules = TagRules()
 ) -> DataFrame:
     """Final tags per company: (id, sectors, subsectors, sub_subsectors, confidence,
-    subsector_confidences)."""
+    subsector_confidences).
+
+    The result is written: a filter on it, pushed down through the rules, would
+    repeat all of them many times over in one expression.
+    """
     df = pruned(proposals(prediction, taxonomy, rules), rules)
     details = (
         sub_subsector_gate(prediction, taxonomy)
@@ -308,7 +313,7 @@ def classify(
     df = df.withColumn("pairs", pairs).withColumn(
         "found", F.when(F.col("details").isNotNull(), found)
     )
-    return df.select(
+    final = df.select(
         "id",
         F.col("final_sectors").alias("sectors"),
         default_uncategorized("subsectors").alias("subsectors"),
@@ -318,6 +323,7 @@ def classify(
         "confidence",
         confidences.alias("subsector_confidences"),
     )
+    return durable(final, "classified")
 
 
 def without_transient(df: DataFrame, transient: Iterable[str] = ("confidence",)) -> DataFrame:
