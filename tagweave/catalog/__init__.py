@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("pairs", "tagging", "content")
+_MODULES = ("pairs", "tagging", "content", "graphs", "streams")
 
 
 def load() -> tuple[dict, dict]:

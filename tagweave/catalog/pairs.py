@@ -459,7 +459,8 @@ def s11(spark, d):
 def s11_actions(spark, d):
     from tagweave.sources.writers import upsert_companies
 
-    return upsert_companies(fx.company(spark, d), upsert_batch(spark, d))[1]
+    actions = upsert_companies(fx.company(spark, d), upsert_batch(spark, d))[1]
+    return actions.select("pos", "name", "action")
 
 
 @query(

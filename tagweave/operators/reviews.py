@@ -227,16 +227,25 @@ def guardrail_outcome(covered: DataFrame, subsectors: DataFrame) -> DataFrame:
     )
 
 
-def stability_cut(ordered: DataFrame, label: str, streak: int, keys: tuple[str, ...] = ()) -> DataFrame:
+def stability_cut(
+    ordered: DataFrame, label: str, streak: int, keys: tuple[str, ...] = ()
+) -> DataFrame:
     """Where a sequence (pos = 1, 2, ...) is stable: the first position at which
     ``streak`` rows in a row brought no new label; null if never.
 
     Needs only the first position of each label, an aggregate that combines before
     the shuffle; the sequence itself is never gathered.
     """
-    keys = list(keys)
     firsts = ordered.groupBy(*keys, label).agg(F.min("pos").alias("first"))
     last = ordered.groupBy(*keys).agg(F.max("pos").alias("last"))
+    return cut_of_firsts(firsts, last, streak, keys)
+
+
+def cut_of_firsts(
+    firsts: DataFrame, last: DataFrame, streak: int, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """:func:`stability_cut` from first positions (``first``) and lengths (``last``)."""
+    keys = list(keys)
     by_first = (W.partitionBy(*keys) if keys else W.partitionBy()).orderBy("first")
     gaps = firsts.withColumn("next", F.lead("first").over(by_first))
     quiet = gaps.withColumn("reach", F.col("first") + F.lit(streak)).filter(
@@ -251,5 +260,3 @@ def stability_cut(ordered: DataFrame, label: str, streak: int, keys: tuple[str,
         .otherwise("sample_exhausted")
         .alias("stop_reason"),
     )
-
-

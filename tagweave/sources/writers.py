@@ -91,14 +91,14 @@ def _batch_entities(new: DataFrame) -> DataFrame:
     return lookup_join(stepped, next_step, ["_step"], ["pos"], "left").drop("_step")
 
 
-def upsert_companies(
+def upsert_changes(
     companies: DataFrame, batch: DataFrame, version: str = "v2"
 ) -> tuple[DataFrame, DataFrame]:
-    """Insert or update a batch in arrival order (``pos``).
+    """What a batch, in arrival order (``pos``), changes in the company table.
 
     A row updates the company it matches, or an earlier new row of the batch that it
     matches; later values win, and a null leaves the stored value alone. Returns the
-    new company table and (pos, name, action) with 'saved' or 'updated'.
+    changed and new company rows, and (pos, name, action, id) with 'saved' or 'updated'.
     """
     batch = batch.filter(F.coalesce(F.col("name"), F.lit("")) != "")
     matched = durable(upsert_matches(companies, batch), "upsert-match")
@@ -112,17 +112,14 @@ def upsert_companies(
             ]
         )
 
-    changes = last_values(matched.filter("match_id is not null"), "match_id")
-    renamed = changes.select(
-        F.col("match_id").alias("id"), *[F.col(c).alias(f"_new_{c}") for c in columns],
-        F.lit(True).alias("_hit"),
+    known = matched.filter("match_id is not null")
+    changes = last_values(known, "match_id").select(
+        F.col("match_id").alias("id"), *[F.col(c).alias(f"_new_{c}") for c in columns]
     )
-    updated = companies.join(renamed, "id", "left").withColumns(
+    updated = companies.join(changes, "id").withColumns(
         {
             **{c: F.coalesce(f"_new_{c}", c) for c in columns},
-            "taxonomy_version": F.when(F.col("_hit"), F.lit(version)).otherwise(
-                F.col("taxonomy_version")
-            ),
+            "taxonomy_version": F.lit(version),
         }
     ).select(*companies.columns)
 
@@ -130,22 +127,35 @@ def upsert_companies(
     fresh = last_values(new, "entity").withColumn("taxonomy_version", F.lit(version))
     top = companies.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     # ids follow on from the highest one, which is a single value
-    inserted = (
+    inserted = durable(
         global_rank(fresh, [F.col("entity")], "_n")
         .crossJoin(F.broadcast(top))
-        .withColumn("id", F.col("_n") + F.col("_top"))
+        .withColumn("id", F.col("_n") + F.col("_top")),
+        "upsert-new",
     )
-    actions = matched.filter("match_id is not null").select(
-        "pos", "name", F.lit("updated").alias("action")
+    numbers = inserted.select("entity", "id")
+    actions = known.select(
+        "pos", "name", F.lit("updated").alias("action"), F.col("match_id").alias("id")
     ).unionByName(
-        new.select(
+        lookup_join(new, numbers, ["entity"], ["pos"]).select(
             "pos", "name",
             F.when(F.col("entity") == F.col("pos"), "saved").otherwise("updated").alias("action"),
+            "id",
         )
     )
     return updated.unionByName(evolve(inserted, COMPANY).select(*companies.columns)), actions
 
 
+def upsert_companies(
+    companies: DataFrame, batch: DataFrame, version: str = "v2"
+) -> tuple[DataFrame, DataFrame]:
+    """The whole company table after :func:`upsert_changes`, and the actions."""
+    changed, actions = upsert_changes(companies, batch, version)
+    changed = durable(changed, "upsert-changed")
+    kept = companies.join(changed.select("id"), "id", "left_anti")
+    return kept.select(*companies.columns).unionByName(changed), actions
+
+
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The table at ``path``, or an empty one before its first write."""
     from pyspark.errors import AnalysisException
