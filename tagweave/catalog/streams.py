@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tagweave import fixtures as fx
 from tagweave.catalog.content import _LATEST, _SEQ
@@ -14,11 +17,14 @@ from tagweave.operators import reviews as R
 from tagweave.streaming import jobs as J
 
 
-def in_files(df: DataFrame, order: str, files: int = 4) -> str:
-    """Write a table as a few files, one after the other in the order of a column."""
+def feed(
+    df: DataFrame, order: str, start: Callable[[DataFrame], StreamingQuery], waves: int = 4
+) -> None:
+    """Let a table arrive in waves by the order of a column. The stream is started
+    anew for each wave and takes up from its checkpoint."""
     path = fresh_path(df.sparkSession, "arrivals")
     cuts = df.agg(
-        F.percentile_approx(order, [i / files for i in range(1, files)]).alias("q")
+        F.percentile_approx(order, [i / waves for i in range(1, waves)]).alias("q")
     ).first()["q"]
     bounds = [None, *cuts, None]
     for low, high in zip(bounds, bounds[1:]):
@@ -27,8 +33,8 @@ def in_files(df: DataFrame, order: str, files: int = 4) -> str:
             part = part.filter(F.col(order) > F.lit(low))
         if high is not None:
             part = part.filter(F.col(order) <= F.lit(high))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+        part.write.mode("append").parquet(path)
+        start(J.file_stream(df.sparkSession, path, df.schema)).awaitTermination()
 
 
 def arrivals(spark, d) -> DataFrame:
@@ -52,9 +58,14 @@ def arrivals(spark, d) -> DataFrame:
 def st2(spark, d):
     source = arrivals(spark, d).select("page_id", "url", "event_time")
     root = fresh_path(spark, "st2")
-    stream = J.file_stream(spark, in_files(source, "page_id"), source.schema)
-    kept = J.deduped_arrivals(stream, "3650 days").select("domain", "page_id")
-    J.run_batches(kept, lambda df, i: J.put_batch(df, f"{root}/kept", i), f"{root}/checkpoint").awaitTermination()
+
+    def start(stream):
+        kept = J.deduped_arrivals(stream, "3650 days").select("domain", "page_id")
+        return J.run_batches(
+            kept, lambda df, i: J.put_batch(df, f"{root}/kept", i), f"{root}/checkpoint"
+        )
+
+    feed(source, "page_id", start)
     schema = T.StructType([T.StructField("domain", T.StringType()), T.StructField("page_id", T.LongType())])
     # repeats would show as more rows than the SQL gives
     return J.batches_before(spark, f"{root}/kept", schema).filter("domain <> ''").select("domain")
@@ -70,8 +81,7 @@ def _scraping(spark, d) -> DataFrame:
 def st3(spark, d):
     rows = _scraping(spark, d)
     root = fresh_path(spark, "st3")
-    stream = J.file_stream(spark, in_files(rows, "id"), rows.schema)
-    J.running_latest(stream, root).awaitTermination()
+    feed(rows, "id", lambda stream: J.running_latest(stream, root))
     schema = T.StructType([rows.schema[c] for c in ("subject", "id", "verdict", "date_diagnosed")])
     return J.latest_written(spark, root, schema).select("subject", "id", "verdict")
 
@@ -84,8 +94,7 @@ def st3(spark, d):
 def st4(spark, d):
     rows = _scraping(spark, d).withColumnRenamed("subject", "source")
     root = fresh_path(spark, "st4")
-    stream = J.file_stream(spark, in_files(rows, "id"), rows.schema)
-    J.running_stability(stream, root).awaitTermination()
+    feed(rows, "id", lambda stream: J.running_stability(stream, root))
     return J.stability_written(spark, root)
 
 
@@ -93,11 +102,14 @@ def st4(spark, d):
 def st1(spark, d):
     source = arrivals(spark, d).drop("event_time")
     root = fresh_path(spark, "st1")
-    stream = J.file_stream(spark, in_files(source, "page_id", 2), source.schema)
     companies, edges = fx.company(spark, d), fx.known_edge(spark, d)
-    J.ingest_batches(
-        stream, fx.prediction(spark, d), fx.taxonomy(spark, d), companies, edges, root,
-        fx.RULES, threshold=0.6,
-    ).awaitTermination()
+    predictions, taxonomy = fx.prediction(spark, d), fx.taxonomy(spark, d)
+
+    def start(stream):
+        return J.ingest_batches(
+            stream, predictions, taxonomy, companies, edges, root, fx.RULES, threshold=0.6
+        )
+
+    feed(source, "page_id", start, 2)
     added = J.batches_before(spark, f"{root}/edges", edges.schema)
     return added.select("id", "company_a", "company_b", "score", "batch")

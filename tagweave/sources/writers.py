@@ -101,6 +101,8 @@ def upsert_changes(
     changed and new company rows, and (pos, name, action, id) with 'saved' or 'updated'.
     """
     batch = batch.filter(F.coalesce(F.col("name"), F.lit("")) != "")
+    if "website" not in batch.columns:
+        batch = batch.withColumn("website", F.lit(None).cast("string"))
     matched = durable(upsert_matches(companies, batch), "upsert-match")
     columns = [c for c in batch.columns if c in companies.columns and c != "id"]
 

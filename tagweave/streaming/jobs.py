@@ -27,8 +27,12 @@ from tagweave.sources.writers import edge_rows, upsert_changes
 _BATCH = "batch"
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def file_stream(
+    spark: SparkSession, path: str, schema: T.StructType, files: int | None = None
+) -> DataFrame:
+    """A stream of the Parquet files of a folder, at most ``files`` per micro-batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def run_batches(
