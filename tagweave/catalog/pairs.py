@@ -727,7 +727,7 @@ _TARGETED = f"""select c.company_a, c.company_b, max(score) as score from f_cand
 def x21(spark, d):
     return M.targeted_backfill(
         fx.company(spark, d), fx.known_edge(spark, d), _listed(spark, d), threshold=0.6
-    )[0]
+    )
 
 
 @query(
@@ -737,9 +737,14 @@ def x21(spark, d):
        left join (select company_a, count(*) as s from ({_TARGETED}) group by company_a) t on t.company_a = l.name""",
 )
 def a23(spark, d):
+    return M.targeted_status(fx.company(spark, d), _listed(spark, d), x21(spark, d))
+
+
+@query("x21_targeted_backfill_scorer", _TARGETED)
+def x21_scorer(spark, d):
     return M.targeted_backfill(
-        fx.company(spark, d), fx.known_edge(spark, d), _listed(spark, d), threshold=0.6
-    )[1]
+        fx.company(spark, d), fx.known_edge(spark, d), _listed(spark, d), S.jaccard_scorer, 0.6
+    )
 
 
 # newly entered companies: those of one country

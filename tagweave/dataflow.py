@@ -94,15 +94,23 @@ def _partitions(spark: SparkSession) -> int:
     )
 
 
-def _heavy(df: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
-    """Keys with more than ``block_rows`` rows. At most rows/block_rows of them
-    exist, which bounds what the callers broadcast."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > block_rows)
-        .select(*keys, F.ceil(F.col("_rows") / F.lit(block_rows)).cast("int").alias("_blocks"))
+def _hot_keys(sides: Sequence[DataFrame], keys: list[str], block_rows: int) -> DataFrame | None:
+    """Keys with more than ``block_rows`` rows on a side and the blocks they need, or
+    None if there are none. At most rows/block_rows keys are hot, which bounds the
+    broadcast. Settled by a job of its own, so that joins without hot keys stay plain
+    and the plans of joins upon joins stay small."""
+    counted = None
+    for side in sides:
+        heavy = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(
+            F.col("_rows") > block_rows
+        )
+        counted = heavy if counted is None else counted.unionByName(heavy)
+    hot = counted.groupBy(*keys).agg(
+        F.ceil(F.max("_rows") / F.lit(block_rows)).cast("int").alias("_blocks")
     )
+    if hot.isEmpty():
+        return None
+    return F.broadcast(durable(hot, "hot-keys"))
 
 
 def pair_join(
@@ -120,26 +128,23 @@ def pair_join(
     Key columns must not be null; the other column names must differ.
     """
     keys = list(keys)
-    heavy = (
-        _heavy(left, keys, block_rows)
-        .unionByName(_heavy(right, keys, block_rows))
-        .groupBy(*keys)
-        .agg(F.max("_blocks").alias("_blocks"))
-    )
+    hot = _hot_keys([left, right], keys, block_rows)
+    # such joins emit far more than they read, so a fixed partition count keeps the
+    # runtime from merging partitions by their small input size
+    n = _partitions(left.sparkSession)
+    if hot is None:
+        return left.repartition(n, *keys).join(right.repartition(n, *keys), keys)
 
     def dealt(side: DataFrame, ids: Sequence[str], own: str, other: str) -> DataFrame:
-        n = F.coalesce(F.col("_blocks"), F.lit(1))
+        blocks = F.coalesce(F.col("_blocks"), F.lit(1))
         return (
-            side.join(F.broadcast(heavy), keys, "left")
-            .withColumn(own, F.pmod(F.xxhash64(*ids), n).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), n - 1)))
+            side.join(hot, keys, "left")
+            .withColumn(own, F.pmod(F.xxhash64(*ids), blocks).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), blocks - 1)))
             .drop("_blocks")
         )
 
-    # such joins emit far more than they read, so a fixed partition count keeps the
-    # runtime from merging partitions by their small input size
     on = [*keys, "_lb", "_rb"]
-    n = _partitions(left.sparkSession)
     lhs = dealt(left, left_id, "_lb", "_rb").repartition(n, *on)
     rhs = dealt(right, right_id, "_rb", "_lb").repartition(n, *on)
     return lhs.join(rhs, on).drop("_lb", "_rb")
@@ -155,18 +160,21 @@ def lookup_join(
 ) -> DataFrame:
     """Join a fact side to a side that is unique per key, where the fact side may
     have hot keys: hot fact rows are salted and the matching rows replicated.
-    ``how`` is inner, left, left_semi or left_anti."""
+    ``how`` is inner, left, left_semi or left_anti. The fact side is read twice, so it
+    should be a table or a light step from one."""
     keys = list(keys)
-    heavy = F.broadcast(_heavy(left, keys, block_rows))
-    n = F.coalesce(F.col("_blocks"), F.lit(1))
+    hot = _hot_keys([left.select(*keys)], keys, block_rows)
+    if hot is None:
+        return left.join(right, keys, how)
+    blocks = F.coalesce(F.col("_blocks"), F.lit(1))
     # rows without a key match nothing, so they may go anywhere
     keyless = reduce(or_, [F.col(k).isNull() for k in keys])
-    lhs = left.join(heavy, keys, "left").withColumn(
+    lhs = left.join(hot, keys, "left").withColumn(
         "_salt",
-        F.pmod(F.xxhash64(*left_id), F.when(keyless, F.lit(1009)).otherwise(n)).cast("int"),
+        F.pmod(F.xxhash64(*left_id), F.when(keyless, F.lit(1009)).otherwise(blocks)).cast("int"),
     ).drop("_blocks")
-    rhs = right.join(heavy, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), n - 1))
+    rhs = right.join(hot, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), blocks - 1))
     ).drop("_blocks")
     return lhs.join(rhs, [*keys, "_salt"], how).drop("_salt")
 

@@ -11,63 +11,112 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.dataflow import BLOCK_ROWS, lookup_join, pair_join
-from tagweave.functions.tags import is_empty, lenient_match, overlap, strict_match, tags
+from tagweave.dataflow import BLOCK_ROWS, durable, global_rank, lookup_join, pair_join
+from tagweave.functions.tags import is_empty, lenient_match, overlap, tags
 
 TAG_COLUMNS = ("sectors", "subsectors", "sub_subsectors")
+CODE_COLUMNS = ("sec", "sub", "deep")
 
 
-def _side(companies: DataFrame, suffix: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Tag columns of one side of a pair, names suffixed with ``_a`` or ``_b``."""
-    return companies.select(
+def coded_tags(companies: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Companies with their tags as sorted arrays of integers (sec, sub, deep), which
+    compare much faster than text in the many pair tests.
+
+    Codes follow one order of all tags: those used as subsectors first, and have
+    negative codes; within that, rare before frequent. The result is written.
+    """
+
+    def marked(kind: str, column: str) -> Column:
+        return F.transform(
+            F.array_distinct(tags(column)),
+            lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("tag")),
+        )
+
+    parts = [marked(k, c) for k, c in zip(CODE_COLUMNS, TAG_COLUMNS)]
+    long = companies.select("id", F.explode(F.concat(*parts)).alias("x")).select(
+        "id", "x.kind", "x.tag"
+    )
+    uses = long.groupBy("tag").agg(
+        F.max((F.col("kind") == "sub").cast("int")).alias("as_sub"),
+        F.count(F.lit(1)).alias("uses"),
+    )
+    ranked = global_rank(uses, [F.col("as_sub").desc(), F.col("uses"), F.col("tag")], "code")
+    book = ranked.select(
+        "tag",
+        F.when(F.col("as_sub") == 1, F.col("code") - F.lit(1 << 30))
+        .otherwise(F.col("code"))
+        .cast("int")
+        .alias("code"),
+    )
+    codes = (
+        lookup_join(long, book, ["tag"], ["id"])
+        .groupBy("id")
+        .agg(
+            *[
+                F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("code")))).alias(k)
+                for k in CODE_COLUMNS
+            ]
+        )
+    )
+    return durable(companies.select("id", "name", *keep).join(codes, "id"), "coded")
+
+
+def _side(coded: DataFrame, suffix: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One side of a pair, names suffixed with ``_a`` or ``_b``, a row per tag pair."""
+    side = coded.select(
         F.col("id").alias(f"id{suffix}"),
         F.col("name").alias(f"company{suffix}"),
-        *[tags(c).alias(f"{c}{suffix}") for c in TAG_COLUMNS],
-        *[F.col(c).alias(f"{c}{suffix}") for c in extra],
+        *[F.col(c).alias(f"{c}{suffix}") for c in (*CODE_COLUMNS, *keep)],
+    )
+    return side.withColumn("sector_key", F.explode(f"sec{suffix}")).withColumn(
+        "subsector_key", F.explode(f"sub{suffix}")
     )
 
 
-def _keyed(side: DataFrame, suffix: str) -> DataFrame:
-    return side.withColumn(
-        "sector_key", F.explode(F.array_distinct(f"sectors{suffix}"))
-    ).withColumn("subsector_key", F.explode(F.array_distinct(f"subsectors{suffix}")))
+def _at_first_shared_tag() -> Column:
+    return (F.col("sector_key") == F.array_min(F.array_intersect("sec_a", "sec_b"))) & (
+        F.col("subsector_key") == F.array_min(F.array_intersect("sub_a", "sub_b"))
+    )
 
 
-def _at_first_shared_tag() -> Column:
-    shared = [F.array_min(F.array_intersect(f"{c}_a", f"{c}_b")) for c in TAG_COLUMNS[:2]]
-    return (F.col("sector_key") == shared[0]) & (F.col("subsector_key") == shared[1])
+def codes_lenient(a: str, b: str) -> Column:
+    """Sub-subsector test on code arrays, which are never null."""
+    return (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b)
 
 
-def _drop_tags(pairs: DataFrame) -> DataFrame:
-    return pairs.drop(*[f"{c}{s}" for c in TAG_COLUMNS for s in ("_a", "_b")])
+_PAIR_KEYS = ["sector_key", "subsector_key"]
+_CODES = [f"{c}{s}" for c in CODE_COLUMNS for s in ("_a", "_b")]
 
 
 def overlap_candidates(
-    probe: DataFrame,
-    pool: DataFrame | None = None,
+    companies: DataFrame,
+    probe: DataFrame | None = None,
     keep_tags: bool = False,
     ordered: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Pairs (probe company a, pool company b) with a shared sector and subsector.
+    """Pairs (company a, company b) with a shared sector and subsector; ``probe`` (id)
+    limits which companies stand first.
 
     Sub-subsectors are tested leniently: they must meet only if both have some.
     ``ordered`` keeps each unordered pair once, as company_a < company_b.
+    ``keep_tags`` keeps the tags of both ends.
     """
-    lhs = _keyed(_side(probe, "_a"), "_a")
-    rhs = _keyed(_side(probe if pool is None else pool, "_b"), "_b")
+    keep = TAG_COLUMNS if keep_tags else ()
+    coded = coded_tags(companies, keep)
+    first = coded if probe is None else coded.join(probe.select("id"), "id", "left_semi")
     order = F.col("company_a") < F.col("company_b") if ordered else (
         F.col("company_a") != F.col("company_b")
     )
-    pairs = (
+    return (
         pair_join(
-            lhs, rhs, ["sector_key", "subsector_key"], ["id_a"], ["id_b"], block_rows
+            _side(first, "_a", keep), _side(coded, "_b", keep),
+            _PAIR_KEYS, ["id_a"], ["id_b"], block_rows,
         )
-        .filter(order & _at_first_shared_tag())
-        .filter(lenient_match("sub_subsectors_a", "sub_subsectors_b"))
-        .drop("sector_key", "subsector_key")
+        # one condition, so that its cheap parts stay in front
+        .filter(order & _at_first_shared_tag() & codes_lenient("deep_a", "deep_b"))
+        .drop(*_PAIR_KEYS, *_CODES)
     )
-    return pairs if keep_tags else _drop_tags(pairs)
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -102,9 +151,7 @@ def sweep_candidates(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Each unordered candidate pair once, without pairs known in any direction."""
-    pairs = overlap_candidates(
-        companies if probe is None else probe, companies, keep_tags, True, block_rows
-    )
+    pairs = overlap_candidates(companies, probe, keep_tags, True, block_rows)
     return without_linked(pairs, edges)
 
 
@@ -114,7 +161,7 @@ def targeted_candidates(
     """Candidates of the companies whose website is listed, against all companies.
     Known pairs stay in: they are dropped after scoring."""
     listed = companies.join(websites.select("website"), "website", "left_semi")
-    return overlap_candidates(listed, companies, keep_tags)
+    return overlap_candidates(companies, listed, keep_tags)
 
 
 def two_hop_candidates(
@@ -131,38 +178,45 @@ def two_hop_candidates(
     default all do. Paths are joined on (U, sector, subsector), so a hub emits only
     pairs that share tags, and a hot hub is split into blocks.
     """
-    links = symmetric(edges).distinct()
+    coded = coded_tags(companies)
+    ids = coded.select("id", F.col("name").alias("company"))
+    links = durable(symmetric(edges).distinct(), "links")
+    known = links if direct is None else links.unionAll(direct.select("company", "other"))
     first = links if direct is None else direct.select("company", "other").distinct()
 
-    def tagged(pairs: DataFrame, name: str, suffix: str) -> DataFrame:
-        side = _side(companies, suffix)
-        held = pairs.withColumnRenamed(name, f"company{suffix}")
-        return _keyed(
-            lookup_join(held, side, [f"company{suffix}"], ["hub", f"company{suffix}"]), suffix
+    def tagged(pairs: DataFrame, suffix: str) -> DataFrame:
+        """The end ``company`` of each (company, hub), with its tags."""
+        numbered = lookup_join(pairs, ids, ["company"], ["company", "hub"]).select("id", "hub")
+        facts = _side(coded, suffix).withColumnRenamed(f"id{suffix}", "id")
+        # a company has few tags, so it repeats few times on either side of this join
+        return (
+            numbered.join(facts.drop(f"company{suffix}"), "id").withColumnRenamed("id", f"id{suffix}")
         )
 
-    lhs = tagged(first.withColumnRenamed("other", "hub"), "company", "_a")
-    rhs = tagged(links.withColumnRenamed("company", "hub"), "other", "_b")
-    met = (
-        pair_join(
-            lhs, rhs, ["hub", "sector_key", "subsector_key"], ["id_a"], ["id_b"], block_rows
-        )
-        .filter((F.col("company_a") != F.col("company_b")) & _at_first_shared_tag())
-        .filter(strict_match("sub_subsectors_a", "sub_subsectors_b"))
+    lhs = tagged(first.withColumnRenamed("other", "hub"), "_a")
+    rhs = tagged(links.select(F.col("company").alias("hub"), F.col("other").alias("company")), "_b")
+    strict = (F.size("deep_a") == 0) | F.arrays_overlap("deep_a", "deep_b")
+    met = durable(
+        pair_join(lhs, rhs, ["hub", *_PAIR_KEYS], ["id_a"], ["id_b"], block_rows)
+        .filter((F.col("id_a") != F.col("id_b")) & _at_first_shared_tag() & strict)
+        # a pair meets once at each hub
+        .select("id_a", "id_b")
+        .distinct(),
+        "two-hop",
     )
-    keep = ["id_a", "company_a", "id_b", "company_b"]
-    if keep_tags:
-        keep += [f"{c}{s}" for s in ("_a", "_b") for c in TAG_COLUMNS]
-    known = links if direct is None else links.unionAll(first)
+
+    def named(df: DataFrame, suffix: str) -> DataFrame:
+        keep = TAG_COLUMNS if keep_tags else ()
+        side = companies.select(
+            F.col("id").alias(f"id{suffix}"), F.col("name").alias(f"company{suffix}"),
+            *[tags(c).alias(f"{c}{suffix}") for c in keep],
+        )
+        return lookup_join(df, side, [f"id{suffix}"], ["id_a", "id_b"])
+
     linked = known.select(
         F.col("company").alias("company_a"), F.col("other").alias("company_b")
     )
-    # one row per pair: a pair meets once at each hub
-    return (
-        met.select(*keep)
-        .dropDuplicates(["company_a", "company_b"])
-        .join(linked, ["company_a", "company_b"], "left_anti")
-    )
+    return named(named(met, "_a"), "_b").join(linked, ["company_a", "company_b"], "left_anti")
 
 
 def overlap_filter(companies: DataFrame, company: dict) -> DataFrame:

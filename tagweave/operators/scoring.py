@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.constants import CHUNK_SIZE
-from tagweave.dataflow import lookup_join, rank_within
+from tagweave.dataflow import durable, lookup_join, rank_within
 from tagweave.functions.tags import jaccard
 from tagweave.functions.text import clamp_score
 
@@ -101,6 +101,7 @@ def cosine_scorer(vectors: DataFrame) -> Scorer:
             return normed.select(*[F.col(c).alias(f"{c}{s}") for c in ("id", "vector", "norm")])
 
         ids = ["id_a", "id_b"]
+        pairs = durable(pairs, "pairs")
         joined = lookup_join(pairs, side("_a"), ["id_a"], ids, "left")
         joined = lookup_join(joined, side("_b"), ["id_b"], ids, "left")
         return joined.withColumn(

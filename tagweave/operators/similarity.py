@@ -8,103 +8,91 @@ share one of the first n - ceil(t*n) + 1. Only pairs that reach t become compani
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.dataflow import BLOCK_ROWS, durable, pair_join
-from tagweave.functions.tags import jaccard, lenient_match, overlap, tags
-
-
-def tag_signatures(companies: DataFrame) -> DataFrame:
-    """Each company with the key of its tag sets: (sig, id, name, three sorted sets)."""
-    sets = companies.select(
-        "id",
-        "name",
-        *[
-            F.array_sort(F.array_distinct(tags(c))).alias(c)
-            for c in ("sectors", "subsectors", "sub_subsectors")
-        ],
-    )
-    return sets.withColumn(
-        "sig", F.sha2(F.to_json(F.struct("sectors", "subsectors", "sub_subsectors")), 256)
-    )
+from tagweave.operators.overlap import CODE_COLUMNS, coded_tags, codes_lenient
 
 
-def _prefixed(signatures: DataFrame, threshold: float) -> DataFrame:
-    """Signatures with the part of their join prefix that consists of subsectors.
-
-    Tags are ordered with subsectors first, then by rarity. A pair shares a subsector,
-    so the first tag it shares in this order is one, and lies in both prefixes.
-    """
-    seen = (
-        signatures.select(
-            F.explode(
-                F.concat(
-                    F.transform("sectors", lambda t: F.struct(t.alias("tag"), F.lit(0).alias("sub"))),
-                    F.transform("subsectors", lambda t: F.struct(t.alias("tag"), F.lit(1).alias("sub"))),
-                )
-            ).alias("x")
-        )
-        .groupBy("x.tag")
-        .agg(F.max("x.sub").alias("sub"), F.count(F.lit(1)).alias("uses"))
+def signed_members(coded: DataFrame, probe: DataFrame | None = None) -> DataFrame:
+    """Each company with the key of its tag sets, and whether the probe names it."""
+    key = F.concat_ws(
+        "|", *[F.array_join(F.col(c).cast("array<string>"), ",") for c in CODE_COLUMNS]
     )
-    # a signature has few tags, so the collected arrays are short
-    ranked = (
-        signatures.select("sig", F.explode("all_tags").alias("tag"))
-        .join(seen, "tag")
-        .groupBy("sig")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct((-F.col("sub")).alias("kind"), "uses", "tag"))
-            ).alias("ranked")
-        )
-    )
-    n = F.size("ranked")
-    length = n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
-    prefix = F.filter(F.slice("ranked", F.lit(1), length), lambda r: r["kind"] == -1)
-    return (
-        signatures.join(ranked, "sig")
-        .withColumn("prefix", F.transform(prefix, lambda r: r["tag"]))
-        .drop("ranked")
+    members = coded.withColumn("sig", key)
+    if probe is None:
+        return members.withColumn("probed", F.lit(True))
+    named = probe.select("id", F.lit(True).alias("probed")).distinct()
+    return members.join(named, "id", "left").withColumn("probed", F.coalesce("probed", F.lit(False)))
+
+
+def _bitmap(codes: str) -> Column:
+    """64 bits, one set for each code."""
+    return F.aggregate(
+        codes,
+        F.lit(0).cast("long"),
+        lambda acc, c: acc.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)))
+        ),
     )
 
 
 def similar_signatures(
-    signatures: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, lenient: bool = True
+    members: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, lenient: bool = True
 ) -> DataFrame:
-    """Unordered pairs (sig_a <= sig_b) of signatures that overlap in sectors and
-    subsectors and reach the score; a signature pairs with itself too."""
+    """Unordered pairs (sig_a, sig_b) of signatures that overlap in sectors and
+    subsectors and reach the score; a signature pairs with itself too. At least one
+    of the two has a probed member."""
+    every = F.array_sort(F.array_union("sec", "sub"))
+    n = F.size("every")
+    length = n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
+    # A pair shares a subsector, and tags used as subsectors come first: the first tag
+    # it shares is one of those, and lies in the prefix of both.
     sets = durable(
-        _prefixed(
-            signatures.withColumn("all_tags", F.array_union("sectors", "subsectors")), threshold
-        ).withColumn("n_tags", F.size("all_tags")),
-        "prefixes",
+        members.groupBy("sig")
+        .agg(*[F.first(c).alias(c) for c in CODE_COLUMNS], F.max("probed").alias("probed"))
+        .withColumn("every", every)
+        .withColumn("n", n)
+        .withColumn("prefix", F.filter(F.slice("every", F.lit(1), length), lambda c: c < 0))
+        .withColumn("bits", _bitmap("every"))
+        .withColumn("slack", F.col("n") - F.bit_count("bits")),
+        "signatures",
     )
 
     def side(suffix: str) -> DataFrame:
-        cols = ("sig", "sectors", "subsectors", "sub_subsectors", "all_tags", "n_tags", "prefix")
+        cols = ("sig", "sec", "sub", "deep", "every", "n", "prefix", "probed", "bits", "slack")
         return sets.select(
             *[F.col(c).alias(f"{c}{suffix}") for c in cols],
-            F.explode("sectors").alias("sector_key"),
+            F.explode("sec").alias("sector_key"),
         ).withColumn("tag", F.explode(f"prefix{suffix}"))
 
-    reach = F.lit(threshold - 1e-9)
-    keys = ["sector_key", "tag"]
-    met = pair_join(side("_a"), side("_b"), keys, ["sig_a"], ["sig_b"], block_rows).filter(
-        (F.col("sig_a") <= F.col("sig_b"))
-        & (F.col("n_tags_a") >= F.col("n_tags_b") * reach)
-        & (F.col("n_tags_b") >= F.col("n_tags_a") * reach)
-        # each pair at its first shared sector and first shared tag only
-        & (F.array_min(F.array_intersect("sectors_a", "sectors_b")) == F.col("sector_key"))
-        & (F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("tag"))
-        & overlap("subsectors_a", "subsectors_b")
+    # at most as many shared tags as shared bits, plus those that share a bit in one set
+    most = F.bit_count(F.col("bits_a").bitwiseAND(F.col("bits_b"))) + F.col("slack_a")
+    need = F.lit((threshold - 1e-9) / (1 + threshold))
+    shared = F.size(F.array_intersect("every_a", "every_b"))
+    score = shared.cast("double") / (F.col("n_a") + F.col("n_b") - shared)
+    # One condition, cheapest part first: filters given one by one would be pushed into
+    # the join with the last and dearest in front. Plain arithmetic on bitmaps rules
+    # most pairs out: shared / (n_a + n_b - shared) >= threshold.
+    test = (
+        (most >= (F.col("n_a") + F.col("n_b")) * need)
+        & ((F.col("sig_a") <= F.col("sig_b")) | ~F.col("probed_b"))
+        # each pair at its first shared tag and first shared sector only
+        & (F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("tag"))
+        & (F.array_min(F.array_intersect("sec_a", "sec_b")) == F.col("sector_key"))
+        & F.arrays_overlap("sub_a", "sub_b")
+        & (score >= threshold)
     )
     if lenient:
-        met = met.filter(lenient_match("sub_subsectors_a", "sub_subsectors_b"))
+        test = test & codes_lenient("deep_a", "deep_b")
     return (
-        met.withColumn("score", jaccard("all_tags_a", "all_tags_b"))
-        .filter(F.col("score") >= threshold)
-        .select("sig_a", "sig_b", "score")
+        pair_join(
+            side("_a").filter("probed_a"), side("_b"),
+            ["sector_key", "tag"], ["sig_a"], ["sig_b"], block_rows,
+        )
+        .filter(test)
+        .select("sig_a", "sig_b", score.alias("score"))
     )
 
 
@@ -112,36 +100,34 @@ def similar_pairs(
     companies: DataFrame,
     threshold: float,
     lenient: bool = True,
+    probe: DataFrame | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Every pair company_a < company_b that overlaps in sectors and subsectors and
     whose tag Jaccard reaches ``threshold`` (> 0): (id_a, company_a, id_b, company_b, score).
 
     Equals the scored and filtered overlap candidates. ``lenient`` adds their
-    sub-subsector test.
+    sub-subsector test; ``probe`` (id) keeps pairs with at least one end in it.
     """
     if not threshold > 0:
         raise ValueError("threshold must be positive")
-    members = durable(tag_signatures(companies), "signatures")
-    signatures = members.groupBy("sig").agg(
-        *[F.first(c).alias(c) for c in ("sectors", "subsectors", "sub_subsectors")]
-    )
-    matched = durable(
-        similar_signatures(signatures, threshold, block_rows, lenient), "similar"
-    )
+    members = durable(signed_members(coded_tags(companies), probe), "members")
+    matched = durable(similar_signatures(members, threshold, block_rows, lenient), "similar")
 
     def side(suffix: str) -> DataFrame:
         return members.select(
             F.col("sig").alias(f"sig{suffix}"),
             F.col("id").alias(f"id{suffix}"),
             F.col("name").alias(f"company{suffix}"),
+            F.col("probed").alias(f"probed{suffix}"),
         )
 
     half = pair_join(matched, side("_a"), ["sig_a"], ["sig_b"], ["id_a"], block_rows)
     pairs = pair_join(half, side("_b"), ["sig_b"], ["id_a"], ["id_b"], block_rows)
     # pairs inside one signature come out twice, those across two once
     pairs = pairs.filter(
-        (F.col("sig_a") != F.col("sig_b")) | (F.col("company_a") < F.col("company_b"))
+        ((F.col("sig_a") != F.col("sig_b")) | (F.col("company_a") < F.col("company_b")))
+        & (F.col("probed_a") | F.col("probed_b"))
     )
     a_first = F.col("company_a") < F.col("company_b")
     return pairs.select(

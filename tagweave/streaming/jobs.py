@@ -19,7 +19,7 @@ from tagweave.dataflow import durable, rank_within
 from tagweave.functions.urls import normalize_domain
 from tagweave.operators.pages import page_facts
 from tagweave.operators.reviews import cut_of_firsts
-from tagweave.operators.scoring import Scorer, jaccard_scorer
+from tagweave.operators.scoring import Scorer
 from tagweave.operators.taxonomy import TagRules, classify
 from tagweave.plans.match import match_new
 from tagweave.sources.writers import edge_rows, upsert_changes
@@ -100,7 +100,7 @@ def ingest_batches(
     edges: DataFrame,
     root: str,
     rules: TagRules = TagRules(),
-    scorer: Scorer = jaccard_scorer,
+    scorer: Scorer | None = None,
     threshold: float = SCORE_THRESHOLD,
 ) -> StreamingQuery:
     """Ingest a page stream (page_id, url, html, name): pages that pass the gate are

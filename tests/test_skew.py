@@ -101,6 +101,14 @@ def test_similar_pairs_match_brute_force(companies, threshold, lenient):
     assert got.exceptAll(brute).count() == 0
 
 
+def test_similar_pairs_of_a_probe(companies):
+    probe = companies.filter("id % 5 = 0").select("id")
+    every = similar_pairs(companies, 0.5).select("id_a", "id_b", "score")
+    wanted = every.filter("id_a % 5 = 0 or id_b % 5 = 0")
+    got = similar_pairs(companies, 0.5, probe=probe).select("id_a", "id_b", "score")
+    assert got.exceptAll(wanted).count() == wanted.exceptAll(got).count() == 0
+
+
 def test_two_hop_splits_hubs(spark, companies):
     links = [("c0000", f"c{i:04d}") for i in range(1, 90)] + [("c0100", "c0101"), ("c0101", "c0102")]
     edges = spark.createDataFrame(links, "company_a string, company_b string")
