@@ -74,14 +74,25 @@ def _side(coded: DataFrame, suffix: str, keep: tuple[str, ...] = ()) -> DataFram
 
 
 def _at_first_shared_tag() -> Column:
-    return (F.col("sector_key") == F.array_min(F.array_intersect("sec_a", "sec_b"))) & (
-        F.col("subsector_key") == F.array_min(F.array_intersect("sub_a", "sub_b"))
+    return (F.col("sector_key") == _first_shared("sec_a", "sec_b")) & (
+        F.col("subsector_key") == _first_shared("sub_a", "sub_b")
     )
 
 
+def codes_meet(a: str, b: str) -> Column:
+    """Whether two short code arrays, never null, share a code. Searching them is
+    faster than the hash set that arrays_overlap builds."""
+    return F.exists(a, lambda c: F.array_contains(b, c))
+
+
 def codes_lenient(a: str, b: str) -> Column:
-    """Sub-subsector test on code arrays, which are never null."""
-    return (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b)
+    """Sub-subsector test on code arrays."""
+    return (F.size(a) == 0) | (F.size(b) == 0) | codes_meet(a, b)
+
+
+def _first_shared(a: str, b: str) -> Column:
+    """Lowest code that two sorted code arrays share."""
+    return F.get(F.filter(a, lambda c: F.array_contains(b, c)), F.lit(0))
 
 
 _PAIR_KEYS = ["sector_key", "subsector_key"]
@@ -195,7 +206,7 @@ def two_hop_candidates(
 
     lhs = tagged(first.withColumnRenamed("other", "hub"), "_a")
     rhs = tagged(links.select(F.col("company").alias("hub"), F.col("other").alias("company")), "_b")
-    strict = (F.size("deep_a") == 0) | F.arrays_overlap("deep_a", "deep_b")
+    strict = (F.size("deep_a") == 0) | codes_meet("deep_a", "deep_b")
     met = durable(
         pair_join(lhs, rhs, ["hub", *_PAIR_KEYS], ["id_a"], ["id_b"], block_rows)
         .filter((F.col("id_a") != F.col("id_b")) & _at_first_shared_tag() & strict)

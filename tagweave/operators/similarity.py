@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.dataflow import BLOCK_ROWS, durable, pair_join
-from tagweave.operators.overlap import CODE_COLUMNS, coded_tags, codes_lenient
+from tagweave.operators.overlap import CODE_COLUMNS, coded_tags, codes_lenient, codes_meet
 
 
 def signed_members(coded: DataFrame, probe: DataFrame | None = None) -> DataFrame:
@@ -61,16 +61,33 @@ def similar_signatures(
     )
 
     def side(suffix: str) -> DataFrame:
-        cols = ("sig", "sec", "sub", "deep", "every", "n", "prefix", "probed", "bits", "slack")
-        return sets.select(
-            *[F.col(c).alias(f"{c}{suffix}") for c in cols],
-            F.explode("sec").alias("sector_key"),
-        ).withColumn("tag", F.explode(f"prefix{suffix}"))
+        """A row per (sector, prefix tag), with the sectors and tags that precede it."""
+        cols = ("sig", "sub", "deep", "every", "n", "probed", "bits", "slack")
+        rows = sets.select(*cols, "sec", "prefix", F.posexplode("sec").alias("_i", "sector_key"))
+        rows = rows.select("*", F.posexplode("prefix").alias("_j", "tag")).withColumns(
+            {
+                "before_sec": F.slice("sec", F.lit(1), F.col("_i")),
+                "before_tag": F.slice("prefix", F.lit(1), F.col("_j")),
+            }
+        )
+        keep = (*cols, "before_sec", "before_tag")
+        return rows.select(
+            "sector_key", "tag",
+            *[F.col(c).alias(f"{c}{suffix}") for c in keep],
+            _bitmap("before_sec").alias(f"sec_bits{suffix}"),
+            _bitmap("before_tag").alias(f"tag_bits{suffix}"),
+        )
+
+    def none_before(kind: str) -> Column:
+        """No shared sector or tag before this one; settled by bits where they differ."""
+        apart = F.col(f"{kind}_bits_a").bitwiseAND(F.col(f"{kind}_bits_b")) == 0
+        return apart | ~codes_meet(f"before_{kind}_a", f"before_{kind}_b")
 
     # at most as many shared tags as shared bits, plus those that share a bit in one set
     most = F.bit_count(F.col("bits_a").bitwiseAND(F.col("bits_b"))) + F.col("slack_a")
     need = F.lit((threshold - 1e-9) / (1 + threshold))
-    shared = F.size(F.array_intersect("every_a", "every_b"))
+    # arrays this short are faster to search than to hash
+    shared = F.size(F.filter("every_a", lambda c: F.array_contains("every_b", c)))
     score = shared.cast("double") / (F.col("n_a") + F.col("n_b") - shared)
     # One condition, cheapest part first: filters given one by one would be pushed into
     # the join with the last and dearest in front. Plain arithmetic on bitmaps rules
@@ -79,10 +96,10 @@ def similar_signatures(
         (most >= (F.col("n_a") + F.col("n_b")) * need)
         & ((F.col("sig_a") <= F.col("sig_b")) | ~F.col("probed_b"))
         # each pair at its first shared tag and first shared sector only
-        & (F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("tag"))
-        & (F.array_min(F.array_intersect("sec_a", "sec_b")) == F.col("sector_key"))
-        & F.arrays_overlap("sub_a", "sub_b")
+        & none_before("tag")
+        & none_before("sec")
         & (score >= threshold)
+        & codes_meet("sub_a", "sub_b")
     )
     if lenient:
         test = test & codes_lenient("deep_a", "deep_b")
