@@ -5,12 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tagweave.llm import codec, packing, token_files
+from tagweave.llm import (
+    codec,
+    fingerprints,
+    html_text,
+    language,
+    metric_tree,
+    packing,
+    pieces,
+    token_files,
+)
 from tagweave.llm.store import fresh_path
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +35,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.scan_flat(spark, path)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(_documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), BPE)
 
@@ -35,7 +50,65 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.read_tokens(spark, path, digest=True)
 
 
+def held_out() -> Column:
+    """Whether a document's lang is kept from training."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = language.fit(docs, ~held_out())
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_documents(spark, sf_dir), PIECES, digest=True)
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        "vec_id", metric_tree.quantised(F.col("embedding")).alias("v")
+    )
+    pages = metric_tree.index(vectors)
+    return metric_tree.top_k(pages, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op4_best_fit_packing, op5_token_output)
+    f.__name__: f for f in (
+        op1_token_counts,
+        op3_fingerprints,
+        op4_best_fit_packing,
+        op5_token_output,
+        op7_language_id,
+        op8_main_text,
+        op9_sentence_pieces,
+        op10_top_k,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op10_top_k": """
+    WITH q AS (
+      SELECT vec_id,
+             list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    ), pairs AS (
+      SELECT a.vec_id AS query_id, b.vec_id,
+             CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT)
+               AS score
+      FROM q a JOIN q b ON a.vec_id <> b.vec_id
+      WHERE a.vec_id % 100 = 0
+    ), ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+      FROM pairs
+    )
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
 }
-ORACLES: dict[str, str] = {}
