@@ -12,6 +12,7 @@ from tagweave.llm import (
     codec,
     fingerprints,
     html_text,
+    jaccard,
     language,
     metric_tree,
     packing,
@@ -50,6 +51,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.read_tokens(spark, path, digest=True)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_documents(spark, sf_dir))
+
+
 def held_out() -> Column:
     """Whether a document's lang is kept from training."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_fingerprints,
         op4_best_fit_packing,
         op5_token_output,
+        op6_jaccard_join,
         op7_language_id,
         op8_main_text,
         op9_sentence_pieces,
