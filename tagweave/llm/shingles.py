@@ -83,6 +83,7 @@ def hash_shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     first = np.concatenate(([True], doc[1:] != doc[:-1]))
     count = np.diff(np.append(np.flatnonzero(first), n))
     short = np.flatnonzero(first)[count < WORDS]
+    full[short] = 0
     for k in range(WORDS - 1):
         at = short[count[count < WORDS] > k]
         full[at] += words[at + k] * _PLACES[k]
