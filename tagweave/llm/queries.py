@@ -17,6 +17,7 @@ from tagweave.llm import (
     metric_tree,
     packing,
     pieces,
+    secrets,
     token_files,
 )
 from tagweave.llm.store import fresh_path
@@ -36,6 +37,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.scan_flat(spark, path)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(_documents(spark, sf_dir), path="source")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(_documents(spark, sf_dir))
 
@@ -87,6 +92,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts,
+        op2_secret_scan,
         op3_fingerprints,
         op4_best_fit_packing,
         op5_token_output,
