@@ -1,12 +1,66 @@
-"""A training-data pipeline over ``documents``; its stages follow."""
+"""A training-data pipeline over ``documents``.
+
+Documents whose language cannot be told go; of each group of near copies one document
+stays; secrets in what is left are blanked; the texts are packed into token sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tagweave.llm import jaccard, language, packing, secrets
+from tagweave.llm.queries import BPE
+from tagweave.llm.store import durable, unused
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that language identification rejects: those without a letter,
+    and texts far from every language of the labelled documents."""
+    model = language.fit(docs, F.lit(True))
+    return language.predict(docs, model).filter("not rejected").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest doc_id of each group of linked documents, and
+    one of rows that repeat a doc_id and its text. Rows without a doc_id cannot be told
+    apart by it: they stay, one of each text, unless all are linked to rows with one."""
+    groups = jaccard.near_duplicates(docs)
+    kept_id, copy = unused(docs, "kept_id", "_copy")
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = docs.join(
+        kept.select(F.col("doc_id").alias(kept_id)).distinct(),
+        F.col("doc_id").eqNullSafe(F.col(kept_id)),
+        "left_semi",
+    )
+    same = W.partitionBy("doc_id", F.xxhash64("text"), F.length("text")).orderBy(F.lit(1))
+    return rows.withColumn(copy, F.row_number().over(same)).filter(F.col(copy) == 1).drop(copy)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blank the secrets in texts; every document stays."""
+    return secrets.redact(docs, path="source")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens."""
+    return packing.pack_documents(docs, BPE)
+
+
+STAGES = [
+    ("language identification", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scan", secret_scan),
+    ("best-fit packing", pack),
+]
 
-STAGES: list = []
-ORACLE_SQL = None
+ORACLE_SQL = None  # tokens, clusters and forests are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

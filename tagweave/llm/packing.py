@@ -15,7 +15,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from tagweave.llm.bpe import encoder
-from tagweave.llm.store import durable
+from tagweave.llm.store import durable, unused
 
 CAPACITY = 1024
 END_ID = 2
@@ -79,12 +78,13 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     never = np.iinfo(np.int64).max
     made = 0
     for i, size in enumerate(lengths.tolist()):
-        # change of the sum when a sequence with gap g takes the item, for all g at once
+        # change of the sum when a sequence with gap g takes the item, for all g at once;
+        # a sequence filled to the brim leaves the sum, and a new one only enters it
         gaps, left = count[size:], count[: capacity + 1 - size]
-        change = np.where(gaps > 0, left - gaps, never)
+        change = np.where(gaps > 0, 2 * (left - gaps) + 2, never)
         if gaps[0]:
-            change[0] = -gaps[0] - 1  # filled to the brim: the gap leaves the sum
-        change[-1] = left[-1] if size < capacity else -1  # a new sequence
+            change[0] = 1 - 2 * gaps[0]
+        change[-1] = 2 * left[-1] + 1 if size < capacity else 0
         gap = size + int(change.argmin())
         if gap == capacity:
             number, made = made, made + 1
@@ -102,48 +102,50 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_I
     """``pieces`` with the sequence and the place in it that each piece gets.
 
     ``length`` must be from 1 to ``capacity``. sequence_id is unique over all shards
-    and rounds; offsets are gapless from 0. Other columns are carried along, and an
-    empty table gives an empty one.
+    and rounds; offsets are gapless from 0. Other columns are carried along, those named
+    sequence_id and offset are replaced, and an empty table gives an empty one.
     """
-    columns = pieces.columns
+    pieces = pieces.drop("sequence_id", "offset")
+    row, shard, again = unused(pieces, "_row", "_shard", "_again")
     # the row number is fixed by being written, so a retried task deals alike
-    rest = durable(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    schema = rest.withColumns(
-        {c: F.lit(0).cast("long") for c in ("sequence_id", "offset")}
-    ).withColumn("_again", F.lit(False)).schema
+    rest = durable(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    placed = {c: F.lit(0).cast("long") for c in ("sequence_id", "offset")}
+    schema = rest.withColumns(placed).withColumn(again, F.lit(False)).schema
+    names = rest.columns
 
     def packed(items: DataFrame, shards: int, turn: int) -> DataFrame:
-        def pack_shard(key, shard: pd.DataFrame) -> pd.DataFrame:
-            shard = shard.sort_values(["length", "_row"], ascending=[False, True])
-            lengths = shard["length"].to_numpy()
+        def pack_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            order = np.lexsort((table[row].to_numpy(), -table["length"].to_numpy()))
+            table = table.select(names).take(pa.array(order))
+            lengths = table["length"].to_numpy()
             sequence, offset = sum_of_squares(lengths, capacity)
             loose = _unfilled(sequence, lengths, capacity)
             retry = sum_of_squares(lengths[loose], capacity)
             if len(set(retry[0].tolist())) <= len(set(sequence[loose].tolist())):
                 sequence[loose] = retry[0] + len(lengths)
                 offset[loose] = retry[1]
-            return shard.drop(columns="_shard").assign(
-                sequence_id=(turn << 60) + (int(key[0]) << 20) + sequence,
-                offset=offset,
-                _again=_unfilled(sequence, lengths, capacity),
-            )[schema.names]
+            base = (turn << 60) + (key[0].as_py() << 20)
+            return (
+                table.append_column("sequence_id", pa.array(base + sequence))
+                .append_column("offset", pa.array(offset))
+                .append_column(again, pa.array(_unfilled(sequence, lengths, capacity)))
+            )
 
+        number = F.pmod(F.xxhash64(row, F.lit(turn)), F.lit(shards))
         return durable(
-            items.withColumn("_shard", F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(shards)))
-            .groupBy("_shard")
-            .applyInPandas(pack_shard, schema),
+            items.withColumn(shard, number).groupBy(shard).applyInArrow(pack_shard, schema),
             "packed",
         )
 
-    columns = [*columns, "sequence_id", "offset"]
+    columns = [*pieces.columns, "sequence_id", "offset"]
     shards = -(-rest.count() // shard_items)
     if shards <= 1:
         return packed(rest, 1, 0).select(*columns)
     first = packed(rest, shards, 0)
-    loose = first.filter("_again").select(*pieces.columns, "_row")
+    loose = first.filter(F.col(again)).select(*names)
     shards = max(MERGE_SHARDS, -(-loose.count() // shard_items))
     second = packed(loose, shards, 1)
-    return first.filter("not _again").select(*columns).unionByName(second.select(*columns))
+    return first.filter(~F.col(again)).select(*columns).unionByName(second.select(*columns))
 
 
 def _unfilled(sequence: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:

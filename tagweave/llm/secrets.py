@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagweave.llm.store import durable
+from tagweave.llm.store import durable, unused
 
 # at least 16 key characters with a digit among them, or capitals alone
 _KEY = "A-Za-z0-9+/_\\-"
@@ -288,28 +288,26 @@ def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with each secret in text replaced by REDACTED; all rows and columns are
     kept, and n_chars, if there is one, follows the new text."""
     where = F.col(path).cast("string") if path else F.lit(None).cast("string")
-    hits = (
-        scan(docs, path).filter("is_secret")
-        .groupBy("key").agg(F.collect_set("finding").alias("_hits"))
+    key, hits = unused(docs, "_key", "_hits")
+    secrets = (
+        scan(docs, path).filter("is_secret").groupBy(F.col("key").alias(key))
+        .agg(F.collect_set("finding").alias(hits))
     )
-    marked = docs.withColumn(
-        "_key", F.when(F.col("text").rlike(CANDIDATE), _key(where))
-    ).join(hits.withColumnRenamed("key", "_key"), "_key", "left")
+    marked = docs.withColumn(key, F.when(F.col("text").rlike(CANDIDATE), _key(where))).join(
+        secrets, key, "left"
+    )
     found, between = _parts(F.col("text"))
     shown = F.transform(
         found,
-        lambda c, i: F.when(F.array_contains("_hits", i), F.lit(REDACTED)).otherwise(c),
+        lambda c, i: F.when(F.array_contains(hits, i), F.lit(REDACTED)).otherwise(c),
     )
     whole = F.array_join(
         F.zip_with(between, shown, lambda b, c: F.concat(b, F.coalesce(c, F.lit("")))), ""
     )
-    changed = {"text": F.when(F.col("_hits").isNotNull(), whole).otherwise(F.col("text"))}
-    out = marked.withColumns(changed)
+    out = marked.withColumn("text", F.when(F.col(hits).isNotNull(), whole).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
+        length = F.length("text").cast("long")
         out = out.withColumn(
-            "n_chars",
-            F.when(F.col("_hits").isNotNull(), F.length("text").cast("long")).otherwise(
-                F.col("n_chars")
-            ),
+            "n_chars", F.when(F.col(hits).isNotNull(), length).otherwise(F.col("n_chars"))
         )
     return out.select(*docs.columns)

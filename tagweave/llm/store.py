@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from tagweave.dataflow import fresh_path
 
-__all__ = ["durable", "fresh_path"]
+__all__ = ["durable", "fresh_path", "unused"]
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -29,3 +29,14 @@ def durable(df: DataFrame, label: str) -> DataFrame:
         else:
             spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from ``names`` that ``df`` does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
