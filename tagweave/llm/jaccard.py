@@ -20,6 +20,7 @@ is lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -213,8 +214,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """(cls, n, need, token): the adaptive prefix of each class, tokens of one class
-    only left out."""
+    """(cls, n, lone, need, token, place): the adaptive prefix of each class in its token
+    order, tokens of one class only left out; ``lone`` is how many of those it has."""
     rows = classes.select("cls", "n", F.explode("tokens").alias("token"))
     times = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     common = rows.join(times, "token")
@@ -224,6 +225,7 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
     # tokens of one class only come first in the order and have no candidates
     ranked = common.select(
         "*",
+        (F.col("n") - F.count(F.lit(1)).over(per)).alias("lone"),
         (F.col("n") - F.count(F.lit(1)).over(per) + F.row_number().over(spot)).alias("place"),
         (F.col("n") - least).alias("base"),
         least.alias("least"),
@@ -245,7 +247,7 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
     return (
         ranked.join(best, "cls")
         .filter(F.col("place") <= F.col("base") + F.col("need"))
-        .select("cls", "n", "need", "token")
+        .select("cls", "n", "lone", "need", "token", "place")
     )
 
 
@@ -273,48 +275,74 @@ def _labelled(prefixes: DataFrame, links: DataFrame | None) -> DataFrame:
     )
 
 
-def similar_classes(classes: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """Links (a, b) that connect the classes (cls, n, tokens) as all pairs with at least
-    ``percent`` similarity do; None without classes. Pairs inside a component may be
-    left out where others connect it."""
-    prefixes = durable(_prefixes(classes, percent), "prefixes")
-    links = None
-    for star in range(STARS):
-        rows = _labelled(prefixes, links)
-        # one class of each token, another in each round
-        order = F.xxhash64(F.lit(star), "cls")
-        heads = rows.groupBy("token").agg(
-            F.min(F.struct(order.alias("o"), "cls", "comp", "n")).alias("h"),
-            F.min("comp").alias("low"), F.max("comp").alias("high"),
-        ).filter("low < high")
-        met = (
-            rows.join(heads, "token")
-            .filter(F.col("comp") != F.col("h.comp"))
-            .filter(_sizes_fit("n", "h.n", percent))
-            .select(F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b"))
-            .distinct()
-        )
-        found = durable(_verified(met, classes, percent), "star-links")
-        links = found if links is None else links.unionByName(found)
-    # what is not connected yet: every pair with enough common prefix tokens
-    rows = durable(_labelled(prefixes, links), "labelled")
-    open_tokens = (
+def _star(rows: DataFrame, star: int, percent: int) -> DataFrame:
+    """Pairs of each class with one class of near size for each of its tokens.
+
+    First the one with the smallest share of tokens of its own, which is the likeliest
+    hub of a group of near copies; later ones by a hash, with other limits of sizes.
+    """
+    step = math.log(100 / percent)
+    band = F.floor(F.ln("n") / step + star / STARS).cast("int")
+    order = F.col("lone") / F.col("n") if star == 0 else F.lit(0.0)
+    heads = rows.groupBy("token", band.alias("band")).agg(
+        F.min(
+            F.struct(order.alias("o"), F.xxhash64(F.lit(star), "cls").alias("h"), "cls", "comp", "n")
+        ).alias("head"),
+        F.min("comp").alias("low"), F.max("comp").alias("high"),
+    ).filter("low < high")
+    return (
+        rows.withColumn("band", band)
+        .join(heads, ["token", "band"])
+        .filter(F.col("comp") != F.col("head.comp"))
+        .filter(_sizes_fit("n", "head.n", percent))
+        .select(F.least("cls", "head.cls").alias("a"), F.greatest("cls", "head.cls").alias("b"))
+        .distinct()
+    )
+
+
+def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Every pair of classes of different components that the prefixes allow.
+
+    The first l common tokens of a similar pair leave room for the wanted overlap behind
+    them in both sets, so a common token counts only where that room is.
+    """
+    apart = (
         rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
         .filter("low < high").select("token")
     )
-    rows = rows.join(open_tokens, "token", "left_semi")
-    left = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "comp", "n", "need")])
-    right = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "comp", "n", "need")])
-    pairs = (
-        left.join(right, "token")
+    rows = rows.join(apart, "token", "left_semi").withColumn("room", F.expr("n - place"))
+    columns = ("cls", "comp", "n", "need", "room")
+    one = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
+    two = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in columns])
+    need = F.least("need_a", "need_b")
+    wanted = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
+    return (
+        one.join(two, "token")
         .filter("cls_a < cls_b and comp_a <> comp_b")
+        .filter(F.least("room_a", "room_b") + need >= wanted)
         .filter(_sizes_fit("n_a", "n_b", percent))
         .groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("m"), F.first(F.least("need_a", "need_b")).alias("need"))
+        .agg(F.count(F.lit(1)).alias("m"), F.first(need).alias("need"))
         .filter("m >= need")
         .select("a", "b")
     )
-    return links.unionByName(durable(_verified(pairs, classes, percent), "links"))
+
+
+def similar_classes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that connect the classes (cls, n, tokens) as all pairs with at least
+    ``percent`` similarity do. Pairs inside a component may be left out where others
+    connect it."""
+    prefixes = durable(_prefixes(classes, percent), "prefixes")
+    links = None
+    for star in range(STARS):
+        met = _star(_labelled(prefixes, links), star, percent)
+        found = durable(_verified(met, classes, percent), "star-links")
+        links = found if links is None else links.unionByName(found)
+    # what is not connected yet: every pair with enough common prefix tokens
+    rows = durable(_labelled(prefixes, links), "labelled")
+    return links.unionByName(
+        durable(_verified(_open_pairs(rows, percent), classes, percent), "links")
+    )
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
