@@ -381,24 +381,29 @@ def j11(spark, d):
     )
 
 
-_BATCH = """select page_id as pos, case when page_id % 3 = 0 then 'Newcomer ' || (page_id // 2)
+_BATCH = """select page_id as pos, case when page_id % 25 < 6 then 'Chain ' || ((page_id + 1) // 2)
+        when page_id % 3 = 0 then 'Newcomer ' || (page_id // 2)
         else 'Customer#' || lpad((page_id % (select count(*) from customer))::varchar, 9, '0') end as name,
-    case when page_id % 4 = 0 then 'https://new.example.org/' || (page_id // 3) else url end as website,
+    case when page_id % 25 < 6 then 'https://chain.example.org/' || (page_id // 2)
+        when page_id % 4 = 0 then 'https://new.example.org/' || (page_id // 3) else url end as website,
     'from page ' || page_id as description from pages"""
 
 
 def upsert_batch(spark, d):
-    """Arrivals: known and new names, known and new websites, with repeats."""
+    """Arrivals: known and new names, known and new websites, with repeats, renames, and
+    chains whose rows share a name or a website in turn."""
     n = fx.table(spark, d, "customer").agg(F.count(F.lit(1)).alias("n"))
     i = F.col("page_id")
     text = lambda c: c.cast("string")
     known = F.concat(F.lit("Customer#"), F.lpad(text(i % F.col("n")), 9, "0"))
     return fx.table(spark, d, "pages").crossJoin(F.broadcast(n)).select(
         i.alias("pos"),
-        F.when(i % 3 == 0, F.concat(F.lit("Newcomer "), text(F.floor(i / 2))))
+        F.when(i % 25 < 6, F.concat(F.lit("Chain "), text(F.floor((i + 1) / 2))))
+        .when(i % 3 == 0, F.concat(F.lit("Newcomer "), text(F.floor(i / 2))))
         .otherwise(known)
         .alias("name"),
-        F.when(i % 4 == 0, F.concat(F.lit("https://new.example.org/"), text(F.floor(i / 3))))
+        F.when(i % 25 < 6, F.concat(F.lit("https://chain.example.org/"), text(F.floor(i / 2))))
+        .when(i % 4 == 0, F.concat(F.lit("https://new.example.org/"), text(F.floor(i / 3))))
         .otherwise(F.col("url"))
         .alias("website"),
         F.concat(F.lit("from page "), text(i)).alias("description"),
@@ -418,28 +423,32 @@ def j14(spark, d):
     return upsert_matches(fx.company(spark, d), upsert_batch(spark, d)).select("pos", "name", "match_id")
 
 
-_ENTITIES = f"""
-    m as ({_MATCHED}),
-    fresh as (select * from m where match_id is null),
-    step as (select f.*, case when s.p < f.pos then s.p else n.p end as step from fresh f
-        join (select website, min(pos) as p from fresh group by website) s using (website)
-        join (select name, min(pos) as p from fresh group by name) n using (name)),
-    entity as (select a.*, b.step as entity from step a join step b on a.step = b.pos)"""
+# one row after the other, each against the companies as the rows before it left them
+_REPLAY = f"""batch as (select *, row_number() over (order by pos) as k from ({_BATCH})),
+    replay as (
+      select 0::bigint as k, null::bigint as hit, null::varchar as action,
+        (select list({{'id': id, 'name': name, 'site': website}} order by id) from f_company) as s
+      union all
+      select k, coalesce(found, fresh), case when found is null then 'saved' else 'updated' end,
+        case when found is null then list_append(s, {{'id': fresh, 'name': name, 'site': website}})
+          else list_transform(s, lambda x: case when x.id = found
+            then {{'id': found, 'name': name, 'site': website}} else x end) end
+      from (select b.k, b.name, b.website, r.s, list_max([x.id for x in r.s]) + 1 as fresh,
+              coalesce(list_min([x.id for x in r.s if x.site = b.website and b.website <> '']),
+                       list_min([x.id for x in r.s if x.name = b.name])) as found
+            from replay r join batch b on b.k = r.k + 1)),
+    applied as (select b.*, r.hit, r.action from batch b join replay r using (k))"""
 
 
 @query(
     "s11_upsert",
-    f"""with {_ENTITIES.strip()},
-    upd as (select match_id as id, arg_max(name, pos) as name, arg_max(website, pos) as website,
-                arg_max(description, pos) as description from m where match_id is not null group by match_id),
-    ins as (select row_number() over (order by entity) + (select max(id) from f_company) as id,
-                arg_max(name, pos) as name, arg_max(website, pos) as website,
-                arg_max(description, pos) as description from entity group by entity)
-    select c.id, coalesce(u.name, c.name) as name, coalesce(u.website, c.website) as website,
-        coalesce(u.description, c.description) as description, country,
-        array_to_string(sectors, '|') as sectors, taxonomy_version
-    from f_company c left join upd u on u.id = c.id
-    union all select id, name, website, description, null, null, 'v2' from ins""",
+    f"""with recursive {_REPLAY},
+    last as (select hit as id, arg_max(name, pos) as name, arg_max(website, pos) as website,
+                arg_max(description, pos) as description from applied group by hit)
+    select id, coalesce(l.name, c.name) as name, coalesce(l.website, c.website) as website,
+        coalesce(l.description, c.description) as description, country,
+        array_to_string(sectors, '|') as sectors, coalesce(taxonomy_version, 'v2') as taxonomy_version
+    from f_company c full join last l using (id)""",
 )
 def s11(spark, d):
     from tagweave.sources.writers import upsert_companies
@@ -452,9 +461,7 @@ def s11(spark, d):
 
 @query(
     "s11_upsert_actions",
-    f"""with {_ENTITIES.strip()}
-    select pos, name, 'updated' as action from m where match_id is not null
-    union all select pos, name, case when entity = pos then 'saved' else 'updated' end from entity""",
+    f"with recursive {_REPLAY} select pos, name, action from applied",
 )
 def s11_actions(spark, d):
     from tagweave.sources.writers import upsert_companies

@@ -311,4 +311,6 @@ def with_tables(sql: str) -> str:
     own = sql.strip()
     # the statement's own named parts follow the tables
     glue = ",\n" + own[len("with ") :] if own.startswith("with ") else "\n" + own
+    if glue.startswith(",\nrecursive "):
+        return "with recursive " + ",\n".join(parts) + glue.replace("recursive ", "", 1)
     return "with " + ",\n".join(parts) + glue

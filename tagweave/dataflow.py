@@ -6,18 +6,21 @@ group, however large one key becomes.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Row pairs that one task of a pair join forms, at most.
+PAIRS_PER_TASK = 10_000_000
 # A key with more rows than this is spread over several join blocks.
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = math.isqrt(PAIRS_PER_TASK)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,9 +79,11 @@ def rank_within(
     if not keys:
         # one row per sort partition, so bounded by the shuffle partition count
         offsets = F.broadcast(offsets)
-    joined = placed.join(offsets, ["_pid", *keys])
+    # rows without a key value form a group like any other
+    same = reduce(and_, [F.col(f"p.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ["_pid", *keys]])
+    joined = placed.alias("p").join(offsets.alias("o"), same)
     return joined.select(
-        *[c for c in df.columns if c != col],
+        *[F.col(f"p.{c}").alias(c) for c in df.columns if c != col],
         (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("long").alias(col),
     )
 
@@ -96,9 +101,8 @@ def _partitions(spark: SparkSession) -> int:
 
 def _hot_keys(sides: Sequence[DataFrame], keys: list[str], block_rows: int) -> DataFrame | None:
     """Keys with more than ``block_rows`` rows on a side and the blocks they need, or
-    None if there are none. At most rows/block_rows keys are hot, which bounds the
-    broadcast. Settled by a job of its own, so that joins without hot keys stay plain
-    and the plans of joins upon joins stay small."""
+    None if there are none. At most rows/block_rows keys are hot. Settled by a job of its
+    own, so that joins without hot keys stay plain."""
     counted = None
     for side in sides:
         heavy = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(
@@ -110,7 +114,7 @@ def _hot_keys(sides: Sequence[DataFrame], keys: list[str], block_rows: int) -> D
     )
     if hot.isEmpty():
         return None
-    return F.broadcast(durable(hot, "hot-keys"))
+    return durable(hot, "hot-keys")
 
 
 def pair_join(
@@ -150,35 +154,6 @@ def pair_join(
     return lhs.join(rhs, on).drop("_lb", "_rb")
 
 
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    left_id: Sequence[str],
-    how: str = "inner",
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Join a fact side to a side that is unique per key, where the fact side may
-    have hot keys: hot fact rows are salted and the matching rows replicated.
-    ``how`` is inner, left, left_semi or left_anti. The fact side is read twice, so it
-    should be a table or a light step from one."""
-    keys = list(keys)
-    hot = _hot_keys([left.select(*keys)], keys, block_rows)
-    if hot is None:
-        return left.join(right, keys, how)
-    blocks = F.coalesce(F.col("_blocks"), F.lit(1))
-    # rows without a key match nothing, so they may go anywhere
-    keyless = reduce(or_, [F.col(k).isNull() for k in keys])
-    lhs = left.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.pmod(F.xxhash64(*left_id), F.when(keyless, F.lit(1009)).otherwise(blocks)).cast("int"),
-    ).drop("_blocks")
-    rhs = right.join(hot, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), blocks - 1))
-    ).drop("_blocks")
-    return lhs.join(rhs, [*keys, "_salt"], how).drop("_salt")
-
-
 def seeded(seed: int, *cols: str) -> Column:
     """A repeatable pseudo-random sort key."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))

@@ -17,12 +17,11 @@ from tagweave.constants import (
     MIN_LIGHT_CHARS,
     SHORT_LINE_CHARS,
 )
+from tagweave.functions.text import EDGE_BLANKS
 from tagweave.functions.urls import resolve_url
 
 # line breaks and blanks beyond ASCII count too
 LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
-_BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
-EDGE_BLANKS = f"^{_BLANK}|{_BLANK}$"
 TEMPLATE_MARK = r"\{\{[^}]+\}\}|\{%[^%]+%\}"
 DROPPED_ELEMENTS = ("script", "style", "nav", "footer")
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))

@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# blanks beyond ASCII count too
+BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
+EDGE_BLANKS = f"^{BLANK}|{BLANK}$"
+
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -37,14 +41,16 @@ def clamp_score(col: Column | str) -> Column:
 
 
 def reply_items(reply: Column | str, item: T.StructType) -> Column:
-    """Rows of a JSON reply: a bare array, or the first list among an object's values."""
+    """Rows of a JSON reply: a bare array, or the first list among an object's values.
+    Elements that are no objects are passed over; a text value is never a list."""
     reply = _c(reply)
-    items = T.ArrayType(item)
-    fields = F.from_json(reply, T.MapType(T.StringType(), T.StringType()))
-    lists = F.filter(F.map_values(fields), lambda v: F.ltrim(v).startswith("["))
-    chosen = F.when(F.ltrim(reply).startswith("["), reply).otherwise(F.get(lists, F.lit(0)))
-    return F.coalesce(F.from_json(chosen, items), F.array().cast(items))
-
-
-def parse_json_list(text: Column | str) -> Column:
-    return F.from_json(_c(text), T.ArrayType(T.StringType()))
+    values = T.ArrayType(T.VariantType())
+    fields = F.from_json(reply, T.MapType(T.StringType(), T.VariantType()))
+    lists = F.filter(F.map_values(fields), lambda v: F.schema_of_variant(v).startswith("ARRAY"))
+    inner = F.from_json(F.to_json(F.get(lists, F.lit(0))), values)
+    chosen = F.when(F.ltrim(reply).startswith("["), F.from_json(reply, values)).otherwise(inner)
+    objects = F.filter(chosen, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    return F.coalesce(
+        F.transform(objects, lambda v: F.from_json(F.to_json(v), item)),
+        F.array().cast(T.ArrayType(item)),
+    )

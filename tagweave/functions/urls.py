@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagweave.constants import LOGO_EXTENSIONS
+from tagweave.functions.text import EDGE_BLANKS
 
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
 
@@ -22,7 +23,7 @@ def normalize_domain(url: Column | str) -> Column:
     the optimizer copies it.
     """
     steps = (
-        (r"^\s+|\s+$", ""),
+        (EDGE_BLANKS, ""),
         (r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//", ""),  # scheme or bare slashes
         (r"[/?#][\s\S]*$", ""),  # path, query, fragment
         (r"^.*@", ""),  # userinfo

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,11 +102,7 @@ def anomaly_list(flagged: DataFrame, flag: str, *columns: str) -> DataFrame:
 
 def anomalous_ids(flagged: DataFrame) -> DataFrame:
     """Distinct ids over all anomaly classes."""
-    out = None
-    for flag in FLAGS:
-        part = flagged.filter(F.col(flag)).select("id")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return flagged.filter(reduce(or_, map(F.col, FLAGS))).select("id").distinct()
 
 
 def horizontal_conflicts(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.constants import DEFAULT_COLOUR, SCORE_THRESHOLD, SECTOR_COLOURS
-from tagweave.dataflow import lookup_join, seeded
+from tagweave.dataflow import seeded
 from tagweave.functions.tags import tags
 from tagweave.operators.overlap import symmetric, without_exact, without_linked
 
@@ -68,9 +68,9 @@ def recalibration_counts(edges: DataFrame, threshold: float = SCORE_THRESHOLD) -
 def without_dangling(edges: DataFrame, companies: DataFrame) -> DataFrame:
     """Edges whose two ends are both known companies."""
     names = companies.select(F.col("name").alias("company_a")).distinct()
-    kept = lookup_join(edges, names, ["company_a"], ["company_a", "company_b"], "left_semi")
+    kept = edges.join(names, ["company_a"], "left_semi")
     names = names.withColumnRenamed("company_a", "company_b")
-    return lookup_join(kept, names, ["company_b"], ["company_a", "company_b"], "left_semi")
+    return kept.join(names, ["company_b"], "left_semi")
 
 
 def unordered(edges: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def node_details(names: DataFrame, companies: DataFrame, key: str = "name") -> D
     known = companies.select(
         F.col("name").alias(key), "sectors", "subsectors", *_TEXT_COLUMNS
     )
-    joined = lookup_join(names, known, [key], names.columns, "left")
+    joined = names.join(known, [key], "left")
     return joined.select(
         *names.columns,
         tags("sectors").alias("sectors"),
@@ -224,8 +224,8 @@ def with_company_facts(pairs: DataFrame, companies: DataFrame) -> DataFrame:
         return companies.select(F.col("name").alias(key), F.struct(*facts).alias(out))
 
     ids = ["company_a", "company_b"]
-    first = lookup_join(pairs, side("company_a", "facts_a"), ["company_a"], ids, "left")
-    return lookup_join(first, side("company_b", "facts_b"), ["company_b"], ids, "left")
+    first = pairs.join(side("company_a", "facts_a"), ["company_a"], "left")
+    return first.join(side("company_b", "facts_b"), ["company_b"], "left")
 
 
 def with_verdicts(edges: DataFrame, verdicts: DataFrame) -> DataFrame:

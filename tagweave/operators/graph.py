@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.constants import MIN_COMMUNITY_SIZE, MIN_DISTANCE, MIN_SPLIT_MEMBERS
-from tagweave.dataflow import global_rank, lookup_join, seeded
+from tagweave.dataflow import global_rank, seeded
 from tagweave.functions.tags import tags
 from tagweave.operators.edges import unordered, without_dangling
 
@@ -83,7 +83,7 @@ def ranked_communities(
 def community_members(membership: DataFrame, min_size: int = MIN_COMMUNITY_SIZE) -> DataFrame:
     """Members of the numbered communities: (name, community_id)."""
     ranked = ranked_communities(membership, min_size)
-    return lookup_join(membership, ranked, ["label"], ["name"]).select("name", "community_id")
+    return membership.join(ranked, ["label"]).select("name", "community_id")
 
 
 def _member_tags(communities: DataFrame, companies: DataFrame) -> DataFrame:
@@ -142,10 +142,7 @@ def split_samples(
         F.explode(F.array_distinct(tags("subsectors"))).alias("subsector"),
     )
     members = held.join(communities, "name")
-    sliced = lookup_join(
-        members, splits.select("subsector", "community_id"), ["subsector", "community_id"], ["id"],
-        "left_semi",
-    )
+    sliced = members.join(splits.select("subsector", "community_id"), ["subsector", "community_id"], "left_semi")
     # the rank filter keeps ``size`` rows per slice before the shuffle
     order = W.partitionBy("subsector", "community_id").orderBy(seeded(seed, "id"), "id")
     return (

@@ -33,7 +33,7 @@ def _spread(edges: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
     heavy = nodes.filter("salts > 1")  # at most edges/block_rows rows
     salted = edges
     for end, other in (("src", "dst"), ("dst", "src")):
-        counts = F.broadcast(heavy.select(F.col("node").alias(end), F.col("salts").alias("_n")))
+        counts = heavy.select(F.col("node").alias(end), F.col("salts").alias("_n"))
         salted = (
             salted.join(counts, end, "left")
             .withColumn(

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.dataflow import BLOCK_ROWS, durable, global_rank, lookup_join, pair_join
+from tagweave.dataflow import BLOCK_ROWS, durable, global_rank, pair_join
 from tagweave.functions.tags import is_empty, lenient_match, overlap, tags
 
 TAG_COLUMNS = ("sectors", "subsectors", "sub_subsectors")
@@ -49,7 +49,7 @@ def coded_tags(companies: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         .alias("code"),
     )
     codes = (
-        lookup_join(long, book, ["tag"], ["id"])
+        long.join(book, ["tag"])
         .groupBy("id")
         .agg(
             *[
@@ -197,7 +197,7 @@ def two_hop_candidates(
 
     def tagged(pairs: DataFrame, suffix: str) -> DataFrame:
         """The end ``company`` of each (company, hub), with its tags."""
-        numbered = lookup_join(pairs, ids, ["company"], ["company", "hub"]).select("id", "hub")
+        numbered = pairs.join(ids, ["company"]).select("id", "hub")
         facts = _side(coded, suffix).withColumnRenamed(f"id{suffix}", "id")
         # a company has few tags, so it repeats few times on either side of this join
         return (
@@ -222,7 +222,7 @@ def two_hop_candidates(
             F.col("id").alias(f"id{suffix}"), F.col("name").alias(f"company{suffix}"),
             *[tags(c).alias(f"{c}{suffix}") for c in keep],
         )
-        return lookup_join(df, side, [f"id{suffix}"], ["id_a", "id_b"])
+        return df.join(side, [f"id{suffix}"])
 
     linked = known.select(
         F.col("company").alias("company_a"), F.col("other").alias("company_b")

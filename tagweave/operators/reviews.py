@@ -15,15 +15,13 @@ from tagweave.constants import (
     REVIEW_TYPES,
     SPLIT_VERDICTS,
 )
-from tagweave.dataflow import lookup_join
 from tagweave.functions.tags import has_tag
+from tagweave.functions.text import EDGE_BLANKS
 from tagweave.functions.urls import normalize_domain
 
-_STRIP = r"^\s+|\s+$"
-
 
 def _stripped(col: str) -> Column:
-    return F.regexp_replace(F.coalesce(F.col(col), F.lit("")), _STRIP, "")
+    return F.regexp_replace(F.coalesce(F.col(col), F.lit("")), EDGE_BLANKS, "")
 
 
 def _known_subsectors(taxonomy: DataFrame) -> DataFrame:
@@ -55,7 +53,7 @@ def checked_reviews(reviews: DataFrame, taxonomy: DataFrame) -> DataFrame:
         .when((kind == "scraping_diagnostic") & (F.col("clean_subject") == ""), "no domain")
         .when(~split & (F.col("clean_subject") == ""), "blank subject")
     )
-    joined = lookup_join(reviews, _known_subsectors(taxonomy), ["subject"], ["id"], "left")
+    joined = reviews.join(_known_subsectors(taxonomy), ["subject"], "left")
     return (
         joined.withColumn("clean_subject", _clean_subject())
         .withColumn("error", error)
@@ -201,7 +199,7 @@ def guardrail(
     sites = members.filter(F.coalesce(F.col("website"), F.lit("")) != "").select(
         "id", "name", normalize_domain("website").alias("domain"), "subsectors"
     )
-    covered = lookup_join(sites, latest, ["domain"], ["id"]).withColumn(
+    covered = sites.join(latest, ["domain"]).withColumn(
         "problem", ~F.col("verdict").eqNullSafe("ok")
     )
     tag = F.explode(F.array_distinct("subsectors")) if subsector is None else F.lit(subsector)

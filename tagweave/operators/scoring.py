@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.constants import CHUNK_SIZE
-from tagweave.dataflow import durable, lookup_join, rank_within
+from tagweave.dataflow import durable, rank_within
 from tagweave.functions.tags import jaccard
 from tagweave.functions.text import clamp_score
 
@@ -33,14 +33,11 @@ def chunk_payloads(chunks: DataFrame, companies: DataFrame) -> DataFrame:
     probe = slim.select(F.col("name").alias("company_a"), F.col("slim").alias("new_company"))
     other = slim.select(F.col("name").alias("company_b"), F.col("slim").alias("candidate"))
     lists = (
-        lookup_join(
-            chunks.select("company_a", "company_b", "chunk", "pos"),
-            other, ["company_b"], ["company_a"],
-        )
+        chunks.select("company_a", "company_b", "chunk", "pos").join(other, ["company_b"])
         .groupBy("company_a", "chunk")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "candidate"))).alias("ranked"))
     )
-    return lookup_join(lists, probe, ["company_a"], ["chunk"]).select(
+    return lists.join(probe, ["company_a"]).select(
         "company_a",
         "chunk",
         F.to_json(
@@ -102,8 +99,8 @@ def cosine_scorer(vectors: DataFrame) -> Scorer:
 
         ids = ["id_a", "id_b"]
         pairs = durable(pairs, "pairs")
-        joined = lookup_join(pairs, side("_a"), ["id_a"], ids, "left")
-        joined = lookup_join(joined, side("_b"), ["id_b"], ids, "left")
+        joined = pairs.join(side("_a"), ["id_a"], "left")
+        joined = joined.join(side("_b"), ["id_b"], "left")
         return joined.withColumn(
             "score",
             F.try_divide(dot("vector_a", "vector_b"), F.col("norm_a") * F.col("norm_b")),
@@ -121,7 +118,7 @@ def term_weights(descriptions: DataFrame) -> DataFrame:
     uses = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = descriptions.filter("description is not null").agg(F.count(F.lit(1)).alias("n"))
     raw = (
-        lookup_join(counts, uses, ["term"], ["id"])
+        counts.join(uses, ["term"])
         .crossJoin(F.broadcast(total))
         .withColumn("weight", F.col("tf") * F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)))
         .filter(F.col("weight") > 0)

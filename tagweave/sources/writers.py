@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.dataflow import durable, global_rank, lookup_join
+from tagweave.dataflow import durable, global_rank
 from tagweave.schemas import COMPANY, EDGE, REVIEW, evolve
 
 
@@ -46,7 +47,7 @@ def update_by_key(
 ) -> DataFrame:
     """Set ``columns`` on the rows whose keys occur in ``changes`` (unique per key)."""
     given = changes.select(*keys, F.struct(*columns).alias("_new"))
-    joined = lookup_join(table, given, keys, [table.columns[0]], "left")
+    joined = table.join(given, keys, "left")
     hit = F.col("_new").isNotNull()
     return joined.withColumns(
         {c: F.when(hit, F.col("_new")[c]).otherwise(F.col(c)) for c in columns}
@@ -64,49 +65,133 @@ def upsert_matches(companies: DataFrame, batch: DataFrame) -> DataFrame:
         )
 
     ids = ["pos"]
-    joined = lookup_join(batch, key("website", "_by_site"), ["website"], ids, "left")
-    joined = lookup_join(joined, key("name", "_by_name"), ["name"], ids, "left")
+    joined = batch.join(key("website", "_by_site"), ["website"], "left")
+    joined = joined.join(key("name", "_by_name"), ["name"], "left")
     return joined.withColumn("match_id", F.coalesce("_by_site", "_by_name")).drop(
         "_by_site", "_by_name"
     )
 
 
-def _batch_entities(new: DataFrame) -> DataFrame:
-    """Adds ``entity``: the position of the earliest batch row that is the same new
-    company, by website or else by name; a chain is followed two steps."""
-    def first(column: str, out: str) -> DataFrame:
-        return (
-            new.filter(F.coalesce(F.col(column), F.lit("")) != "")
-            .groupBy(column)
-            .agg(F.min("pos").alias(out))
+def _contested(companies: DataFrame, batch: DataFrame) -> DataFrame:
+    """(row, group): batch rows (``b<pos>``) and the stored companies (``c<id>``) that
+    share a website or a name with them, grouped so that rows of different groups cannot
+    touch the same company, in whatever order they arrive."""
+    def keys(rows: DataFrame, row: Column) -> DataFrame:
+        key = F.explode(
+            F.array(
+                F.when(F.col("website") != "", F.concat(F.lit("w"), "website")),
+                F.when(F.col("name") != "", F.concat(F.lit("n"), "name")),
+            )
         )
+        return rows.select(row.alias("row"), key.alias("key")).filter("key is not null")
 
-    joined = lookup_join(new, first("website", "_site"), ["website"], ["pos"], "left")
-    joined = lookup_join(joined, first("name", "_name"), ["name"], ["pos"], "left")
-    earlier = F.when(F.col("_site") < F.col("pos"), F.col("_site")).otherwise(
-        F.coalesce("_name", "pos")
+    asked = keys(batch, F.concat(F.lit("b"), F.col("pos").cast("string")))
+    stored = keys(companies, F.concat(F.lit("c"), F.col("id").cast("string"))).join(
+        asked.select("key").distinct(), "key", "left_semi"
     )
-    stepped = durable(joined.withColumn("_step", earlier).drop("_site", "_name"), "upsert")
-    next_step = stepped.select(F.col("pos").alias("_step"), F.col("_step").alias("entity"))
-    return lookup_join(stepped, next_step, ["_step"], ["pos"], "left").drop("_step")
+    links = durable(asked.unionByName(stored), "upsert-keys")
+    labels = durable(links.groupBy("row").agg(F.min("key").alias("group")), "upsert-groups")
+    while True:
+        # the smallest group of a key goes to its rows, and of a row to its keys
+        low = links.join(labels, "row").groupBy("key").agg(F.min("group").alias("low"))
+        nearer = links.join(low, "key").groupBy("row").agg(F.min("low").alias("low"))
+        stepped = durable(
+            labels.join(nearer, "row").select(
+                "row", F.least("group", "low").alias("group"), (F.col("low") < F.col("group")).alias("_moved")
+            ),
+            "upsert-groups",
+        )
+        labels = stepped.select("row", "group")
+        if stepped.filter("_moved").isEmpty():
+            return labels
+
+
+def _replayed(group: pd.DataFrame, write_nulls: bool) -> pd.DataFrame:
+    """(pos, match_id, entity) of one contested group, row after row in arrival order."""
+    names: dict[tuple, str | None] = {}
+    sites: dict[tuple, str | None] = {}
+    by_name: dict[str, set[tuple]] = {}
+    by_site: dict[str, set[tuple]] = {}
+
+    def put(company: tuple, name: str | None, site: str | None) -> None:
+        for value, current, index in ((name, names, by_name), (site, sites, by_site)):
+            if value is None and company in current and not write_nulls:
+                continue
+            index.get(current.get(company) or "", set()).discard(company)
+            current[company] = value
+            if value:
+                index.setdefault(value, set()).add(company)
+
+    group = group.astype(object).where(group.notna(), None)
+    # stored companies come before new ones, each in the order of their numbers
+    for row in group[group["pos"].isna()].itertuples():
+        put((0, int(row.id)), row.name, row.website)
+    out = []
+    for row in group[group["pos"].notna()].sort_values("pos").itertuples():
+        found = by_site.get(row.website or "") or by_name.get(row.name or "")
+        company = min(found) if found else (1, int(row.pos))
+        put(company, row.name, row.website)
+        stored, number = company[0] == 0, company[1]
+        out.append((int(row.pos), number if stored else None, None if stored else number))
+    return pd.DataFrame(out, columns=["pos", "match_id", "entity"]).astype("Int64")
+
+
+def upsert_entities(companies: DataFrame, batch: DataFrame, write_nulls: bool = False) -> DataFrame:
+    """Adds to each batch row the company that it falls to when rows are applied one
+    after the other in the order of ``pos``: ``match_id`` of a stored company, or
+    ``entity``, the ``pos`` of the row that makes a new one.
+
+    A row matches by website, else by name, what stored companies and earlier rows have
+    by then, renames included; the lowest number is taken, stored ones first. Only rows
+    that share a name or website, directly or through others, are replayed together.
+    """
+    groups = _contested(companies, batch)
+    pos, number = F.col("pos").cast("long"), F.col("id").cast("long")
+    rows = (
+        batch.select(
+            F.concat(F.lit("b"), pos.cast("string")).alias("row"), pos.alias("pos"),
+            F.lit(None).cast("long").alias("id"), "name", "website",
+        )
+        .unionByName(
+            companies.select(
+                F.concat(F.lit("c"), number.cast("string")).alias("row"),
+                F.lit(None).cast("long").alias("pos"), number.alias("id"), "name", "website",
+            )
+        )
+        .join(groups, "row")
+    )
+
+    def replay(group: pd.DataFrame) -> pd.DataFrame:
+        return _replayed(group, write_nulls)
+
+    placed = rows.groupBy("group").applyInPandas(replay, "pos long, match_id long, entity long")
+    return batch.join(placed, "pos", "left")
 
 
 def upsert_changes(
-    companies: DataFrame, batch: DataFrame, version: str = "v2"
+    companies: DataFrame, batch: DataFrame, version: str = "v2", write_nulls: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """What a batch, in arrival order (``pos``), changes in the company table.
+    """What a batch, in arrival order (``pos``, unique), changes in the company table.
 
-    A row updates the company it matches, or an earlier new row of the batch that it
-    matches; later values win, and a null leaves the stored value alone. Returns the
-    changed and new company rows, and (pos, name, action, id) with 'saved' or 'updated'.
+    Rows are applied one after the other, as :func:`upsert_entities` says; later values
+    win. A null leaves the stored value alone unless ``write_nulls``. A row without a
+    name changes nothing. Returns the changed and new company rows, and (pos, name,
+    action, id) with 'saved', 'updated' or 'refused' for every row of the batch.
     """
-    batch = batch.filter(F.coalesce(F.col("name"), F.lit("")) != "")
     if "website" not in batch.columns:
         batch = batch.withColumn("website", F.lit(None).cast("string"))
-    matched = durable(upsert_matches(companies, batch), "upsert-match")
+    nameless = F.coalesce(F.col("name"), F.lit("")) == ""
+    refused = batch.filter(nameless)
+    batch = batch.filter(~nameless)
+    placed = durable(upsert_entities(companies, batch, write_nulls), "upsert-match")
     columns = [c for c in batch.columns if c in companies.columns and c != "id"]
 
     def last_values(rows: DataFrame, key: str) -> DataFrame:
+        # a struct, so that a null value is one that can win
+        latest = F.struct(*[F.col(c) for c in columns])
+        if write_nulls:
+            last = rows.groupBy(key).agg(F.max_by(latest, "pos").alias("_last"))
+            return last.select(key, "_last.*")
         return rows.groupBy(key).agg(
             *[
                 F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c)
@@ -114,18 +199,16 @@ def upsert_changes(
             ]
         )
 
-    known = matched.filter("match_id is not null")
+    known = placed.filter("match_id is not null")
     changes = last_values(known, "match_id").select(
         F.col("match_id").alias("id"), *[F.col(c).alias(f"_new_{c}") for c in columns]
     )
+    value = (lambda c: F.col(f"_new_{c}")) if write_nulls else (lambda c: F.coalesce(f"_new_{c}", c))
     updated = companies.join(changes, "id").withColumns(
-        {
-            **{c: F.coalesce(f"_new_{c}", c) for c in columns},
-            "taxonomy_version": F.lit(version),
-        }
+        {**{c: value(c) for c in columns}, "taxonomy_version": F.lit(version)}
     ).select(*companies.columns)
 
-    new = _batch_entities(matched.filter("match_id is null").drop("match_id"))
+    new = placed.filter("match_id is null").drop("match_id")
     fresh = last_values(new, "entity").withColumn("taxonomy_version", F.lit(version))
     top = companies.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     # ids follow on from the highest one, which is a single value
@@ -139,20 +222,24 @@ def upsert_changes(
     actions = known.select(
         "pos", "name", F.lit("updated").alias("action"), F.col("match_id").alias("id")
     ).unionByName(
-        lookup_join(new, numbers, ["entity"], ["pos"]).select(
+        new.join(numbers, ["entity"]).select(
             "pos", "name",
             F.when(F.col("entity") == F.col("pos"), "saved").otherwise("updated").alias("action"),
             "id",
         )
+    ).unionByName(
+        refused.select(
+            "pos", "name", F.lit("refused").alias("action"), F.lit(None).cast("long").alias("id")
+        )
     )
     return updated.unionByName(evolve(inserted, COMPANY).select(*companies.columns)), actions
 
 
 def upsert_companies(
-    companies: DataFrame, batch: DataFrame, version: str = "v2"
+    companies: DataFrame, batch: DataFrame, version: str = "v2", write_nulls: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """The whole company table after :func:`upsert_changes`, and the actions."""
-    changed, actions = upsert_changes(companies, batch, version)
+    changed, actions = upsert_changes(companies, batch, version, write_nulls)
     changed = durable(changed, "upsert-changed")
     kept = companies.join(changed.select("id"), "id", "left_anti")
     return kept.select(*companies.columns).unionByName(changed), actions

@@ -112,8 +112,10 @@ def ingest_batches(
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        facts = page_facts(batch).join(batch.select("page_id", "name"), "page_id")
-        good = durable(facts.filter("gate = 'accepted'"), "ingest-pages")
+        facts = durable(
+            page_facts(batch).join(batch.select("page_id", "name"), "page_id"), "ingest-pages"
+        )
+        good = facts.filter("gate = 'accepted'")
         wanted = predictions.join(good.select(F.col("page_id").alias("id")), "id", "left_semi")
         tagged = classify(wanted, taxonomy, rules).select(
             F.col("id").alias("page_id"), "sectors", "subsectors", "sub_subsectors"
@@ -125,7 +127,15 @@ def ingest_batches(
         stored = current_companies(companies, f"{root}/companies", batch_id)
         changed, actions = upsert_changes(stored, arrivals)
         put_batch(changed, f"{root}/companies", batch_id)
-        put_batch(actions, f"{root}/log", batch_id)
+        # every page of the batch has a row, with what became of it
+        pages_log = facts.select(F.col("page_id").alias("pos"), "name", "gate").join(
+            actions.select("pos", "action", "id"), "pos", "left"
+        )
+        refusal = F.when(F.col("gate") == "accepted", "no predictions").otherwise(F.col("gate"))
+        put_batch(
+            pages_log.select("pos", "name", F.coalesce("action", refusal).alias("action"), "id"),
+            f"{root}/log", batch_id,
+        )
         after = durable(current_companies(companies, f"{root}/companies", batch_id + 1), "ingest-all")
         links = durable(current_edges(edges, f"{root}/edges", batch_id), "ingest-edges")
         new = after.join(actions.select("id").distinct(), "id", "left_semi")

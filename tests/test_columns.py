@@ -149,3 +149,29 @@ def test_scores(spark):
     rows = [("0.5",), ("1.7",), ("-2",), ("n/a",), ("NaN",), (None,)]
     df = spark.createDataFrame(rows, "s string").select(T.clamp_score("s").alias("x"))
     assert [r.x for r in df.collect()] == [0.5, 1.0, 0.0, None, None, 0.0]
+
+
+def test_reply_items_pass_over_what_is_no_object(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from tagweave.functions.text import reply_items
+
+    item = T.StructType([T.StructField("name", T.StringType()), T.StructField("score", T.StringType())])
+    replies = [
+        '[{"name": "a", "score": 0.5}, 7, "x", null, {"name": "b", "score": "0.9"}]',
+        '{"note": "[not a list]", "n": 3, "results": [{"name": "c", "score": 1}], "more": []}',
+        '{"note": "nothing"}', "no json", None, "[]",
+    ]
+    rows = spark.createDataFrame(list(enumerate(replies)), "i int, reply string")
+    got = rows.select("i", reply_items("reply", item).alias("r")).orderBy("i").collect()
+    assert [[(x.name, x.score) for x in r.r] for r in got] == [
+        [("a", "0.5"), ("b", "0.9")], [("c", "1")], [], [], [], [],
+    ]
+
+
+def test_blanks_beyond_ascii_are_blanks(spark):
+    from tagweave.functions.urls import normalize_domain
+
+    rows = spark.createDataFrame([("\u00a0https://www.A.com/x\u00a0",), ("\u00a0",)], "u string")
+    assert [r[0] for r in rows.select(normalize_domain("u")).collect()] == ["a.com", ""]

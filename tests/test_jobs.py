@@ -167,11 +167,40 @@ def test_upsert_follows_arrival_order(spark):
         4: ("D", None, "d", "v2"),
     }
     assert [r.action for r in actions.orderBy("pos").collect()] == [
-        "updated", "updated", "saved", "updated", "saved",
+        "updated", "updated", "saved", "updated", "saved", "refused",
     ]
     again, second = upsert_companies(table, batch)
     assert again.exceptAll(table).count() == 0
-    assert {r.action for r in second.collect()} == {"updated"}
+    assert {r.action for r in second.collect()} == {"updated", "refused"}
+
+
+def test_upsert_sees_what_earlier_rows_left(spark):
+    columns = "pos long, name string, website string, description string"
+
+    def run(stored, batch, **how):
+        table, actions = upsert_companies(
+            fx_company(spark, stored), spark.createDataFrame(batch, columns), **how
+        )
+        rows = sorted((r.id, r.name, r.website, r.description) for r in table.collect())
+        return rows, [r.action for r in actions.orderBy("pos").collect()]
+
+    # a stored company takes a new name, by which the next row finds it
+    assert run([(1, "A", "https://a", "d", "v1")], [(1, "X", "https://a", "p"), (2, "X", None, "q")]) == (
+        [(1, "X", "https://a", "q")], ["updated", "updated"],
+    )
+    # and no longer has the old one
+    assert run([(1, "A", "https://a", "d", "v1")], [(1, "X", "https://a", "p"), (2, "A", None, "q")]) == (
+        [(1, "X", "https://a", "p"), (2, "A", None, "q")], ["updated", "saved"],
+    )
+    chain = [(1, "N1", "s1", "1"), (2, "N2", "s1", "2"), (3, "N2", "s3", "3"), (4, "N4", "s3", "4"),
+             (5, "N4", "s5", "5")]
+    assert run([(9, "Z", "z", "z", "v1")], chain) == (
+        [(9, "Z", "z", "z"), (10, "N4", "s5", "5")], ["saved"] + ["updated"] * 4,
+    )
+    # nulls overwrite where that is asked for
+    assert run([(1, "A", "a", "d", "v1")], [(5, "A", None, None)], write_nulls=True) == (
+        [(1, "A", None, None)], ["updated"],
+    )
 
 
 def fx_company(spark, rows):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagweave.dataflow import lookup_join, pair_join, rank_within
+from tagweave.dataflow import pair_join, rank_within
 from tagweave.functions.tags import jaccard, lenient_match, overlap
 from tagweave.operators.overlap import overlap_candidates, two_hop_candidates
 from tagweave.operators.similarity import similar_pairs
@@ -28,23 +28,14 @@ def test_pair_join_splits_hot_keys(skewed):
     assert split.count() == plain.count()
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_lookup_join_salts_hot_keys(skewed, how):
-    facts = skewed.select("key").dropna().distinct().filter("key <> 'k3'").withColumn(
-        "x", F.length("key")
-    )
-    plain = skewed.join(facts, "key", how)
-    salted = lookup_join(skewed, facts, ["key"], ["id"], how, block_rows=20)
-    assert salted.exceptAll(plain).count() == 0 and salted.count() == plain.count()
-
-
 def test_rank_within_matches_a_window(skewed):
     plain = skewed.withColumn(
         "pos", F.row_number().over(W.partitionBy("key").orderBy(F.col("id").desc())).cast("long")
     )
-    ranked = rank_within(skewed.dropna(), ["key"], [F.col("id").desc()])
-    assert ranked.exceptAll(plain.dropna()).count() == 0
-    assert ranked.count() == skewed.dropna().count()
+    # rows without a key are a group of their own
+    ranked = rank_within(skewed, ["key"], [F.col("id").desc()])
+    assert ranked.exceptAll(plain).count() == 0
+    assert ranked.count() == skewed.count()
 
 
 @pytest.fixture(scope="module")
