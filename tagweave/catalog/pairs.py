@@ -610,8 +610,10 @@ def x13_threshold(spark, d):
        from f_candidates join v a on a.id = id_a join v b on b.id = id_b where company_a < company_b""",
 )
 def x13_cosine(spark, d):
-    pairs = O.overlap_candidates(fx.company(spark, d), ordered=True)
-    scored = S.cosine_scorer(fx.vectors(spark, d))(pairs)
+    # companies without a vector have no score, so they need not meet
+    vectors = fx.vectors(spark, d)
+    known = fx.company(spark, d).join(vectors.select("id"), "id", "left_semi")
+    scored = S.cosine_scorer(vectors)(O.overlap_candidates(known, ordered=True))
     return scored.filter("score is not null").select(
         "company_a", "company_b", F.round("score", 6).alias("score")
     )
@@ -627,15 +629,13 @@ def x13_cosine(spark, d):
                 / (df + 1.0::double)) as w from tf join df using (term)),
        n as (select id, sqrt(sum(w * w)) as n from w where w > 0 group by id),
        u as (select id, term, w / n as w from w join n using (id) where w > 0),
-       dots as (select a_id, b_id, sum(x.w * y.w) as s from f_base join u x on x.id = a_id
-                join u y on y.id = b_id and y.term = x.term where score >= 0.6 group by a_id, b_id)
-       select b.company_a, b.company_b, round(coalesce(s, 0), 6) as score
-       from f_base b left join dots using (a_id, b_id) where b.score >= 0.6""",
+       dots as (select id_a, id_b, sum(x.w * y.w) as s from f_candidates join u x on x.id = id_a
+                join u y on y.id = id_b and y.term = x.term where company_a < company_b group by id_a, id_b)
+       select company_a, company_b, round(coalesce(s, 0), 6) as score
+       from f_candidates left join dots using (id_a, id_b) where company_a < company_b""",
 )
 def x13_tfidf(spark, d):
-    pairs = fx.edge_base(spark, d).filter("score >= 0.6").select(
-        F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"), "company_a", "company_b"
-    )
+    pairs = O.overlap_candidates(fx.company(spark, d), ordered=True)
     scored = S.tfidf_scorer(fx.company(spark, d).select("id", "description"))(pairs)
     return scored.select("company_a", "company_b", F.round("score", 6).alias("score"))
 
@@ -647,25 +647,11 @@ def x13_tfidf(spark, d):
        where company_a < company_b""",
 )
 def x12(spark, d):
-    """A scorer is any function from pairs to pairs with a score; this one runs in
-    Arrow batches."""
-    import pandas as pd
-
-    def by_sectors(pairs):
-        def run(batches):
-            for batch in batches:
-                score = [
-                    len(set(a) & set(b)) / len(set(a) | set(b))
-                    for a, b in zip(batch["sectors_a"], batch["sectors_b"])
-                ]
-                yield pd.DataFrame(
-                    {"company_a": batch["company_a"], "company_b": batch["company_b"], "score": score}
-                )
-
-        slim = pairs.select("company_a", "company_b", "sectors_a", "sectors_b")
-        return slim.mapInPandas(run, "company_a string, company_b string, score double")
-
-    return by_sectors(O.overlap_candidates(fx.company(spark, d), keep_tags=True, ordered=True))
+    """A scorer is any function from pairs to pairs with a score."""
+    pairs = O.overlap_candidates(fx.company(spark, d), keep_tags=True, ordered=True)
+    common = F.size(F.array_intersect("sectors_a", "sectors_b"))
+    either = F.size(F.array_union("sectors_a", "sectors_b"))
+    return pairs.select("company_a", "company_b", (common / either).alias("score"))
 
 
 # ---- composed jobs ------------------------------------------------------------

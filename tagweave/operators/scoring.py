@@ -132,7 +132,7 @@ def tfidf_scorer(descriptions: DataFrame) -> Scorer:
     meet: the first company's terms are looked up among the second's."""
 
     def score(pairs: DataFrame) -> DataFrame:
-        weights = term_weights(descriptions)
+        weights = durable(term_weights(descriptions), "term-weights")
         ids = pairs.select("id_a", "id_b").distinct()
         first = weights.select(
             F.col("id").alias("id_a"), F.col("term"), F.col("weight").alias("_wa")
