@@ -24,17 +24,32 @@ from tagweave.sources import readers as R
 
 @query("s01_company_scan", "select id, name, sectors[1] as first_sector, website from f_company")
 def s01(spark, d):
-    return fx.company(spark, d).select("id", "name", F.get("sectors", F.lit(0)).alias("first_sector"), "website")
+    path = fresh_path(spark, "companies")
+    fx.company(spark, d).write.parquet(path)
+    rows = R.read_companies(spark, path, ["id", "name", "sectors", "website"])
+    return rows.select("id", "name", F.get("sectors", F.lit(0)).alias("first_sector"), "website")
+
+
+def _stored_edges(spark, d):
+    """The edge table as files of two versions: weak ones from before ``active``."""
+    path = fresh_path(spark, "edges")
+    edges = fx.edge(spark, d)
+    weak = F.col("active") & (F.col("score") < 0.5) & ~F.col("checked") & F.col("validated").isNull()
+    edges.filter(weak).select("id", "company_a", "company_b", "score").write.parquet(path)
+    edges.filter(~weak).write.mode("append").parquet(path)
+    return path
 
 
 @query("s02_active_edges", "select id, company_a, company_b, score from f_edge where active")
 def s02(spark, d):
-    return fx.edge(spark, d).filter("active").select("id", "company_a", "company_b", "score")
+    rows = R.read_edges(spark, _stored_edges(spark, d), active_only=True)
+    return rows.select("id", "company_a", "company_b", "score")
 
 
 @query("s03_all_edges", "select id, company_a, company_b, score, active from f_edge")
 def s03(spark, d):
-    return fx.edge(spark, d).select("id", "company_a", "company_b", "score", "active")
+    rows = R.read_edges(spark, _stored_edges(spark, d))
+    return rows.select("id", "company_a", "company_b", "score", "active")
 
 
 @query(
@@ -93,8 +108,11 @@ def s06(spark, d):
 )
 def s13(spark, d):
     edges = fx.edge(spark, d)
+    path = fresh_path(spark, "edges")
     old = edges.filter("score >= 0.6").select("id", "company_a", "company_b", "score")
-    return evolve(old, EDGE).unionByName(evolve(edges.filter("score < 0.6"), EDGE))
+    old.write.parquet(path)
+    edges.filter("score < 0.6").write.mode("append").parquet(path)
+    return R.read_edges(spark, path)
 
 
 # ---- predicates and projections -----------------------------------------------

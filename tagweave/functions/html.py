@@ -24,7 +24,14 @@ from tagweave.functions.urls import resolve_url
 LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 TEMPLATE_MARK = r"\{\{[^}]+\}\}|\{%[^%]+%\}"
 DROPPED_ELEMENTS = ("script", "style", "nav", "footer")
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+# fixed values: entities of HTML, the ampersand last
+ENTITIES = (
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
+    ("&mdash;", "—"), ("&ndash;", "–"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
+    ("&rdquo;", "”"), ("&hellip;", "…"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"),
+    ("&middot;", "·"), ("&bull;", "•"), ("&euro;", "€"), ("&amp;", "&"),
+)
+NUMERIC_ENTITY = r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
 
 
 def _c(col: Column | str) -> Column:
@@ -113,14 +120,39 @@ def logo_candidates(
     return F.slice(firsts, 1, max_candidates)
 
 
+def _with_characters(text: Column) -> Column:
+    """Numeric entities as the characters they stand for; impossible ones stay."""
+    found = F.regexp_extract_all(text, F.lit(NUMERIC_ENTITY), F.lit(0))
+
+    def character(entity: Column) -> Column:
+        number = F.regexp_extract(entity, r"&#[xX]?([0-9a-fA-F]+);", 1)
+        hexadecimal = F.lower(entity).startswith("&#x")
+        code = F.when(hexadecimal, F.conv(number, 16, 10)).otherwise(F.conv(number, 10, 10))
+        code = code.cast("long")
+        possible = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        bytes_ = F.unhex(F.lpad(F.hex(code), 8, "0"))
+        return F.when(possible, F.decode(bytes_, "UTF-32")).otherwise(entity)
+
+    shown = F.array_join(
+        F.zip_with(
+            F.split(text, NUMERIC_ENTITY, -1),
+            F.transform(found, character),
+            lambda between, char: F.concat(between, F.coalesce(char, F.lit(""))),
+        ),
+        "",
+    )
+    return F.when(text.contains("&#"), shown).otherwise(text)
+
+
 def page_text(html: Column | str) -> Column:
     """Visible text: boilerplate elements and comments dropped, tags become line
-    breaks, common entities decoded, blank lines removed."""
+    breaks, numeric and common entities decoded, blank lines removed."""
     text = _c(html)
     for name in DROPPED_ELEMENTS:
         text = F.regexp_replace(text, rf"(?is)<{name}\b.*?</{name}\s*>", "\n")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "\n")
+    text = _with_characters(text)
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     text = F.regexp_replace(text, r"[ \t]*[\r\n]+\s*", "\n")

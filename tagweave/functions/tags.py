@@ -54,11 +54,6 @@ def lenient_match(a: Column | str, b: Column | str) -> Column:
     return is_empty(a) | is_empty(b) | overlap(a, b)
 
 
-def strict_match(a: Column | str, b: Column | str) -> Column:
-    """Pass if the first side has no tags; otherwise they must share one."""
-    return is_empty(a) | overlap(a, b)
-
-
 def jaccard(a: Column | str, b: Column | str) -> Column:
     a, b = tags(a), tags(b)
     both = F.size(F.array_union(a, b))
@@ -106,13 +101,6 @@ def default_uncategorized(subsectors: Column | str) -> Column:
     return F.when(is_empty(subsectors), literals([UNCATEGORIZED])).otherwise(tags(subsectors))
 
 
-def unknown_tags(subsectors: Column | str, known: Column | str) -> Column:
-    """Tags outside the taxonomy, in order. ``Uncategorized`` is always known."""
-    return F.filter(
-        tags(subsectors), lambda s: (s != UNCATEGORIZED) & ~F.array_contains(tags(known), s)
-    )
-
-
 def audited_conflict(
     subsectors: Column | str, audited: Iterable[str], horizontal: Iterable[str]
 ) -> Column:

@@ -175,3 +175,13 @@ def test_blanks_beyond_ascii_are_blanks(spark):
 
     rows = spark.createDataFrame([("\u00a0https://www.A.com/x\u00a0",), ("\u00a0",)], "u string")
     assert [r[0] for r in rows.select(normalize_domain("u")).collect()] == ["a.com", ""]
+
+
+def test_page_text_decodes_entities(spark):
+    from tagweave.functions.html import page_text
+
+    html = "<p>it&#8217;s &#x27;q&#X27; &mdash; &#128512; &#0; &amp;lt; &nope; &#39;</p>"
+    rows = spark.createDataFrame([(html,), ("plain",), (None,)], "h string")
+    assert [r[0] for r in rows.select(page_text("h")).collect()] == [
+        "it’s 'q' — 😀 &#0; &lt; &nope; '", "plain", None,
+    ]

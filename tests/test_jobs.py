@@ -255,3 +255,21 @@ def test_only_changed_companies_are_written(spark):
     batch = spark.createDataFrame([(1, "B", "new")], "pos long, name string, description string")
     changed, _ = upsert_changes(stored, batch)
     assert [(r.id, r.description) for r in changed.collect()] == [(2, "new")]
+
+
+def test_files_of_two_versions_in_one_folder(spark, tmp_path):
+    """A missing column has its default in the old file only; a stored null stays."""
+    path = str(tmp_path / "edges")
+    old = spark.createDataFrame([(1, "a", "b", 0.9)], "id long, company_a string, company_b string, score double")
+    new = spark.createDataFrame(
+        [(2, "a", "c", 0.8, None, True), (3, "b", "c", 0.7, False, None)],
+        "id long, company_a string, company_b string, score double, active boolean, checked boolean",
+    )
+    old.write.parquet(path)
+    new.write.mode("append").parquet(path)
+    rows = {r.id: (r.active, r.checked, r.validated) for r in read_edges(spark, path).collect()}
+    assert rows == {1: (True, False, None), 2: (None, True, None), 3: (False, None, None)}
+    active = read_edges(spark, path, active_only=True)
+    assert [r.id for r in active.collect()] == [1]
+    plan = active._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(active,true)" in plan.replace(" ", "") or "IsNotNull(active)" in plan
