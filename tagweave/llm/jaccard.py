@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ TEXT_BYTES_PER_TOKEN = 20  # at least, for a prefix token of the screen
 STARS = 3  # rounds of comparisons with one class of each token
 MAX_EXTRA = 8  # tokens by which a prefix may be lengthened
 COUNT_COST, VERIFY_COST = 1.0, 20.0  # of counting a pair once, of verifying it
+BITMAP_BITS = 1024  # of the bitmaps that rule pairs out before they are formed
 BROADCAST_KEYS = 2_000_000  # screened sets whose keys are sent to all tasks
 
 
@@ -181,6 +184,7 @@ _DEALT = pa.schema(
     [("bucket", pa.int64())] + [(c, pa.binary()) for c in ("tokens", "keys", "needs", "seen")]
 )
 _COMMON = pa.schema([("key", pa.int64()), ("need", pa.int32()), ("n", pa.int64())])
+_BITMAPS = pa.schema([("cls", pa.int64()), ("bits", pa.list_(pa.int64()))])
 _SETS = pa.schema(
     [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()),
      ("key2", pa.int64()), ("tokens", pa.list_(pa.int64()))]
@@ -300,26 +304,52 @@ def _star(rows: DataFrame, star: int, percent: int) -> DataFrame:
     )
 
 
-def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def _bitmaps(classes: DataFrame) -> DataFrame:
+    """(cls, bits): for each of BITMAP_BITS token values whether the class has an odd
+    number of such tokens. Two bitmaps differ in at most as many bits as the sets differ
+    in tokens."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for tokens in batch.column(1):
+                values = np.asarray(tokens.values).view(np.uint64) % np.uint64(BITMAP_BITS)
+                odd = np.bincount(values.astype(np.int64), minlength=BITMAP_BITS) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
+            yield pa.RecordBatch.from_pydict({"cls": batch.column(0), "bits": bits}, _BITMAPS)
+
+    return classes.select("cls", "tokens").mapInArrow(fold, _ddl(_BITMAPS))
+
+
+def _open_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Every pair of classes of different components that the prefixes allow.
 
     The first l common tokens of a similar pair leave room for the wanted overlap behind
-    them in both sets, so a common token counts only where that room is.
+    them in both sets, so a common token counts only where that room is, and where the
+    bitmaps do not differ in more bits than the sets may in tokens.
     """
     apart = (
         rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
         .filter("low < high").select("token")
     )
     rows = rows.join(apart, "token", "left_semi").withColumn("room", F.expr("n - place"))
-    columns = ("cls", "comp", "n", "need", "room")
+    rows = durable(rows, "open-rows")
+    asked = classes.join(rows.select("cls").distinct(), "cls", "left_semi")
+    words = [F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(BITMAP_BITS // 64)]
+    rows = rows.join(durable(_bitmaps(asked), "bitmaps").select("cls", *words), "cls")
+    columns = ("cls", "comp", "n", "need", "room", *[f"w{i}" for i in range(len(words))])
     one = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
     two = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in columns])
     need = F.least("need_a", "need_b")
     wanted = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
+    differing = reduce(
+        add, [F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(len(words))]
+    )
     return (
         one.join(two, "token")
         .filter("cls_a < cls_b and comp_a <> comp_b")
         .filter(F.least("room_a", "room_b") + need >= wanted)
+        .filter(differing <= F.col("n_a") + F.col("n_b") - 2 * wanted)
         .filter(_sizes_fit("n_a", "n_b", percent))
         .groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
         .agg(F.count(F.lit(1)).alias("m"), F.first(need).alias("need"))
@@ -341,7 +371,7 @@ def similar_classes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     # what is not connected yet: every pair with enough common prefix tokens
     rows = durable(_labelled(prefixes, links), "labelled")
     return links.unionByName(
-        durable(_verified(_open_pairs(rows, percent), classes, percent), "links")
+        durable(_verified(_open_pairs(rows, classes, percent), classes, percent), "links")
     )
 
 
