@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -250,7 +252,10 @@ def cut_of_firsts(
         F.col("next").isNull() | (F.col("next") > F.col("reach"))
     )
     cuts = quiet.groupBy(*keys).agg(F.min("reach").alias("reach"))
-    joined = last.join(cuts, keys) if keys else last.crossJoin(cuts)
+    # a null key is a group like any other
+    renamed = cuts.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    joined = last.join(renamed, reduce(and_, same)) if keys else last.crossJoin(cuts)
     return joined.select(
         *keys,
         F.when(F.col("reach") <= F.col("last"), F.col("reach")).alias("cut"),

@@ -187,8 +187,10 @@ _COUNTS = T.StructType(
 def running_stability(stream: DataFrame, root: str) -> StreamingQuery:
     """Follow a stream (source, verdict, date_diagnosed, id) for new verdicts.
 
-    State is the length of each source's sequence and the first position of each of
-    its verdicts, which add up over batches; a busy source is never one task's work.
+    A source's sequence is its reviews by arrival batch and by date within a batch: a
+    review that arrives late comes after those of earlier batches, whatever its date.
+    State is the length of each sequence and the first position of each of its verdicts,
+    which add up over batches; a busy source is never one task's work.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
@@ -200,14 +202,14 @@ def running_stability(stream: DataFrame, root: str) -> StreamingQuery:
         )
         before = (
             batches_before(spark, f"{root}/counts", _COUNTS, batch_id)
-            .groupBy("source")
+            .groupBy(F.col("source").alias("_source"))
             .agg(F.sum("n").alias("n"))
         )
         # both aggregates combine before the shuffle
         firsts = (
             ranked.groupBy("source", "verdict")
             .agg(F.min("pos").alias("first"))
-            .join(before, "source", "left")
+            .join(before, F.col("source").eqNullSafe(F.col("_source")), "left")
             .select("source", "verdict", (F.col("first") + F.coalesce("n", F.lit(0))).alias("first"))
         )
         put_batch(firsts, f"{root}/firsts", batch_id)
