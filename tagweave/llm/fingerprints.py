@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from tagweave.llm.shingles import SLICE_BYTES, shingle_sets
 
 SCALE = 16
-PART_DOCS = 20_000  # documents that one task compares with their neighbours
+PART_DOCS = 1000  # documents of a range, compared with their neighbours by one task
+TASK_PARTS = 4  # expected ranges of a task
 
 
 def sketches(texts: pa.Array, scale: int = SCALE) -> list[np.ndarray]:
@@ -108,7 +109,7 @@ def edited_likeness(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     )
     keys = base.select("doc_id")
     total, top = keys.agg(F.count(F.lit(1)), F.max("doc_id")).first()
-    parts = max(1, -(-total // PART_DOCS), min(total // 64, 64))
+    parts = max(1, -(-total // PART_DOCS))
     # ascending doc_ids, all in the table, at which ranges begin
     shares = [i / parts for i in range(1, parts)]
     cuts = []
@@ -153,7 +154,7 @@ def edited_likeness(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     # part and copy first: a range's own rows in descending doc_id order, then the copies
     # of its next document in text order, of which only the first is used
     return (
-        spread.repartition(last + 1, "part")
+        spread.repartition(-(-parts // TASK_PARTS), "part")
         .sortWithinPartitions("part", "copy", F.col("doc_id").desc_nulls_last(), "text")
         .mapInArrow(each, _COMPARED_DDL)
     )

@@ -124,7 +124,8 @@ def test_components_of_a_chain_a_star_and_a_loop(spark):
     assert components(links.limit(0)).count() == 0
 
 
-def test_fingerprints(spark):
+def test_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "PART_DOCS", 7)
     docs = [*corpus(3), (1, "tail"), (2**60, "top")]
     table = spark.createDataFrame(
         [(d, t, 0, 0) for d, t in docs], "doc_id long, text string, part int, copy int"
