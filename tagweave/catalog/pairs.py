@@ -15,7 +15,6 @@ from tagweave.operators import overlap as O
 from tagweave.operators import scoring as S
 from tagweave.operators.similarity import similar_pairs
 from tagweave.plans import match as M
-from tagweave.schemas import EDGE, evolve
 from tagweave.sources import readers as R
 
 

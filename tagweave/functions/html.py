@@ -22,6 +22,7 @@ from tagweave.functions.urls import resolve_url
 
 # line breaks and blanks beyond ASCII count too
 LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+# fixed values: patterns and elements that decide the text
 TEMPLATE_MARK = r"\{\{[^}]+\}\}|\{%[^%]+%\}"
 DROPPED_ELEMENTS = ("script", "style", "nav", "footer")
 # fixed values: entities of HTML, the ampersand last

@@ -223,7 +223,6 @@ def with_company_facts(pairs: DataFrame, companies: DataFrame) -> DataFrame:
     def side(key: str, out: str) -> DataFrame:
         return companies.select(F.col("name").alias(key), F.struct(*facts).alias(out))
 
-    ids = ["company_a", "company_b"]
     first = pairs.join(side("company_a", "facts_a"), ["company_a"], "left")
     return first.join(side("company_b", "facts_b"), ["company_b"], "left")
 

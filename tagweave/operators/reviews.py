@@ -158,6 +158,7 @@ def readiness(
     fresh = seen.withColumn("new_types", F.array_except("last", "before"))
     enough = F.col("diagnosed") >= min_diagnosed
     stable = (F.col("diagnosed") >= window) & (F.size("new_types") == 0)
+    # fixed values: the wording of the reasons is part of the result
     reasons = F.concat_ws(
         "; ",
         F.when(

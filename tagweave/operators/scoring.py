@@ -97,7 +97,6 @@ def cosine_scorer(vectors: DataFrame) -> Scorer:
         def side(s: str) -> DataFrame:
             return normed.select(*[F.col(c).alias(f"{c}{s}") for c in ("id", "vector", "norm")])
 
-        ids = ["id_a", "id_b"]
         pairs = durable(pairs, "pairs")
         joined = pairs.join(side("_a"), ["id_a"], "left")
         joined = joined.join(side("_b"), ["id_b"], "left")

@@ -64,7 +64,6 @@ def upsert_matches(companies: DataFrame, batch: DataFrame) -> DataFrame:
             .agg(F.min("id").alias(out))
         )
 
-    ids = ["pos"]
     joined = batch.join(key("website", "_by_site"), ["website"], "left")
     joined = joined.join(key("name", "_by_name"), ["name"], "left")
     return joined.withColumn("match_id", F.coalesce("_by_site", "_by_name")).drop(

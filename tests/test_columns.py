@@ -11,6 +11,7 @@ from tagweave.functions import tags as G
 from tagweave.functions import text as T
 from tagweave.functions import urls as U
 
+# fixed values: example rows with the results they must give
 DOMAINS = [
     ("https://Example.com/", "example.com"),
     ("http://www.example.com", "example.com"),
