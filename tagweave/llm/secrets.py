@@ -293,9 +293,9 @@ def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
         scan(docs, path).filter("is_secret").groupBy(F.col("key").alias(key))
         .agg(F.collect_set("finding").alias(hits))
     )
-    marked = docs.withColumn(key, F.when(F.col("text").rlike(CANDIDATE), _key(where))).join(
-        secrets, key, "left"
-    )
+    # the many texts without a candidate stay where they are
+    suspect = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
+    marked = docs.filter(suspect).withColumn(key, _key(where)).join(secrets, key, "left")
     found, between = _parts(F.col("text"))
     shown = F.transform(
         found,
@@ -310,4 +310,4 @@ def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
         out = out.withColumn(
             "n_chars", F.when(F.col(hits).isNotNull(), length).otherwise(F.col("n_chars"))
         )
-    return out.select(*docs.columns)
+    return docs.filter(~suspect).unionByName(out.select(*docs.columns))
