@@ -1,9 +1,10 @@
 """Threshold-scaled sketches: every shingle hash below a fixed fraction of the range.
 
-A sketch is the ascending set of the five-word shingle hashes below 2**64 / SCALE. A
-non-empty set without such a hash keeps its smallest hash alone, so that short texts
-can be told apart; this stays mergeable, since the sketch of a union follows from the
-sketches of its parts. Texts with equal shingle sets have equal sketches.
+A sketch is the ascending set of the five-word shingle hashes below 2**64 / SCALE, and
+of the LEAST smallest hashes if fewer are below: a text of up to LEAST shingles is kept
+whole. This stays mergeable, since the sketch of a union follows from the sketches of
+its parts. Two sketches are compared on the hashes up to which both are complete. Texts
+with equal shingle sets have equal sketches.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.shingles import SLICE_BYTES, shingle_sets
 
-SCALE = 16
+SCALE = 2
+LEAST = 64  # hashes kept of a text, if it has as many
 PART_DOCS = 1000  # documents of a range, compared with their neighbours by one task
 TASK_PARTS = 4  # expected ranges of a task
 
@@ -32,7 +34,7 @@ def sketches(texts: pa.Array, scale: int = SCALE) -> list[np.ndarray]:
         for low, high in zip(bounds[:-1], bounds[1:], strict=True):
             mine = hashes[low:high]
             below = int(np.searchsorted(mine, limit, side="right"))
-            out.append(mine[: max(below, min(1, len(mine)))].copy())
+            out.append(mine[: max(below, LEAST)].copy())
     return out
 
 
@@ -40,21 +42,36 @@ def merge(one: np.ndarray, two: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The sketch of the union of two shingle sets, from their sketches."""
     both = np.union1d(one, two)
     below = int(np.searchsorted(both, np.uint64((1 << 64) // scale - 1), side="right"))
-    return both[: max(below, min(1, len(both)))]
+    return both[: max(below, LEAST)]
 
 
-def likeness(one: np.ndarray, two: np.ndarray) -> float:
+def _shared(one: np.ndarray, two: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both sketches up to the largest hash at which neither leaves one out."""
+    reach = [
+        max(np.uint64((1 << 64) // scale - 1), x[-1]) for x in (one, two) if len(x) >= LEAST
+    ]
+    if not reach:
+        return one, two
+    return tuple(x[: int(np.searchsorted(x, min(reach), side="right"))] for x in (one, two))
+
+
+def likeness(one: np.ndarray, two: np.ndarray, scale: int = SCALE) -> float:
     """Estimated Jaccard similarity; 1 for two empty sketches, 0 for one."""
     if not len(one) or not len(two):
         return float(len(one) == len(two))
+    one, two = _shared(one, two, scale)
     common = len(np.intersect1d(one, two, assume_unique=True))
     return common / (len(one) + len(two) - common)
 
 
-def containment(one: np.ndarray, two: np.ndarray) -> float:
-    """Estimated share of the first set's shingles that the second has; 1 if it has none."""
+def containment(one: np.ndarray, two: np.ndarray, scale: int = SCALE) -> float | None:
+    """Estimated share of the first set's shingles that the second has; 1 if it has none,
+    null if all of them lie where the second sketch says nothing."""
     if not len(one):
         return 1.0
+    one, two = _shared(one, two, scale)
+    if not len(one):
+        return None
     return len(np.intersect1d(one, two, assume_unique=True)) / len(one)
 
 
@@ -99,7 +116,8 @@ def edited_likeness(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     many (or all) of the next document in descending doc_id order; the first follows the
     last. Rows with equal doc_ids come in text order, null doc_ids last, and null texts
     count as empty. Returns doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next and in_next, the containment in the next.
+    edited_fingerprint, near_edited, near_next and in_next, the containment in the next,
+    which is null if the sketches cannot tell it.
 
     Documents are dealt into ranges of doc_id; the first document of the next range is
     copied to the end of each, so that a range is all that a task needs.
@@ -180,8 +198,8 @@ def _compared(rows: list[tuple], scale: int) -> pa.RecordBatch:
         cut = len(text) // 3
         kept.append(i)
         edited.append(text[: len(text) - cut] + after[3][:cut])
-        near.append(likeness(own[i], own[i + 1]))
-        inside.append(containment(own[i], own[i + 1]))
+        near.append(likeness(own[i], own[i + 1], scale))
+        inside.append(containment(own[i], own[i + 1], scale))
     changed = sketches(pa.array(edited, pa.large_string()), scale)
     return pa.RecordBatch.from_pydict(
         {
@@ -190,7 +208,7 @@ def _compared(rows: list[tuple], scale: int) -> pa.RecordBatch:
             "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in edited],
             "fingerprint": [to_text(own[i]) for i in kept],
             "edited_fingerprint": [to_text(s) for s in changed],
-            "near_edited": [likeness(own[i], s) for i, s in zip(kept, changed, strict=True)],
+            "near_edited": [likeness(own[i], s, scale) for i, s in zip(kept, changed, strict=True)],
             "near_next": near,
             "in_next": inside,
         },

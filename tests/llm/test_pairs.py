@@ -174,6 +174,47 @@ def test_sketches_estimate_and_merge():
     assert [len(x) for x in tiny] == [1, 1, 1, 0]
 
 
+def _exact(one, two):
+    sets = []
+    for text in (one, two):
+        words = text.split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    common = len(sets[0] & sets[1])
+    return common / len(sets[0] | sets[1]), common / len(sets[0])
+
+
+def test_sketches_of_short_texts_are_near_the_exact_values():
+    rnd = random.Random(12)
+    like, inside, unknown = [], [], 0
+    for _ in range(300):
+        words = [str(rnd.random()) for _ in range(rnd.randint(10, 100))]
+        cut = len(words) // rnd.randint(2, 6)
+        edited = words[: len(words) - cut] + [str(rnd.random()) for _ in range(cut)]
+        # a long text that holds all of the short one, or the first part of it
+        held = words if rnd.random() < 0.5 else words[: len(words) - cut]
+        rest = [str(rnd.random()) for _ in range(1500)]
+        texts = [" ".join(x) for x in (words, edited, rest[:700] + held + rest[700:])]
+        one, two, long = fingerprints.sketches(pa.array(texts))
+        like.append(abs(fingerprints.likeness(one, two) - _exact(texts[0], texts[1])[0]))
+        found = fingerprints.containment(one, long)
+        if found is None:
+            unknown += 1
+            continue
+        exact = _exact(texts[0], texts[2])[1]
+        assert exact < 1 or found == 1.0
+        inside.append(abs(found - exact))
+    assert np.mean(np.array(like) > 0.2) < 0.01 and np.mean(like) < 0.02
+    assert np.mean(np.array(inside) > 0.3) < 0.03 and np.mean(inside) < 0.06
+    assert unknown < 6
+
+
+def test_containment_is_unknown_where_nothing_is_kept():
+    long = fingerprints.sketches(pa.array([" ".join(map(str, range(3000)))]))[0]
+    above = np.array([2**64 - 2**20], np.uint64)
+    assert fingerprints.containment(above, long) is None
+    assert fingerprints.likeness(above, long) == 0.0
+
+
 def test_search_equals_brute_force(spark):
     rnd = np.random.default_rng(6)
     centres = rnd.normal(0, 3, (5, 8))
