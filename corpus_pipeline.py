@@ -45,7 +45,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 1024 tokens."""
-    return packing.pack_documents(docs, BPE)
+    return packing.pack_documents(docs, BPE, added_tokens=True)
 
 
 STAGES = [

@@ -46,11 +46,18 @@ class _Chunks(dict):
 
 
 class Encoder:
-    """Ids of the tokenizer file ``path`` without special tokens, whose strings in a
-    text are ordinary text."""
+    """Ids of the tokenizer file ``path``, with no special tokens put around a text.
 
-    def __init__(self, path: str):
+    With ``added_tokens`` the file's added tokens have their own ids where a text holds
+    them, as the library has it; else their strings are ordinary text."""
+
+    def __init__(self, path: str, added_tokens: bool = False):
         tokenizer = Tokenizer.from_file(path)
+        strings = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self._added = None
+        if added_tokens and strings:
+            self._added = re.compile("|".join(map(re.escape, strings)))
+        self._whole = tokenizer
         self._split = tokenizer.pre_tokenizer.pre_tokenize_str
         self._model = tokenizer.model
         # the tokenizer shows each byte as a printable character
@@ -76,6 +83,10 @@ class Encoder:
         """All ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if self._added and self._added.search(text):
+            # few texts hold one; the library knows what each of them takes with it
+            ids = self._whole.encode(text, add_special_tokens=False).ids
+            return array("I", ids).tobytes()
         if _RUN.search(text):
             first, *rest = _GAP.split(text)
         else:
@@ -83,11 +94,12 @@ class Encoder:
         return b"".join([self.bare[first], *map(self.spaced.__getitem__, rest)])
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
     """The worker's encoder of a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = path, added_tokens
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, added_tokens)
+    return _ENCODERS[key]

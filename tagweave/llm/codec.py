@@ -64,12 +64,12 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, added_tokens: bool) -> DataFrame:
     """Blocks of ids of the documents in ascending doc_id order."""
     end = int(end_id).to_bytes(4, "little")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer).ids
+        ids_of = encoder(tokenizer, added_tokens).ids
         part, first, held = TaskContext.get().partitionId(), 0, 0
         doc_ids, counts, ids = [], [], []
 
@@ -108,12 +108,14 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (c.split(" ") for c in ddl.split(", "))])
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
+def write_tokens(
+    docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, added_tokens: bool = False
+) -> None:
     """Write the ids of ``docs`` (doc_id, text), ``end_id`` after each document, as a
     corpus folder at ``path``. Null texts are empty; rows with equal doc_ids follow each
     other. An empty table makes a corpus without blocks."""
     spark = docs.sparkSession
-    ids = durable(_tokenised(docs, tokenizer, end_id), "token-ids")
+    ids = durable(_tokenised(docs, tokenizer, end_id, added_tokens), "token-ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)

@@ -35,7 +35,11 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 
 def cut_pieces(
-    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID
+    docs: DataFrame,
+    tokenizer: str,
+    capacity: int = CAPACITY,
+    end_id: int = END_ID,
+    added_tokens: bool = False,
 ) -> DataFrame:
     """One row per piece of each document's ids (tokenizer ids, then ``end_id``).
 
@@ -47,7 +51,7 @@ def cut_pieces(
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer).ids
+        ids_of = encoder(tokenizer, added_tokens).ids
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -155,6 +159,8 @@ def _unfilled(sequence: np.ndarray, lengths: np.ndarray, capacity: int) -> np.nd
     return (np.bincount(sequence, weights=lengths) < capacity * (1 - UNFILLED))[sequence]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, added_tokens: bool = False
+) -> DataFrame:
     """Every document of ``docs`` (doc_id, text) placed into sequences of ``capacity``."""
-    return pack(cut_pieces(docs, tokenizer, capacity), capacity)
+    return pack(cut_pieces(docs, tokenizer, capacity, added_tokens=added_tokens), capacity)

@@ -46,13 +46,13 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_documents(spark, sf_dir), BPE)
+    return packing.pack_documents(_documents(spark, sf_dir), BPE, added_tokens=True)
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write documents as a corpus folder and read it back."""
     path = fresh_path(spark, "corpus")
-    codec.write_tokens(_documents(spark, sf_dir), path, BPE)
+    codec.write_tokens(_documents(spark, sf_dir), path, BPE, added_tokens=True)
     return codec.read_tokens(spark, path, digest=True)
 
 

@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tagweave.llm import codec, packing, pieces, token_files
+import corpus_pipeline
+from tagweave.llm import codec, packing, pieces, queries, token_files
 from tagweave.llm.bpe import Encoder
 from tagweave.llm.store import fresh_path
 
@@ -57,6 +58,34 @@ def test_chunked_ids_are_the_tokenizers(text):
     assert np.frombuffer(ENCODER.ids(text), "<u4").tolist() == _ids(PLAIN, text)
 
 
+MARKED = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y", "<|endoftext|><|endoftext|>\n c",
+          "<|endoftext|", "One two, three."]
+
+
+def test_added_tokens_have_their_own_ids():
+    plain, ours = Tokenizer.from_file(BPE), Encoder(BPE, added_tokens=True)
+    for text in [*MARKED, *[t for t in TEXTS if t]]:
+        assert np.frombuffer(ours.ids(text), "<u4").tolist() == _ids(plain, text)
+    assert np.frombuffer(ours.ids(MARKED[0]), "<u4").tolist() == [64, 50256, 65]
+
+
+def test_queries_use_the_added_tokens(spark, tmp_path):
+    plain = Tokenizer.from_file(BPE)
+    folder = str(tmp_path / "in")
+    table = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    table.write.parquet(f"{folder}/documents.parquet")
+    expected = [_ids(plain, t, 2) for t in MARKED]
+    packed = queries.op4_best_fit_packing(spark, folder).collect()
+    stage = corpus_pipeline.STAGES[-1][1](spark, table, folder).collect()
+    for rows in (packed, stage):
+        got = {r.doc_id: (r.length, r.ids_crc32) for r in rows}
+        assert got == {i: (len(x), _crc(x)) for i, x in enumerate(expected)}
+    tokens = queries.op5_token_output(spark, folder).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokens} == {
+        i: (len(x), _crc(x)) for i, x in enumerate(expected)
+    }
+
+
 def test_flat_files_count_tokens(spark, tokenizer):
     path = fresh_path(spark, "flat")
     token_files.write_flat(_table(spark), path, BPE)
