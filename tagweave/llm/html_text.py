@@ -3,7 +3,8 @@
 Paragraphs pass points for their length and commas to their ancestors, less the farther
 up, and a container's points are discounted by the share of its text inside links. The
 best container is kept together with those of its siblings that score well or read like
-paragraphs. Boilerplate elements (by tag, role or class words) are left out before.
+paragraphs. Boilerplate elements (by tag, role or class words) are left out before,
+unless one that only its class, id or being a form speaks against holds the main text.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 DROPPED = frozenset(
-    "aside button canvas dialog fieldset footer form head header iframe input label menu "
+    "aside button canvas dialog fieldset footer head header iframe input label menu "
     "nav noscript object script select style svg template textarea title".split()
 )
+SUSPECT = frozenset({"form"})
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("dl ol ul".split())
 PARAGRAPHS = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 BLOCKS = PARAGRAPHS | frozenset(
     "address article body center details div dl figure hr html main ol section summary "
@@ -50,15 +54,27 @@ _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _BLANKS = re.compile(r"\s+")
 SIBLING_SHARE = 0.2  # of the best score, for a sibling to be kept
-SIBLING_CHARS = 80  # of a paragraph beside the best container
+SIBLING_CHARS = 80  # of a paragraph beside an article or main element
 SIBLING_LINKS = 0.25  # and its share of text inside links
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "points", "chars", "linked", "dropped", "named")
-
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: bool = False):
+    __slots__ = (
+        "tag", "parent", "children", "points", "own", "held", "chars", "linked", "dropped",
+        "suspect", "named",
+    )
+
+    def __init__(
+        self,
+        tag: str,
+        parent: Node | None,
+        dropped: bool = False,
+        suspect: bool = False,
+        named: bool = False,
+    ):
         self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
+        self.suspect = suspect  # boilerplate unless it holds the main text
+        self.own, self.held = 0.0, 0.0  # points as a paragraph, and of all paragraphs below
         self.children: list[Node | str] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
         if parent is not None:
@@ -67,10 +83,18 @@ class Node:
 
 def _boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
     values = {k: v or "" for k, v in attrs}
-    if values.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in values:
-        return True
-    names = _CAMEL.sub(" ", f"{values.get('class', '')} {values.get('id', '')}").lower()
-    return not BOILERPLATE_WORDS.isdisjoint(_WORD.findall(names))
+    role = values.get("role", "").lower()
+    return (role in BOILERPLATE_ROLES and role != "form") or "hidden" in values
+
+
+def _suspect(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether a class or the id begins with a boilerplate word, or the role is form."""
+    values = {k: v or "" for k, v in attrs}
+    names = f"{values.get('class', '')} {values.get('id', '')}".split()
+    heads = (_WORD.search(_CAMEL.sub(" ", name).lower()) for name in names)
+    return values.get("role", "").lower() == "form" or any(
+        head and head[0] in BOILERPLATE_WORDS for head in heads
+    )
 
 
 class _Tree(HTMLParser):
@@ -93,20 +117,23 @@ class _Tree(HTMLParser):
                 if tag == "hr":
                     self._close({"p"})
             return
-        if tag in BLOCKS or tag in DROPPED:
+        if tag in BLOCKS or tag in DROPPED or tag in SUSPECT:
             self._close({"p"})
         for group in CLOSED_BY_NEXT:
             if tag in group:
                 self._close(group)
+        suspect = tag in SUSPECT or _suspect(attrs)
         dropped = tag in DROPPED or _boilerplate(attrs)
         main = tag in MAIN_TAGS or dict(attrs).get("role") == "main"
         if main and tag in MAIN_TAGS and not self.at.dropped:
+            suspect = False
             words = _WORD.findall(" ".join(v or "" for k, v in attrs if k in ("class", "id")).lower())
             dropped = bool({"comment", "comments", "ad", "ads", "advert"} & set(words))
         # the header of an article is part of it
         if tag == "header" and self._inside_main():
-            dropped = False
-        self.at = Node(tag, self.at, dropped or self.at.dropped, main)
+            dropped = suspect = False
+        dropped = dropped or self.at.dropped
+        self.at = Node(tag, self.at, dropped, suspect, main and not dropped)
 
     def _inside_main(self) -> bool:
         node = self.at
@@ -174,6 +201,8 @@ def _score(root: Node) -> list[Node]:
         order.append(node)
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.dropped)
     commas: dict[int, int] = {}
+    for node in order:
+        node.points = node.own = node.held = 0.0
     for node in reversed(order):
         own = [c for c in node.children if isinstance(c, str)]
         inner = [c for c in node.children if isinstance(c, Node) and not c.dropped]
@@ -189,13 +218,86 @@ def _score(root: Node) -> list[Node]:
         )
         if leaf and node.chars:
             points = (1 + commas[id(node)] + node.chars / 100) * (1 - node.linked / node.chars)
+            node.own = points
             up, share = node.parent if node.tag in PARAGRAPHS else node, 1.0
             while up is not None:
                 up.points += points * share
                 up, share = up.parent, share / 2
+    for node in reversed(order):
+        node.held += node.own
+        if node.parent is not None:
+            node.parent.held += node.held
     return order
 
 
+def _settle(root: Node) -> list[Node]:
+    """Drop the suspects, but not those that hold the main text: an article or main with
+    no less than the text outside suspects, where none is outside; or most of the page's
+    points, with a first heading or with nothing outside. What speaks for an element is
+    judged anew after each that stays. Returns the scored containers in page order."""
+    order = _score(root)
+    if not any(n.suspect for n in order):
+        return order
+    named, heads = set(), set()  # elements that hold a main element with text; an h1
+    for node in reversed(order):
+        if node.named and node.held or id(node) in named:
+            named |= {id(node), id(node.parent)}
+        if node.tag == "h1" or id(node) in heads:
+            heads |= {id(node), id(node.parent)}
+    while True:
+        inside: set[int] = set()  # suspects and all below
+        below: set[int] = set()  # main elements and all below
+        outer, rest, main_text_open, main_open = [], 0.0, False, False
+        for node in order:
+            up = id(node.parent)
+            if node.named or up in below:
+                below.add(id(node))
+            if up in inside:
+                inside.add(id(node))
+            elif node.suspect:
+                inside.add(id(node))
+                outer.append(node)
+            else:
+                rest += node.own
+                main_open = main_open or node.named
+                main_text_open = main_text_open or (node.own > 0 and id(node) in below)
+        stay = [
+            n for n in outer
+            if n.held > 0 and (
+                (id(n) in named and not main_text_open and n.held >= rest)
+                or (
+                    (id(n) in below or not main_open)
+                    and 2 * n.held > root.held
+                    and (id(n) in heads or not rest)
+                )
+            )
+        ]
+        if not stay:
+            break
+        node = max(stay, key=lambda n: n.held)
+        # wrappers of the same text stay together
+        while node is not None:
+            node.suspect = False
+            inner = [c for c in node.children if isinstance(c, Node) and not c.dropped]
+            node = next((c for c in inner if c.held == node.held), None)
+    for node in order:
+        node.dropped = node.suspect or (node.parent is not None and node.parent.dropped)
+    return _score(root)
+
+
+def _headed(node: Node) -> bool:
+    """Whether all text of an element is headings, whatever wraps them."""
+    stack: list[Node | str] = [node]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            if item.strip():
+                return False
+        elif not item.dropped and item.tag not in HEADINGS:
+            stack.extend(item.children)
+    return True
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: its blocks joined by line breaks, "" if there is none."""
     if not html:
@@ -203,7 +305,7 @@ def main_text(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    order = _score(tree.root)
+    order = _settle(tree.root)
 
     def worth(node: Node) -> float:
         return node.points * (1 - node.linked / node.chars) if node.chars else 0.0
@@ -226,7 +328,11 @@ def main_text(html: str | None) -> str:
         if not isinstance(node, Node) or node.dropped:
             continue
         density = node.linked / node.chars if node.chars else 1.0
-        reads = node.tag in PARAGRAPHS and node.chars >= SIBLING_CHARS and density < SIBLING_LINKS
+        reads = node.tag in PARAGRAPHS and node.chars >= SIBLING_CHARS
+        if not best.named:
+            # no element says where the main text ends
+            reads = node.tag in PARAGRAPHS or node.tag in LISTS or _headed(node)
+        reads = reads and density < SIBLING_LINKS
         if node is best or worth(node) >= least > 0 or reads:
             kept.append(node)
     return "\n".join(blocks(kept))
@@ -235,7 +341,7 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points of text) of every row of ``pages``.
 
-    Null and empty html give an empty text; so do pages of boilerplate alone. Rows are
+    Null and empty html give an empty text; so do pages of boilerplate tags alone. Rows are
     independent: repeated rows and null page_ids or urls are kept.
     """
 

@@ -89,6 +89,43 @@ def test_main_text_of_a_page(body, text):
     assert html_text.main_text(PAGE % body) == text
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ["div class='layout with-sidebar'", "div id='page-with-nav'", "div class='widget'",
+     "form", "div class='sidebar'", "div class='promo' id='nav'"],
+)
+def test_wrappers_keep_the_article(wrapper):
+    end = wrapper.split()[0]
+    for inner in ("%s", "<div class='modal'>%s</div>"):
+        body = inner % "<article><h1>Head</h1><p>One, two, three.</p></article>"
+        got = html_text.main_text(PAGE % f"<{wrapper}>{body}</{end}>")
+        assert got == "Head\nOne, two, three."
+    body = f"<h1>Head</h1><p>{'Some words, and more. ' * 30}</p><p>End, of it, all.</p>"
+    got = html_text.main_text(PAGE % f"<{wrapper}><div class=ad>Buy, buy</div>{body}</{end}>")
+    assert got.startswith("Head\nSome words") and got.endswith("\nEnd, of it, all.")
+    assert "Buy" not in got
+
+
+def test_related_articles_and_long_comments_stay_out():
+    text = "Some words, and more. " * 5
+    card = "<div class='related'><article><p>Short, one.</p></article></div>"
+    comments = f"<div class='comments'><p>{text * 9}</p></div>"
+    for open_tag in ("article", "div"):
+        page = f"<{open_tag}><p>{text}</p><p>{text}</p></{open_tag}>{card}{comments}"
+        assert html_text.main_text(page) == f"{text.strip()}\n{text.strip()}"
+
+
+def test_headings_lists_and_short_paragraphs_beside_the_best_container():
+    long = "Some words, and more, of it. " * 20
+    page = (
+        "<div><div class='entry-header'><h1>Head</h1></div><p>Short one.</p><ul><li>a</li></ul>"
+        f"<div class='entry-content'><div><p>{long}</p><p>{long}</p></div></div>"
+        "<p><a href='/'>link</a></p></div>"
+    )
+    flat = page.replace("<div><p>", "<p>").replace("</p></div></div>", "</p></div>")
+    assert html_text.main_text(flat) == f"Head\nShort one.\na\n{long.strip()}\n{long.strip()}"
+
+
 def test_main_text_of_odd_pages(spark):
     pages = [
         (1, "u", None, 0), (2, "u", "", 0), (3, None, "plain &amp; text", 0),
