@@ -1,6 +1,7 @@
 """Secret scanning: candidate strings judged by a random forest.
 
-Candidates are runs of key-like characters. A forest trained on labelled findings tells
+Candidates are runs of key-like characters, runs that begin with a known key format, and
+whatever is assigned to a secret word. A forest trained on labelled findings tells
 secrets from false positives by the candidate's length, its character transitions, the
 share of it that dictionary words cover, the path it was found under, and the words
 beside it. The dictionary is the frequent words of the whole corpus.
@@ -20,11 +21,33 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.store import durable, unused
 
-# at least 16 key characters with a digit among them, or capitals alone
+# fixed values: public formats of access keys, and words beside keys and beside digests
+KNOWN_FORMATS = (
+    "^(AKIA|ASIA)[A-Z0-9]{16}$",
+    "^gh[pousr]_[A-Za-z0-9]{36,}$",
+    "^xox[abprs]-[A-Za-z0-9-]{10,}$",
+    "^[sr]k_(live|test)_[A-Za-z0-9]{16,}$",
+    "^AIza[A-Za-z0-9_-]{35}$",
+)
+SECRET_WORDS = "secret|token|passw|pwd|passphrase|api.?key|access.?key|auth|credential|private"
+
 _KEY = "A-Za-z0-9+/_\\-"
+# what a secret word is followed by before its value
+_ASSIGNED = "[^\\s:=]{0,12}[ \\t]{0,3}[:=]{1,3}>?[ \\t]{0,3}[\"'`]?"
+# a value up to a blank, a quote, a further URL parameter or punctuation that ends a clause
+_VALUE = (
+    "(?![:=>])(?:[^\\s\"'`<>&]*&(?!\\w{1,40}=)){0,8}[^\\s\"'`<>&]*[^\\s\"'`<>&,;.:)\\]}]"
+)
+_PREFIXES = "|".join(p.removeprefix("^").removesuffix("$") for p in KNOWN_FORMATS)
+# a run that begins with a known format; whatever is assigned to a secret word; at least 16
+# key characters with a digit or letters of both cases among them, or capitals alone
 CANDIDATE = (
-    f"(?<![\\p{{L}}{_KEY}])(?:(?=[A-Za-z+/_\\-]{{0,300}}[0-9])[{_KEY}]{{16,}}+|[A-Z]{{16,}}+)"
-    f"(?![\\p{{L}}{_KEY}])"
+    f"(?<![\\p{{L}}{_KEY}])(?:"
+    f"(?:{_PREFIXES})[{_KEY}]*+(?!\\p{{L}})"
+    f"|(?<=[:=>\"'`\\t ])(?<=[:=]>?[ \\t]{{0,3}}[\"'`]?)(?<=(?i:{SECRET_WORDS}){_ASSIGNED}){_VALUE}"
+    f"|(?:(?=[A-Za-z+/_\\-]*+[0-9]|[A-Z0-9+/_\\-]*+[a-z][a-z0-9+/_\\-]*+[A-Z]"
+    f"|[a-z0-9+/_\\-]*+[A-Z][A-Z0-9+/_\\-]*+[a-z])[{_KEY}]{{16,}}+|[A-Z]{{16,}}+)"
+    f"(?![\\p{{L}}{_KEY}]))"
 )
 CONTEXT_CHARS = 40  # characters kept on either side of a candidate
 DICTIONARY_SHARE = 1e-5  # of all words, for a word to be in it; bounds it to 100,000
@@ -34,15 +57,6 @@ TREES, DEPTH, SEED = 24, 6, 11
 THRESHOLD = 0.5
 REDACTED = "[secret]"
 
-# fixed values: public formats of access keys, and words beside keys and beside digests
-KNOWN_FORMATS = (
-    "^(AKIA|ASIA)[A-Z0-9]{16}$",
-    "^gh[pousr]_[A-Za-z0-9]{36,}$",
-    "^xox[abprs]-[A-Za-z0-9-]{10,}$",
-    "^[sr]k_(live|test)_[A-Za-z0-9]{16,}$",
-    "^AIza[A-Za-z0-9_-]{35}$",
-)
-SECRET_WORDS = "secret|token|passw|pwd|passphrase|api.?key|access.?key|auth|credential|private"
 BENIGN_WORDS = (
     "example|sample|dummy|placeholder|checksum|digest|sha1|sha256|md5|commit|revision|uuid|"
     "guid|isbn|build|version|phone|card"
@@ -51,7 +65,7 @@ BENIGN_PATHS = "test|spec|example|sample|fixture|mock|doc|vendor|node_modules|lo
 
 FEATURES = (
     "length", "transitions", "digits", "uppers", "lowers", "vowels", "marks", "variety", "hex",
-    "coverage", "inside_path", "benign_path", "assigned", "quoted", "secret_word", "benign_word",
+    "coverage", "inside_path", "benign_path", "assigned", "quoted", "secret_word", "benign_word", "known",
 )
 
 
@@ -172,17 +186,22 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
             "secret_word"
         ),
         flag(near.rlike(f"\\b({BENIGN_WORDS})\\b")).alias("benign_word"),
+        flag(value.rlike("|".join(KNOWN_FORMATS))).alias("known"),
     )
 
 
 def labels(found: DataFrame) -> Column:
     """What is known of a finding by itself: 1 a secret, 0 not one, null undecided."""
-    known = F.lit(False)
-    for pattern in KNOWN_FORMATS:
-        known = known | F.col("value").rlike(pattern)
+    # a value given to a secret word needs no digit, if it is no word either
+    given = (F.col("secret_word") == 1) & (F.col("assigned") == 1) & (F.col("coverage") <= 0.5)
+    odd = F.col("value").rlike("[^A-Za-z0-9._-]") | (
+        F.col("value").rlike("[a-z]") & (F.col("uppers") > 0) & (F.col("transitions") >= 0.3)
+    )
     mixed = (F.col("digits") > 0) & (F.col("digits") < 1)
     return (
-        F.when(known, 1.0)
+        F.when(F.col("known") == 1, 1.0)
+        .when(given & (F.col("benign_word") == 0) & (F.col("digits") == 0) & odd, 1.0)
+        .when(given & F.col("digits").isin(0.0, 1.0), None)
         .when(F.col("digits").isin(0.0, 1.0) | (F.col("coverage") > 0.5), 0.0)
         .when((F.col("benign_word") == 1) & (F.col("secret_word") == 0), 0.0)
         .when((F.col("secret_word") == 1) & mixed, 1.0)
@@ -195,10 +214,19 @@ def seed_findings(spark: SparkSession) -> DataFrame:
     i = F.col("id").cast("string")
     digest = F.sha2(i, 256)
     capitals = F.upper(F.translate(F.sha2(F.concat(i, F.lit("k")), 256), "0123", "GHQZ"))
+    letters = F.translate(digest, "0123456789abcdef", "GkQzRxTmWbPvXcJn")
+    odd = F.translate(digest, "0123456789abcdef", "aR7$kQ!x9mZ#t2@W")
     kinds = [
         # value, text before, text after, label
         (F.substring(digest, 1, 40), F.lit('token = "'), F.lit('"'), 1.0),
         (F.substring(digest, 3, 18), F.lit("password="), F.lit(" "), 1.0),
+        (F.substring(letters, 1, 16), F.lit('secret: "'), F.lit('"'), 1.0),
+        (F.substring(letters, 9, 20), F.lit("api_key="), F.lit(" "), 1.0),
+        (F.substring(letters, 17, 16), F.lit("of "), F.lit(" "), 1.0),
+        (F.substring(odd, 1, 8), F.lit("password="), F.lit(" "), 1.0),
+        (F.substring(odd, 11, 11), F.lit("pwd: '"), F.lit("'"), 1.0),
+        (F.concat(F.lit("sk_live_"), F.substring(letters, 3, 16)), F.lit("of "), F.lit(" "), 1.0),
+        (F.concat(F.lit("xoxb-"), F.substring(letters, 5, 10)), F.lit("of "), F.lit(" "), 1.0),
         (F.concat(F.lit("AKIA"), F.substring(capitals, 5, 16)), F.lit("of "), F.lit(" "), 1.0),
         (F.substring(digest, 1, 40), F.lit("commit "), F.lit(" "), 0.0),
         (F.substring(F.translate(digest, "abcdef", "123456"), 1, 16), F.lit("card "), F.lit(" "), 0.0),
@@ -209,6 +237,13 @@ def seed_findings(spark: SparkSession) -> DataFrame:
     digits = F.transform(F.split(F.substring(digest, 1, 6), ""), lambda c: F.ascii(c) % 8)
     words = F.array_join(F.transform(digits, lambda d: F.get(syllables, d)), "")
     kinds.append((words, F.lit("! "), F.lit("! "), 0.0))
+    # words with a capital, compounds and names of several, also after a secret word
+    pairs = F.array_join(F.transform(digits, lambda d: F.initcap(F.get(syllables, d))), "")
+    kinds.append((F.initcap(words), F.lit("of "), F.lit(" "), 0.0))
+    kinds.append((pairs, F.lit("of "), F.lit(" "), 0.0))
+    short = F.substring(F.lower(words), 1, 7)
+    kinds.append((short, F.lit("the secret: "), F.lit(" "), 0.0))
+    kinds.append((F.initcap(short), F.lit("Author: "), F.lit(" "), 0.0))
     each = spark.range(SEED_FINDINGS)
     out = None
     for number, (value, before, after, label) in enumerate(kinds):

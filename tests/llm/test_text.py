@@ -187,6 +187,37 @@ def test_secrets_are_found_where_they_are(spark):
     assert secrets.findings(docs.limit(0)).count() == 0
 
 
+def test_secrets_without_digits_or_of_any_length_are_candidates(spark):
+    texts = {
+        1: ('say token = "GkQzRxTmWbPvXcJnQk" here', "GkQzRxTmWbPvXcJnQk"),
+        2: ("so sk_live_abcdefghijklmnop here", "sk_live_abcdefghijklmnop"),
+        3: ("so xoxb-abcdefGhij here", "xoxb-abcdefGhij"),
+        4: ("say password=aB3$x! here", "aB3$x!"),
+        5: ("say password = 'k#Q!zRxt', and on", "k#Q!zRxt"),
+        6: ("so GkQzRxTmWbPvXcJn here", "GkQzRxTmWbPvXcJn"),
+        7: ("u?secret=x$Y9&zW!&user=bob", "x$Y9&zW!"),
+        8: ("so " + "aB" * 400 + "7 here", "aB" * 400 + "7"),
+        9: ("so " + "ab" * 400 + "7 here", "ab" * 400 + "7"),
+    }
+    docs = spark.createDataFrame(
+        [(i, t) for i, (t, _) in texts.items()] + [(10, "Author: the man, a word and some words")],
+        "doc_id long, text string",
+    )
+    rows = secrets.findings(docs).collect()
+    for i, (text, value) in texts.items():
+        assert [text[r.start : r.start + r.length] for r in rows if r.doc_id == i] == [value]
+    assert {r.doc_id for r in rows if r.is_secret} >= {1, 2, 3, 4, 5}
+    blank = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert blank[4] == f"say password={secrets.REDACTED} here"
+    assert blank[10].startswith("Author: the man")
+
+
+def test_long_runs_do_not_break_the_pattern(spark):
+    texts = ["password=" + "a&" * 50_000, "token: " + "," * 100_000, "x" * 500_000, "aB+" * 90_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in secrets.findings(docs).collect()} == {0, 3}
+
+
 def test_secrets_are_blanked_and_nothing_else(spark):
     docs = _secret_docs(spark)
     before = {r.doc_id: r for r in docs.collect()}
