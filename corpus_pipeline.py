@@ -23,19 +23,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of linked documents, and
-    one of rows that repeat a doc_id and its text. Rows without a doc_id cannot be told
-    apart by it: they stay, one of each text, unless all are linked to rows with one."""
-    groups = jaccard.near_duplicates(docs)
-    kept_id, copy = unused(docs, "kept_id", "_copy")
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    rows = docs.join(
-        kept.select(F.col("doc_id").alias(kept_id)).distinct(),
-        F.col("doc_id").eqNullSafe(F.col(kept_id)),
-        "left_semi",
+    """Keep one document of each group of linked documents, that with the smallest doc_id
+    (null counts as the largest), and one of rows that repeat a doc_id and its text."""
+    row, copy = unused(docs, "_row", "_copy")
+    # doc_ids may be null or repeat, so rows are told apart by a number of their own
+    numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = jaccard.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("row"))
+    kept = (
+        groups.select(F.col("doc_id").alias(row), "component_id")
+        .join(numbered.select(row, "doc_id"), row)
+        .groupBy("component_id").agg(F.min(order).alias("first"))
+        .select(F.col("first.row").alias(row))
+    )
+    rows = numbered.join(kept, row, "left_semi")
+    same = W.partitionBy("doc_id", F.xxhash64("text"), F.length("text")).orderBy(row)
+    return (
+        rows.withColumn(copy, F.row_number().over(same)).filter(F.col(copy) == 1).drop(copy, row)
     )
-    same = W.partitionBy("doc_id", F.xxhash64("text"), F.length("text")).orderBy(F.lit(1))
-    return rows.withColumn(copy, F.row_number().over(same)).filter(F.col(copy) == 1).drop(copy)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -258,3 +258,13 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r.doc_id for r in packed.collect()} == counts[2]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_one_document_of_each_group_stays_whatever_its_doc_id(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    other, third = near.replace("w", "v"), near.replace("w", "u")
+    rows = [(None, near), (None, near + " x"), (None, near), (7, other), (7, other + " y"),
+            (None, other), (None, third), (9, third + " z"), (None, "alone with no one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in got) == [(0, "a"), (0, "w"), (7, "v"), (9, "u")]
