@@ -8,12 +8,16 @@ chunks lives as long as the Python worker; clearing it costs time and changes no
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
+from sys import getsizeof
 
 from tokenizers import Tokenizer
 
-TABLE_CHUNKS = 1_000_000  # distinct chunks remembered by a worker
+TABLE_BYTES = 150_000_000  # of remembered chunks in each of a worker's tables
+ENTRY_BYTES = 110  # that an entry takes besides its chunk and ids, about
+KEPT_CHARACTERS = 64  # longer chunks, as texts without spaces are, are not remembered
 _RUN = re.compile(r"\s\s")
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
@@ -23,7 +27,7 @@ class _Chunks(dict):
 
     def __init__(self, owner: Encoder, lead: str):
         super().__init__()
-        self.owner, self.lead = owner, lead
+        self.owner, self.lead, self.held = owner, lead, 0
 
     def __missing__(self, chunk: str) -> bytes:
         owner = self.owner
@@ -39,9 +43,12 @@ class _Chunks(dict):
             return (self[first] if first else owner.encode(self.lead)) + tail
         else:
             ids = owner.encode(self.lead + chunk)
-        if len(self) >= TABLE_CHUNKS:
-            self.clear()
-        self[chunk] = ids
+        if len(chunk) <= KEPT_CHARACTERS:
+            if self.held >= TABLE_BYTES:
+                self.clear()
+                self.held = 0
+            self[chunk] = ids
+            self.held += getsizeof(chunk) + getsizeof(ids) + ENTRY_BYTES
         return ids
 
 
@@ -58,6 +65,20 @@ class Encoder:
         if added_tokens and strings:
             self._added = re.compile("|".join(map(re.escape, strings)))
         self._whole = tokenizer
+        # other kinds of files than the one whose texts fall into chunks go to the library
+        parts = json.loads(tokenizer.to_str())
+        split = parts["pre_tokenizer"] or {}
+        self.chunked = (
+            parts["model"]["type"] == "BPE"
+            and not parts["normalizer"]
+            and not parts["model"].get("dropout")
+            and split.get("type") == "ByteLevel"
+            and not split.get("add_prefix_space")
+            and split.get("use_regex", True)
+        )
+        if not self.chunked:
+            tokenizer.encode_special_tokens = not added_tokens
+            return
         self._split = tokenizer.pre_tokenizer.pre_tokenize_str
         self._model = tokenizer.model
         # the tokenizer shows each byte as a printable character
@@ -83,7 +104,7 @@ class Encoder:
         """All ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self._added and self._added.search(text):
+        if not self.chunked or (self._added and self._added.search(text)):
             # few texts hold one; the library knows what each of them takes with it
             ids = self._whole.encode(text, add_special_tokens=False).ids
             return array("I", ids).tobytes()

@@ -13,12 +13,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-TABLE_CHUNKS = 700_000  # distinct chunks remembered by a worker
+TABLE_BYTES = 150_000_000  # of chunks remembered by a worker
+ENTRY_BYTES = 110  # that an entry takes besides its chunk and ids, about
+KEPT_CHARACTERS = 64  # longer chunks, as texts without spaces are, are not remembered
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -44,12 +47,10 @@ class Pieces:
         self.table: dict[str, str] = {}
         # the chunks that the library does not decode to themselves
         self.changed: dict[str, str] = {}
+        self.held = 0
 
     def _segment(self, chunks: list[str]) -> None:
         """Put chunks into the table."""
-        if len(self.table) + len(chunks) > TABLE_CHUNKS:
-            self.table.clear()
-            self.changed.clear()
         # the library itself puts the first marker before a text, unless that is empty
         ids = [
             x if chunk else [self.mark]
@@ -58,9 +59,11 @@ class Pieces:
         # a decoded text loses its first marker, so each chunk follows a known one
         decoded = self.model.decode([self.lead + x for x in ids], num_threads=1)
         for chunk, own, text in zip(chunks, ids, decoded, strict=True):
-            self.table[chunk] = ",".join(map(str, own))
+            self.table[chunk] = found = ",".join(map(str, own))
+            self.held += getsizeof(chunk) + getsizeof(found) + ENTRY_BYTES
             if text[2:] != chunk:
                 self.changed[chunk] = text[1:]
+                self.held += getsizeof(text[1:]) + ENTRY_BYTES
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """(number of ids, decimal ids joined by commas, decoded text)"""
@@ -76,17 +79,30 @@ class Pieces:
             chunks = text.split(" ")
         try:
             found = ",".join(map(self.table.__getitem__, chunks))
+            new = []
         except KeyError:
-            whole = list(dict.fromkeys(chunks))
-            new = [x for x in whole if x not in self.table]
-            self._segment(new if len(self.table) + len(new) <= TABLE_CHUNKS else whole)
+            if self.held >= TABLE_BYTES:
+                self.table.clear()
+                self.changed.clear()
+                self.held = 0
+            new = [x for x in dict.fromkeys(chunks) if x not in self.table]
+            self._segment(new)
             found = ",".join(map(self.table.__getitem__, chunks))
         back = text
         if MARK in text or (self.changed and not self.changed.keys().isdisjoint(chunks)):
             spaced = (self.changed.get(x) or " " + x.replace(MARK, " ") for x in chunks)
             back = "".join(spaced)[1:]
+        for long in new:
+            if len(long) > KEPT_CHARACTERS:
+                self._drop(long)
         return found.count(",") + 1, found, back
 
+    def _drop(self, chunk: str) -> None:
+        self.held -= getsizeof(chunk) + getsizeof(self.table.pop(chunk)) + ENTRY_BYTES
+        text = self.changed.pop(chunk, None)
+        if text is not None:
+            self.held -= getsizeof(text) + ENTRY_BYTES
+
 
 _MODELS: dict[str, Pieces] = {}
 

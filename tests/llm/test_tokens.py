@@ -173,7 +173,7 @@ def test_pieces_are_the_librarys(spark):
 
 
 def test_piece_table_may_be_cleared(monkeypatch):
-    monkeypatch.setattr(pieces, "TABLE_CHUNKS", 3)
+    monkeypatch.setattr(pieces, "TABLE_BYTES", 600)
     own, whole = pieces.Pieces(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     for text in ("a b c d e f", "f e d", "g h", "a b c d e f"):
         assert own.encode(text)[1] == ",".join(map(str, whole.encode(text)))
@@ -232,3 +232,26 @@ def test_packing_over_shards_stays_close_to_the_bound(spark):
     used = len({r.sequence_id for r in got})
     # the method leaves about 3 % over a thousand items of even sizes, less over more
     assert used <= 1.04 * sum(r[1] for r in rows) / 1024
+
+
+def test_long_chunks_are_not_remembered():
+    """Texts without spaces are one chunk each and would fill the tables."""
+    texts = [chr(0x4E00 + i) * 1500 for i in range(50)] + ["plain words here"] * 2
+    own, marked = Encoder(BPE), pieces.Pieces(MODEL)
+    library = Tokenizer.from_file(BPE)
+    for text in texts:
+        assert own.ids(text) == np.array(library.encode(text).ids, "<u4").tobytes()
+        ids = marked.model.encode(text)
+        assert marked.encode(text) == (len(ids), ",".join(map(str, ids)), text)
+    for held, tables in ((own.bare.held + own.spaced.held, (own.bare, own.spaced)),
+                         (marked.held, (marked.table,))):
+        assert held < 10_000
+        assert all(len(chunk) <= 64 for table in tables for chunk in table)
+
+
+def test_other_tokenizer_files_go_to_the_library(tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    for text in ("Some  Words", "", "a<|endoftext|>b"):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert Encoder(path, added_tokens=True).ids(text) == np.array(want, "<u4").tobytes()
