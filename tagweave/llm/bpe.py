@@ -1,9 +1,9 @@
 """Byte-level BPE ids of whole texts.
 
-A space between two characters that are no white space always begins a new piece of
-the tokenizer, so a text falls into chunks that are encoded independently. Each
-distinct chunk is encoded once and its ids are joined in text order. The table of
-chunks lives as long as the Python worker; clearing it costs time and changes nothing.
+A tokenizer file whose every entry its own merges lead to, in the order of the ids, is a
+table of ranks: the ids of a text are those that merging by rank gives, whichever program
+does it. Such files are encoded by tiktoken, which does nothing else and keeps nothing;
+all others by the tokenizers library.
 """
 
 from __future__ import annotations
@@ -11,45 +11,63 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from sys import getsizeof
 
+import tiktoken
 from tokenizers import Tokenizer
 
-TABLE_BYTES = 150_000_000  # of remembered chunks in each of a worker's tables
-ENTRY_BYTES = 110  # that an entry takes besides its chunk and ids, about
-KEPT_CHARACTERS = 64  # longer chunks, as texts without spaces are, are not remembered
-_RUN = re.compile(r"\s\s")
-_GAP = re.compile(r"(?<=\S) (?=\S)")
-
-
-class _Chunks(dict):
-    """chunk -> little-endian unsigned 32-bit ids; ``lead`` is put before the chunk."""
-
-    def __init__(self, owner: Encoder, lead: str):
-        super().__init__()
-        self.owner, self.lead, self.held = owner, lead, 0
-
-    def __missing__(self, chunk: str) -> bytes:
-        owner = self.owner
-        if chunk.isalpha():
-            ids = owner.merge((self.lead + chunk).encode().decode("latin-1").translate(owner.shown))
-        elif chunk[-1:] in owner.marks and chunk[-2:-1].isalnum():
-            # a mark after a letter or digit is a piece of its own
-            return self[chunk[:-1]] + owner.marks[chunk[-1]]
-        elif "\n" in chunk and not _RUN.search(self.lead + chunk):
-            # a lone line break is a piece of its own and the next line starts afresh
-            first, *rest = chunk.split("\n")
-            tail = b"".join([owner.feed + owner.bare[x] for x in rest])
-            return (self[first] if first else owner.encode(self.lead)) + tail
-        else:
-            ids = owner.encode(self.lead + chunk)
-        if len(chunk) <= KEPT_CHARACTERS:
-            if self.held >= TABLE_BYTES:
-                self.clear()
-                self.held = 0
-            self[chunk] = ids
-            self.held += getsizeof(chunk) + getsizeof(ids) + ENTRY_BYTES
-        return ids
+# Fixed value: the pattern by which byte-level tokenizer files split a text.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def shown_bytes() -> dict[int, str]:
+    """The printable character that stands for each byte in the entries of such files."""
+    alphabet = iter(range(256, 512))
+    return {
+        b: chr(b if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b else next(alphabet))
+        for b in range(256)
+    }
+
+
+def entries(tokenizer: Tokenizer) -> dict[bytes, int]:
+    """The bytes of each entry that is made of shown bytes, with its id."""
+    byte_of = {c: b for b, c in shown_bytes().items()}
+    return {
+        bytes(byte_of[c] for c in entry): i
+        for entry, i in tokenizer.get_vocab(with_added_tokens=False).items()
+        if all(c in byte_of for c in entry)
+    }
+
+
+def _ranks(tokenizer: Tokenizer) -> dict[bytes, int] | None:
+    """The entries as ranks, if merging by them does what the file says."""
+    parts = json.loads(tokenizer.to_str())
+    model, split = parts["model"], parts["pre_tokenizer"] or {}
+    if (
+        model["type"] != "BPE"
+        or parts["normalizer"]
+        or any(model.get(x) for x in (
+            "dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges",
+            "fuse_unk",
+        ))
+        or split.get("type") != "ByteLevel"
+        or split.get("add_prefix_space")
+        or not split.get("use_regex", True)
+    ):
+        return None
+    vocab, added = model["vocab"], set(tokenizer.get_added_tokens_decoder())
+    merged = [
+        vocab["".join(pair.split(" ") if isinstance(pair, str) else pair)]
+        for pair in model["merges"]
+    ]
+    known = {i: entry for entry, i in vocab.items() if i not in added}
+    if any(a >= b for a, b in zip(merged, merged[1:], strict=False)) or any(
+        [token.id for token in tokenizer.model.tokenize(entry)] != [i]
+        for i, entry in known.items()
+    ):
+        return None
+    ranks = {x: i for x, i in entries(tokenizer).items() if i in known}
+    whole = len(ranks) == len(known) and all(bytes([b]) in ranks for b in range(256))
+    return ranks if whole else None
 
 
 class Encoder:
@@ -64,55 +82,21 @@ class Encoder:
         self._added = None
         if added_tokens and strings:
             self._added = re.compile("|".join(map(re.escape, strings)))
+        tokenizer.encode_special_tokens = not added_tokens
         self._whole = tokenizer
-        # other kinds of files than the one whose texts fall into chunks go to the library
-        parts = json.loads(tokenizer.to_str())
-        split = parts["pre_tokenizer"] or {}
-        self.chunked = (
-            parts["model"]["type"] == "BPE"
-            and not parts["normalizer"]
-            and not parts["model"].get("dropout")
-            and split.get("type") == "ByteLevel"
-            and not split.get("add_prefix_space")
-            and split.get("use_regex", True)
-        )
-        if not self.chunked:
-            tokenizer.encode_special_tokens = not added_tokens
-            return
-        self._split = tokenizer.pre_tokenizer.pre_tokenize_str
-        self._model = tokenizer.model
-        # the tokenizer shows each byte as a printable character
-        self.shown = {}
-        alphabet = iter(range(256, 512))
-        for byte in range(256):
-            printable = 33 <= byte <= 126 or 161 <= byte <= 172 or 174 <= byte
-            self.shown[byte] = chr(byte if printable else next(alphabet))
-        self.feed = self.encode("\n")
-        self.marks = {mark: self.encode(mark) for mark in ".,;:!?"}
-        self.bare = _Chunks(self, "")
-        self.spaced = _Chunks(self, " ")
-
-    def merge(self, piece: str) -> bytes:
-        """The ids of one piece of shown bytes."""
-        return array("I", [token.id for token in self._model.tokenize(piece)]).tobytes()
-
-    def encode(self, chunk: str) -> bytes:
-        """The ids of one chunk, without the table."""
-        return b"".join([self.merge(piece) for piece, _ in self._split(chunk)])
+        ranks = _ranks(tokenizer)
+        self._plain = ranks and tiktoken.Encoding(
+            "file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}
+        ).encode_ordinary
 
     def ids(self, text: str) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if not self.chunked or (self._added and self._added.search(text)):
-            # few texts hold one; the library knows what each of them takes with it
-            ids = self._whole.encode(text, add_special_tokens=False).ids
-            return array("I", ids).tobytes()
-        if _RUN.search(text):
-            first, *rest = _GAP.split(text)
-        else:
-            first, *rest = text.split(" ")
-        return b"".join([self.bare[first], *map(self.spaced.__getitem__, rest)])
+        if not self._plain or (self._added and self._added.search(text)):
+            # few texts hold an added token; the library knows what each takes with it
+            return array("I", self._whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self._plain(text)).tobytes()
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

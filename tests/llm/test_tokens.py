@@ -235,18 +235,31 @@ def test_packing_over_shards_stays_close_to_the_bound(spark):
 
 
 def test_long_chunks_are_not_remembered():
-    """Texts without spaces are one chunk each and would fill the tables."""
+    """Texts without spaces are one chunk each and would fill the table."""
     texts = [chr(0x4E00 + i) * 1500 for i in range(50)] + ["plain words here"] * 2
-    own, marked = Encoder(BPE), pieces.Pieces(MODEL)
-    library = Tokenizer.from_file(BPE)
+    marked = pieces.Pieces(MODEL)
     for text in texts:
-        assert own.ids(text) == np.array(library.encode(text).ids, "<u4").tobytes()
         ids = marked.model.encode(text)
         assert marked.encode(text) == (len(ids), ",".join(map(str, ids)), text)
-    for held, tables in ((own.bare.held + own.spaced.held, (own.bare, own.spaced)),
-                         (marked.held, (marked.table,))):
-        assert held < 10_000
-        assert all(len(chunk) <= 64 for table in tables for chunk in table)
+    assert marked.held < 10_000
+    assert all(len(chunk) <= 64 for chunk in marked.table)
+
+
+def test_ids_of_every_character(tokenizer):
+    """Both programs split a text alike around any character."""
+    own = Encoder(BPE)
+    assert own._plain
+    for low in range(0, 0x20000, 0x2000):
+        found = [chr(c) for c in range(low, low + 0x2000) if not 0xD800 <= c <= 0xDFFF]
+        text = "".join(f"a{c}b 1{c}2 .{c}. {c}{c}  {c}\n" for c in found)
+        assert own.ids(text) == np.array(_ids(tokenizer, text), "<u4").tobytes()
+
+
+def test_ids_of_long_runs(tokenizer):
+    own, pick = Encoder(BPE), random.Random(4)
+    for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", " ", "0123456789", "-=", "é"):
+        text = "x" + "".join(pick.choice(letters) for _ in range(60_000))
+        assert own.ids(text) == np.array(_ids(tokenizer, text), "<u4").tobytes()
 
 
 def test_other_tokenizer_files_go_to_the_library(tmp_path):
