@@ -300,7 +300,8 @@ def mix(
     The same documents and seed give the same mix, however they are stored. Sources
     without words give nothing.
     """
-    taken = slots(sources, block, seed)
+    # Spark takes the slots for as few as the draws, but they grow with the corpus
+    taken = slots(sources, block, seed).hint("merge")
     return (
         taken.join(blocks(placed, block), ["sid", "block"])
         .withColumn("length", F.least("length", F.col("words") - F.col("at")))
@@ -376,7 +377,7 @@ def taken(docs: DataFrame, seed: int = 1) -> DataFrame:
     sources = targets(placed)
     counted = mix(placed, sources, seed=seed).groupBy("row").agg(F.sum("length").alias("taken"))
     return (
-        placed.join(counted, "row", "left")
+        placed.join(counted.hint("merge"), "row", "left")
         .join(sources.select("sid", "source_size", "target"), "sid")
         .select("doc_id", "size", "source_size", "target",
                 F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
