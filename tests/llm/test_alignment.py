@@ -97,8 +97,8 @@ def test_emptied_tables_lose_no_count():
         own = alignment.Aligner(BPE, PIECES)
         before, alignment.TABLE_BYTES = alignment.TABLE_BYTES, limit
         try:
-            for text in texts:
-                own.align(text, own.b.encode(text))
+            for low in range(0, 300, 20):
+                own.align(texts[low : low + 20])
         finally:
             alignment.TABLE_BYTES = before
         found.append(dict(zip(*(x.tolist() for x in own.counts()), strict=True)))
