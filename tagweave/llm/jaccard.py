@@ -37,7 +37,7 @@ from tagweave.llm.store import durable
 
 PERCENT = 80  # 100 * intersection >= PERCENT * union
 SCREEN_SHARE = 12  # the screen asks for n / SCREEN_SHARE common prefix tokens
-FLUSH_TOKENS = 1_000_000  # tokens that a scanning task holds
+FLUSH_TOKENS = 250_000  # tokens that a scanning task holds
 BUCKET_TOKENS = 250_000  # expected tokens of a bucket of the screen
 TEXT_BYTES_PER_TOKEN = 20  # at least, for a prefix token of the screen
 STARS = 3  # rounds of comparisons with one class of each token
@@ -135,17 +135,19 @@ def _screen(docs: DataFrame, percent: int) -> DataFrame:
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many common tokens the sets of a bucket have in it."""
-        held: list[dict] = []
+        held: list[tuple[pa.Buffer, ...]] = []
         at = None
 
         def common() -> pa.RecordBatch:
-            token = np.frombuffer(b"".join(r["tokens"] for r in held), "<u8")
-            key = np.frombuffer(b"".join(r["keys"] for r in held), "<i8")
-            need = np.frombuffer(b"".join(r["needs"] for r in held), "<i4")
-            if held[0]["bucket"] < 0:
+            joined = [b"".join(column) for column in zip(*held, strict=True)]
+            held.clear()
+            token = np.frombuffer(joined[0], "<u8")
+            key = np.frombuffer(joined[1], "<i8")
+            need = np.frombuffer(joined[2], "<i4")
+            if at < 0:
                 counts = token.astype(np.int64)
             else:
-                seen = np.frombuffer(b"".join(r["seen"] for r in held), bool)
+                seen = np.frombuffer(joined[3], bool)
                 _, inverse, times = np.unique(token, return_inverse=True, return_counts=True)
                 # a token seen twice by its sender is counted there already
                 new = (times[inverse] > 1) & ~seen
@@ -154,12 +156,11 @@ def _screen(docs: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_pydict({"key": key, "need": need, "n": counts}, _COMMON)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and (row["bucket"] != at or at < 0):
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
+                if held and (bucket != at or at < 0):
                     yield common()
-                    held.clear()
-                at = row["bucket"]
-                held.append(row)
+                at = bucket
+                held.append(tuple(batch.column(c)[i].as_buffer() for c in range(1, 5)))
         if held:
             yield common()
 

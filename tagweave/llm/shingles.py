@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 WORDS = 5
-SLICE_BYTES = 2_000_000  # bounds the memory of one vectorised step, whatever the batch
+SLICE_BYTES = 1_000_000  # bounds the memory of one vectorised step, whatever the batch
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
