@@ -10,6 +10,7 @@ unless one that only its class, id or being a form speaks against holds the main
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -48,11 +49,15 @@ BOILERPLATE_WORDS = frozenset(
     "share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar "
     "widget".split()
 )
+# a header is boilerplate as the last word of a name only where it is that of the site
+HEADER_OWNERS = frozenset("app global site top".split())
+LEAST_SHARE = 2.0**-24  # of a paragraph's points, for an ancestor to be given any
 MAIN_TAGS = frozenset({"article", "main"})
 
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _BLANKS = re.compile(r"\s+")
+_UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 SIBLING_SHARE = 0.2  # of the best score, for a sibling to be kept
 SIBLING_CHARS = 80  # of a paragraph beside an article or main element
 SIBLING_LINKS = 0.25  # and its share of text inside links
@@ -61,7 +66,7 @@ SIBLING_LINKS = 0.25  # and its share of text inside links
 class Node:
     __slots__ = (
         "tag", "parent", "children", "points", "own", "held", "chars", "linked", "dropped",
-        "suspect", "named",
+        "suspect", "named", "inside", "inside",
     )
 
     def __init__(
@@ -73,6 +78,8 @@ class Node:
         named: bool = False,
     ):
         self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
+        # whether it is, or is below, a declared main element
+        self.inside = named or (parent is not None and parent.inside)
         self.suspect = suspect  # boilerplate unless it holds the main text
         self.own, self.held = 0.0, 0.0  # points as a paragraph, and of all paragraphs below
         self.children: list[Node | str] = []
@@ -84,17 +91,30 @@ class Node:
 def _boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
     values = {k: v or "" for k, v in attrs}
     role = values.get("role", "").lower()
-    return (role in BOILERPLATE_ROLES and role != "form") or "hidden" in values
+    return (
+        (role in BOILERPLATE_ROLES and role != "form")
+        or "hidden" in values
+        or values.get("aria-hidden", "").lower() == "true"
+        or bool(_UNSEEN.search(values.get("style", "").lower()))
+    )
+
+
+def _named_boilerplate(name: str) -> bool:
+    """Whether the first or the last word of a class or id is a boilerplate word."""
+    words = _WORD.findall(_CAMEL.sub(" ", name).lower())
+    if not words:
+        return False
+    last = words[-1] in BOILERPLATE_WORDS and (
+        words[-1] != "header" or words[0] in HEADER_OWNERS
+    )
+    return last or words[0] in BOILERPLATE_WORDS
 
 
 def _suspect(attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether a class or the id begins with a boilerplate word, or the role is form."""
+    """Whether a class or the id has a boilerplate name, or the role is form."""
     values = {k: v or "" for k, v in attrs}
     names = f"{values.get('class', '')} {values.get('id', '')}".split()
-    heads = (_WORD.search(_CAMEL.sub(" ", name).lower()) for name in names)
-    return values.get("role", "").lower() == "form" or any(
-        head and head[0] in BOILERPLATE_WORDS for head in heads
-    )
+    return values.get("role", "").lower() == "form" or any(map(_named_boilerplate, names))
 
 
 class _Tree(HTMLParser):
@@ -104,6 +124,15 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", None)
         self.at = self.root
+        self.open: Counter[str] = Counter()  # tags of the open elements
+
+    def _end(self, node: Node) -> None:
+        """End the open elements up to ``node``, which is open."""
+        while True:
+            self.open[self.at.tag] -= 1
+            self.at, last = self.at.parent, self.at
+            if last is node:
+                return
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
@@ -130,36 +159,33 @@ class _Tree(HTMLParser):
             words = _WORD.findall(" ".join(v or "" for k, v in attrs if k in ("class", "id")).lower())
             dropped = bool({"comment", "comments", "ad", "ads", "advert"} & set(words))
         # the header of an article is part of it
-        if tag == "header" and self._inside_main():
+        if tag == "header" and self.at.inside:
             dropped = suspect = False
         dropped = dropped or self.at.dropped
         self.at = Node(tag, self.at, dropped, suspect, main and not dropped)
-
-    def _inside_main(self) -> bool:
-        node = self.at
-        while node is not None and not node.named:
-            node = node.parent
-        return node is not None
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def _close(self, tags):
         """End the nearest open element of ``tags`` below the nearest container."""
+        if not any(self.open[tag] for tag in tags):
+            return
         node = self.at
         while node.tag not in tags:
             if node.parent is None or (node.tag in BLOCKS and node.tag != "p"):
                 return
             node = node.parent
-        self.at = node.parent
+        self._end(node)
 
     def handle_endtag(self, tag):
-        if tag in ("body", "html"):
+        if tag in ("body", "html") or not self.open[tag]:
             return
         node = self.at
         while node.parent is not None:
             if node.tag == tag:
-                self.at = node.parent
+                self._end(node)
                 return
             if node.tag in MAIN_TAGS and tag not in BLOCKS:
                 return
@@ -220,7 +246,7 @@ def _score(root: Node) -> list[Node]:
             points = (1 + commas[id(node)] + node.chars / 100) * (1 - node.linked / node.chars)
             node.own = points
             up, share = node.parent if node.tag in PARAGRAPHS else node, 1.0
-            while up is not None:
+            while up is not None and share > LEAST_SHARE:
                 up.points += points * share
                 up, share = up.parent, share / 2
     for node in reversed(order):
@@ -244,37 +270,39 @@ def _settle(root: Node) -> list[Node]:
             named |= {id(node), id(node.parent)}
         if node.tag == "h1" or id(node) in heads:
             heads |= {id(node), id(node.parent)}
+    place = {id(node): i for i, node in enumerate(order)}
+    below: set[int] = set()  # main elements and all below, as far as opened
+    outer: list[Node] = []  # suspects that nothing open is below of, if they can stay
+    rest, main_text_open, main_open = 0.0, False, False
+    todo = [root]
     while True:
-        inside: set[int] = set()  # suspects and all below
-        below: set[int] = set()  # main elements and all below
-        outer, rest, main_text_open, main_open = [], 0.0, False, False
-        for node in order:
-            up = id(node.parent)
-            if node.named or up in below:
+        # each element is opened once: its own points count outside of suspects
+        while todo:
+            node = todo.pop()
+            if node.named or id(node.parent) in below:
                 below.add(id(node))
-            if up in inside:
-                inside.add(id(node))
-            elif node.suspect:
-                inside.add(id(node))
-                outer.append(node)
-            else:
-                rest += node.own
-                main_open = main_open or node.named
-                main_text_open = main_text_open or (node.own > 0 and id(node) in below)
+            if node.suspect:
+                if node.held > 0 and (id(node) in named or 2 * node.held > root.held):
+                    outer.append(node)
+                continue
+            rest += node.own
+            main_open = main_open or node.named
+            main_text_open = main_text_open or (node.own > 0 and id(node) in below)
+            todo.extend(c for c in node.children if isinstance(c, Node) and not c.dropped)
         stay = [
             n for n in outer
-            if n.held > 0 and (
-                (id(n) in named and not main_text_open and n.held >= rest)
-                or (
-                    (id(n) in below or not main_open)
-                    and 2 * n.held > root.held
-                    and (id(n) in heads or not rest)
-                )
+            if (id(n) in named and not main_text_open and n.held >= rest)
+            or (
+                (id(n) in below or not main_open)
+                and 2 * n.held > root.held
+                and (id(n) in heads or not rest)
             )
         ]
         if not stay:
             break
-        node = max(stay, key=lambda n: n.held)
+        node = max(stay, key=lambda n: (n.held, -place[id(n)]))
+        outer.remove(node)
+        todo.append(node)
         # wrappers of the same text stay together
         while node is not None:
             node.suspect = False
