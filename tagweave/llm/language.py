@@ -9,13 +9,13 @@ is far below what the language's own training texts reach.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ TEXTS_AT_ONCE = 128
 # below this cosine if that is less
 REJECT_SHARE = 0.5
 REJECT_COSINE = 0.1
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 # letters stay, everything else is one blank; bytes above 127 belong to letters here
 _FOLD = np.full(256, 32, np.uint8)

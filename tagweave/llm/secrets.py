@@ -36,7 +36,7 @@ _KEY = "A-Za-z0-9+/_\\-"
 _ASSIGNED = "[^\\s:=]{0,12}[ \\t]{0,3}[:=]{1,3}>?[ \\t]{0,3}[\"'`]?"
 # a value up to a blank, a quote, a further URL parameter or punctuation that ends a clause
 _VALUE = (
-    "(?![:=>])(?:[^\\s\"'`<>&]*&(?!\\w{1,40}=)){0,8}[^\\s\"'`<>&]*[^\\s\"'`<>&,;.:)\\]}]"
+    "(?![:=>])(?:(?:[,;.:)\\]}]++|&(?!\\w{1,40}=))*+[^\\s\"'`<>&,;.:)\\]}]++)++"
 )
 _PREFIXES = "|".join(p.removeprefix("^").removesuffix("$") for p in KNOWN_FORMATS)
 # a run that begins with a known format; whatever is assigned to a secret word; at least 16
@@ -51,6 +51,7 @@ CANDIDATE = (
 )
 CONTEXT_CHARS = 40  # characters kept on either side of a candidate
 DICTIONARY_SHARE = 1e-5  # of all words, for a word to be in it; bounds it to 100,000
+WORD_TIMES = 3
 TRAIN_FINDINGS = 20_000  # expected labelled findings used: the bound of the sample
 SEED_FINDINGS = 200  # generated findings of each kind that join them
 TREES, DEPTH, SEED = 24, 6, 11
@@ -128,20 +129,20 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
-    """The words of three to twelve letters with at least DICTIONARY_SHARE of all such
-    words of ``docs``."""
+    """The words of three to twelve letters, next to no digit, with at least DICTIONARY_SHARE
+    of all such words of ``docs`` and WORD_TIMES occurrences: pieces of keys are no words."""
     words = docs.select(
         F.explode(
             F.filter(
-                F.split(F.lower("text"), "[^a-z]+"),
-                lambda w: F.length(w).between(3, 12),
+                F.split(F.lower("text"), "[^a-z0-9]+"),
+                lambda w: F.length(w).between(3, 12) & ~w.rlike("[0-9]"),
             )
         ).alias("word")
     )
     counts = durable(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     return durable(
-        counts.filter(F.col("n") >= max(1.0, total * DICTIONARY_SHARE)).select("word"),
+        counts.filter(F.col("n") >= max(WORD_TIMES, total * DICTIONARY_SHARE)).select("word"),
         "dictionary",
     )
 
@@ -269,7 +270,7 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel:
     draw = F.pmod(F.xxhash64("key", "finding"), F.lit(1 << 20))
     rows = labelled.filter(draw < int((1 << 20) * min(1.0, TRAIN_FINDINGS / max(1, total))) + 1)
     # the sample is bounded; one sorted partition makes the forest repeatable
-    rows = rows.coalesce(1).sortWithinPartitions("key", "finding")
+    rows = rows.repartition(1).sortWithinPartitions("key", "finding")
     forest = RandomForestClassifier(
         labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED
     )

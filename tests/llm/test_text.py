@@ -1,13 +1,16 @@
 """Language identification, page text, secret scans and the pipeline on small fixtures."""
 
+import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tagweave.llm import html_text, language, queries, secrets
+from tagweave.llm.html_text import main_text
 
 WORDS = {
     "en": "the and of to in is that for with was this from have are not which".split(),
@@ -268,3 +271,119 @@ def test_one_document_of_each_group_stays_whatever_its_doc_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted((r.doc_id or 0, r.text[0]) for r in got) == [(0, "a"), (0, "w"), (7, "v"), (9, "u")]
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    [f'class="{c}"' for c in (
+        "post-comments", "user-comments", "article-comments", "site-footer", "article-footer",
+        "main-nav", "left-sidebar", "google-ad", "in-article-ad", "siteHeader",
+    )]
+    + ['style="color: red; display:none"', 'aria-hidden="true"', 'style="visibility: hidden"'],
+)
+def test_named_and_unseen_boilerplate(attributes):
+    words = "A long enough sentence, with commas, stands here for the main text of a page. " * 3
+    other = "Words of others, nothing that belongs to the text of this page, at any length. " * 2
+    inside = f"<article><h1>Title</h1><p>{words}</p><div {attributes}><p>{other}</p></div></article>"
+    beside = f"<div><h1>Title</h1><p>{words}</p></div><div {attributes}><p>{other}</p></div>"
+    for page in (inside, beside):
+        assert main_text(page) == f"Title\n{words.strip()}"
+
+
+def test_headers_of_entries_and_wrappers_stay():
+    words = "A long enough sentence, with commas, stands here for the main text of a page. " * 3
+    page = (
+        f'<div class="layout with-sidebar"><div class="entry-header"><h1>Title</h1></div>'
+        f"<div><p>{words}</p><p>{words}</p></div></div>"
+    )
+    assert main_text(page) == f"Title\n{words.strip()}\n{words.strip()}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>x" * 100_000,
+        '<div class="nav">x' * 50_000,
+        "<b>" * 50_000 + "<p>x</p>" * 50_000,
+        "<span>" * 50_000 + "</i>" * 50_000 + "x",
+        "<article>x</b>" * 30_000,
+    ],
+)
+def test_time_grows_with_the_page(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 4
+
+
+def test_numbers_of_other_kinds_are_no_letters(spark):
+    docs = spark.createDataFrame(
+        [(i, "plain words of one language here " * 4, "en") for i in range(40)]
+        + [(100, "½ ① ² Ⅷ 12", None), (101, "½ a", None)],
+        "doc_id long, text string, lang string",
+    )
+    model = language.fit(docs, F.lit(True))
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
+    assert got[100] == "und" and got[101] == "en"
+
+
+def test_assigned_values_are_whole(spark):
+    value = "&".join("abcdefghijk") + "&lm9Z"
+    long = "&".join(f"a{i}b;c" for i in range(20_000)) + "&Z9"
+    texts = [
+        f"password={value}", f"password={value}&&.", f"see ?token={value}&user=bob",
+        f"secret: {long}. Next", f"password={value}&;&x=1",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.value for r in secrets.candidates(docs).collect()}
+    assert got == {value, long}
+    assert all(
+        value not in r.text and "lm9Z" not in r.text for r in secrets.redact(docs).collect()[:3]
+    )
+
+
+def _planted(rnd, n):
+    """(text, value, whether it is a secret) as a writer of the text knows it; nothing here
+    looks at the features or the rules of the scan."""
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    pick = lambda k, letters=base62: "".join(rnd.choice(letters) for _ in range(k))
+    hexes = "0123456789abcdef"
+    uuid = lambda: "-".join(pick(k, hexes) for k in (8, 4, 4, 4, 12))
+    kinds = [
+        (True, "the api_key = '{}' is used by the job", lambda: pick(32)),
+        (True, "export SERVICE_TOKEN={} before you start", lambda: pick(40)),
+        (True, "client secret: {} (rotate it soon)", lambda: pick(24)),
+        (True, "password={} in the config", lambda: pick(14, base62 + "!#%*")),
+        (True, "aws key AKIA{} was found", None),
+        (True, "use ghp_{} to clone", None),
+        (True, "auth_token: \"{}\"", lambda: pick(48, hexes)),
+        (False, "the sha256 checksum is {} for the file", lambda: pick(64, hexes)),
+        (False, "commit {} fixes it", lambda: pick(40, hexes)),
+        (False, "request uuid {} was logged", uuid),
+        (False, "isbn {} of the book", lambda: pick(17, "0123456789")),
+        (False, "build {} of the app version", lambda: pick(20, hexes)),
+        (False, "md5 digest {} of the archive", lambda: pick(32, hexes)),
+    ]
+    rows = []
+    for i in range(n):
+        secret, form, value = kinds[i % len(kinds)]
+        if value:
+            text = value()
+        else:
+            text = f"AKIA{pick(16, base62[:26] + '0123456789')}" if "AKIA" in form else f"ghp_{pick(36)}"
+            form = form.replace("AKIA{}", "{}").replace("ghp_{}", "{}")
+        around = " ".join(rnd.choice(WORDS["en"]) for _ in range(rnd.randint(5, 60)))
+        rows.append((i, f"{around}. {form.format(text)} {around}", text, secret))
+    return rows
+
+
+def test_precision_and_recall_of_planted_secrets(spark):
+    rows = _planted(random.Random(77), 1300)
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    judged = secrets.findings(docs).filter("is_secret").collect()
+    found = {(r.doc_id, r.value_sha256) for r in judged}
+    digest = {i: hashlib.sha256(v.encode()).hexdigest() for i, _, v, _ in rows}
+    caught = sum((i, digest[i]) in found for i, _, _, secret in rows if secret)
+    wrong = len(found) - caught
+    secret = sum(s for *_, s in rows)
+    assert caught / secret >= 0.9, (caught, secret)
+    assert caught / (caught + wrong) >= 0.9, (caught, wrong)
