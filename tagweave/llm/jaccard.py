@@ -37,7 +37,7 @@ from tagweave.llm.store import durable
 
 PERCENT = 80  # 100 * intersection >= PERCENT * union
 SCREEN_SHARE = 12  # the screen asks for n / SCREEN_SHARE common prefix tokens
-FLUSH_TOKENS = 250_000  # tokens that a scanning task holds
+FLUSH_TOKENS = 1_000_000  # tokens that a scanning task holds
 BUCKET_TOKENS = 250_000  # expected tokens of a bucket of the screen
 TEXT_BYTES_PER_TOKEN = 20  # at least, for a prefix token of the screen
 STARS = 3  # rounds of comparisons with one class of each token
@@ -186,36 +186,40 @@ _DEALT = pa.schema(
 )
 _COMMON = pa.schema([("key", pa.int64()), ("need", pa.int32()), ("n", pa.int64())])
 _BITMAPS = pa.schema([("cls", pa.int64()), ("bits", pa.list_(pa.int64()))])
-_SETS = pa.schema(
-    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()),
-     ("key2", pa.int64()), ("tokens", pa.list_(pa.int64()))]
-)
-
-
 def _ddl(schema: pa.Schema) -> str:
     kinds = {
-        pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary",
+        pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string",
         pa.list_(pa.int64()): "array<long>",
     }
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low, bounds, hashes in shingle_sets(batch.column(1)):
-            key, key2 = _signatures(bounds, hashes)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(low, len(key)),
-                    pa.array(np.diff(bounds)),
-                    pa.array(key),
-                    pa.array(key2),
-                    pa.ListArray.from_arrays(
-                        pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64))
-                    ),
-                ],
-                schema=_SETS,
-            )
+def _sets(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, key and key2 (signatures) and tokens of each row of ``docs``."""
+    kind = pa.string() if dict(docs.dtypes)["doc_id"] == "string" else pa.int64()
+    schema = pa.schema(
+        [("doc_id", kind), ("n_shingles", pa.int64()), ("key", pa.int64()),
+         ("key2", pa.int64()), ("tokens", pa.list_(pa.int64()))]
+    )
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, bounds, hashes in shingle_sets(batch.column(1)):
+                key, key2 = _signatures(bounds, hashes)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(low, len(key)).cast(kind),
+                        pa.array(np.diff(bounds)),
+                        pa.array(key),
+                        pa.array(key2),
+                        pa.ListArray.from_arrays(
+                            pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64))
+                        ),
+                    ],
+                    schema=schema,
+                )
+
+    return docs.mapInArrow(each, _ddl(schema))
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
@@ -377,19 +381,21 @@ def similar_classes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text), whose
+    doc_ids are whole numbers or strings.
 
     ``component_id`` is the smallest doc_id that links reach, the row's own included.
     Null and wordless texts have no shingles and link with nothing, so their
     component_id is their own doc_id. Rows with a null doc_id take part in links; their
     component_id is null if no reachable row has a doc_id. Repeated rows are kept.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = dict(docs.dtypes)["doc_id"] == "string"
+    base = docs.select("doc_id" if named else F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = durable(_screen(base, percent), "screened")
     few = keys.count() <= BROADCAST_KEYS
     # tokens are kept of the screened sets only
     marked = keys.withColumn("_kept", F.lit(True))
-    sets = base.mapInArrow(_sets, _ddl(_SETS)).join(
+    sets = _sets(base).join(
         F.broadcast(marked) if few else marked, "key", "left"
     )
     sets = durable(

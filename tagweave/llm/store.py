@@ -8,6 +8,12 @@ from tagweave.dataflow import fresh_path
 
 __all__ = ["durable", "fresh_path", "unused"]
 
+# Arrow batches of this package's operators, in a session that has not chosen its own:
+# whole texts are long, and each task holds several batches at once
+_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -15,10 +21,14 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     It cuts the lineage, so a lost executor costs no earlier stage again; the shuffle
-    files of the job go as soon as its table is written.
+    files of the job go as soon as its table is written. From then on the session's Arrow
+    batches are small, unless it has chosen their size.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    for key, size in _BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, size)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
