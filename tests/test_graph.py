@@ -1,6 +1,7 @@
 """Graph algorithms on graphs with known answers, and their invariants."""
 
 import itertools
+import random
 from collections import defaultdict
 
 import pytest
@@ -108,3 +109,95 @@ def test_louvain_without_links(spark):
     graph = spark.createDataFrame([], "u string, v string, weight double, distance double")
     nodes = _nodes(spark, [], ("x", "y"))
     assert louvain(graph, nodes).select("label").distinct().count() == 2
+
+
+def _random_graph(seed, n=120, links=350):
+    pick = random.Random(seed)
+    pairs = {tuple(sorted(pick.sample(range(n), 2))) for _ in range(links)}
+    return [(f"n{a:03d}", f"n{b:03d}", pick.randint(1, 10) / 10) for a, b in sorted(pairs)]
+
+
+class _Plain:
+    """Weighted modularity of labels, and a sequential search that moves node by node."""
+
+    def __init__(self, rows):
+        self.near = defaultdict(dict)
+        for u, v, w in rows:
+            self.near[u][v] = self.near[v][u] = w
+        self.k = {u: sum(x.values()) for u, x in self.near.items()}
+        self.total = sum(self.k.values())
+
+    def modularity(self, label):
+        inner = sum(w for u in self.near for v, w in self.near[u].items() if label[u] == label[v])
+        tot = defaultdict(float)
+        for u, k in self.k.items():
+            tot[label[u]] += k
+        return inner / self.total - sum((t / self.total) ** 2 for t in tot.values())
+
+    def gain(self, label, tot, u, to):
+        link = sum(w for v, w in self.near[u].items() if label[v] == to)
+        rest = tot[to] - (self.k[u] if label[u] == to else 0)
+        return link - self.k[u] * rest / self.total
+
+    def best(self, label, tot, u):
+        """(gain over staying, community)"""
+        stay = self.gain(label, tot, u, label[u])
+        options = {label[v] for v in self.near[u]} - {label[u]}
+        return max([(self.gain(label, tot, u, c) - stay, c) for c in options] + [(-stay, None)],
+                   key=lambda x: x[0])
+
+    def totals(self, label):
+        tot = defaultdict(float)
+        for u, k in self.k.items():
+            tot[label[u]] += k
+        return tot
+
+    def sequential(self):
+        group = {u: {u} for u in self.near}  # nodes that move together
+        label = {u: u for u in self.near}
+        while True:
+            again = False
+            moving = True
+            while moving:
+                moving = False
+                for members in group.values():
+                    own = label[next(iter(members))]
+                    tot = self.totals(label)
+                    k = sum(self.k[u] for u in members)
+                    link = defaultdict(float)
+                    for u in members:
+                        for v, w in self.near[u].items():
+                            if v not in members:
+                                link[label[v]] += w
+                    value = {
+                        c: w - k * (tot[c] - (k if c == own else 0)) / self.total
+                        for c, w in {own: 0.0, **link}.items()
+                    }
+                    to = max(value, key=value.get)
+                    if value[to] > value[own] + 1e-9:
+                        for u in members:
+                            label[u] = to
+                        moving = again = True
+            if not again:
+                return label
+            merged = defaultdict(set)
+            for u, c in label.items():
+                merged[c].add(u)
+            group = dict(merged)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_louvain_ends_where_no_move_gains(spark, seed):
+    rows = _random_graph(seed)
+    graph = spark.createDataFrame(rows, "u string, v string, weight double")
+    names = sorted({x for r in rows for x in r[:2]})
+    nodes = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    label = {r.name: r.label for r in louvain(graph, nodes, block_rows=4).collect()}
+    plain = _Plain(rows)
+    tot = plain.totals(label)
+    assert max(plain.best(label, tot, u)[0] for u in names) < 1e-6
+    ids = dict(enumerate(names))
+    assert all(label[ids[c]] == c for c in set(label.values()))
+    assert plain.modularity(label) >= plain.modularity(plain.sequential()) - 0.02
+    found = spark.createDataFrame(list(label.items()), "name string, label long")
+    assert modularity(graph, found).first()[0] == pytest.approx(plain.modularity(label))
