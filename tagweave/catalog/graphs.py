@@ -256,6 +256,46 @@ def g03_modularity(spark, d):
     return found.select(F.round("modularity", 6).alias("modularity"))
 
 
+@query(
+    "g03_louvain_checks",
+    """select 'nodes' as fact, count(*) as n from f_company
+       union all select 'names', count(distinct name) from f_company
+       union all select 'labels that are not the smallest member', 0
+       union all select 'links between communities of different components', 0
+       union all select 'communities in several components', 0
+       union all select 'single moves that gain', 0""",
+)
+def g03_checks(spark, d):
+    """What must hold of the communities of any graph, counted over the whole of it."""
+    graph, found = durable(_graph(spark, d), "graph"), _louvain(spark, d)
+    ids = fx.company(spark, d).select("id", "name")
+    labelled = found.join(ids, "name")
+    parts = G.components(graph, ids)
+    label = found.select(F.col("name").alias("src"), F.col("label").alias("own"))
+    links = G.both_ways(graph.select("u", "v", "weight")).join(label, "src").join(
+        label.select(F.col("src").alias("dst"), F.col("own").alias("to")), "dst"
+    )
+    facts = [
+        ("nodes", found),
+        ("names", found.select("name").distinct()),
+        ("labels that are not the smallest member",
+         labelled.groupBy("label").agg(F.min("id").alias("low")).filter("label <> low")),
+        ("links between communities of different components",
+         links.join(parts.select(F.col("name").alias("src"), F.col("component").alias("a")), "src")
+         .join(parts.select(F.col("name").alias("dst"), F.col("component").alias("b")), "dst")
+         .filter("a <> b")),
+        ("communities in several components",
+         found.join(parts, "name").groupBy("label")
+         .agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")),
+        ("single moves that gain", G.gaining_moves(links)),
+    ]
+    out = None
+    for fact, rows in facts:
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(fact).alias("fact"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("g05_graph_report")
 def g05(spark, d):
     companies, graph = fx.company(spark, d), _graph(spark, d)

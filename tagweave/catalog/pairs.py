@@ -551,10 +551,9 @@ def w04(spark, d):
 
 
 _ACCEPTED = """select r.company_a, r.name as company_b,
-    case when r.score is null then 0.0::double
-         else least(greatest(try_cast(r.score as double), 0), 1) end as score
+    least(greatest(try_cast(r.score as double), 0), 1) as score
     from f_raw r join f_base b on b.company_a = r.company_a and b.company_b = r.name
-    where r.score is null or try_cast(r.score as double) is not null"""
+    where try_cast(r.score as double) is not null"""
 
 
 @query("x10_accepted_scores", _ACCEPTED)
@@ -574,17 +573,21 @@ def w05(spark, d):
 
 @query(
     "x11_json_reply",
-    """select company_a, name, score from f_raw""",
+    """select company_a, name,
+       case when score is null and length(name) % 2 = 0 then '0' else score end as score from f_raw""",
 )
 def x11(spark, d):
     item = T.StructType(
         [T.StructField("name", T.StringType()), T.StructField("score", T.StringType())]
     )
     rows = fx.raw_score(spark, d)
-    one = F.to_json(F.array(F.struct("name", "score")))
-    wrapped = F.concat(F.lit('{"note": "done", "results": '), one, F.lit("}"))
-    reply = F.when(F.length("name") % 2 == 0, one).otherwise(wrapped)
-    parsed = rows.select("company_a", F.explode(reply_items(reply, item)).alias("i"))
+    # a bare list without the scores that are null, and a wrapped one with them
+    one = F.array(F.struct("name", "score"))
+    kept = F.to_json(one, {"ignoreNullFields": "false"})
+    wrapped = F.concat(F.lit('{"note": "done", "results": '), kept, F.lit("}"))
+    reply = F.when(F.length("name") % 2 == 0, F.to_json(one)).otherwise(wrapped)
+    items = reply_items(reply, item, {"score": "0"})
+    parsed = rows.select("company_a", F.explode(items).alias("i"))
     return parsed.select("company_a", "i.name", "i.score")
 
 

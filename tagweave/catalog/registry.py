@@ -105,14 +105,12 @@ TABLES = {
         from f_overlap
         where len(subs_a) = 0 or len(subs_b) = 0 or list_has_any(subs_a, subs_b)""",
     "f_base": """
-        select * from (
-            select id_a as a_id, id_b as b_id, company_a, company_b,
+        select id_a as a_id, id_b as b_id, company_a, company_b,
                 len(list_intersect(list_concat(sectors_a, subsectors_a),
                                    list_concat(sectors_b, subsectors_b)))::double
                 / len(list_distinct(list_concat(list_concat(sectors_a, subsectors_a),
                                                 list_concat(sectors_b, subsectors_b)))) as score
-            from f_overlap where id_a < id_b)
-        where score >= 0.4""",
+            from f_overlap where id_a < id_b""",
     "f_edge": """
         select a_id * 1000000 + b_id as id, company_a, company_b, score,
             (a_id + b_id) % 10 <> 0 as active, (a_id + b_id) % 3 = 0 as checked,

@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.dataflow import durable
-from tagweave.functions.tags import literals
-from tagweave.operators.similarity import similar_pairs
+from tagweave.functions.tags import jaccard, literals, tags
+from tagweave.operators.overlap import overlap_candidates
 from tagweave.operators.taxonomy import TagRules
 
 RULES = TagRules(
@@ -28,7 +28,6 @@ AUDITED = ("Brand#1", "Brand#2", "Brand#9")
 QUEUE = tuple(f"Brand#{i}" for i in range(1, 12))
 DEEP_BRANDS = ("Brand#10", "Brand#11", "Brand#12")
 DRIFT_BRANDS = ("Brand#24", "Brand#25")
-MIN_EDGE = 0.4
 MIN_GRAPH_EDGE = 0.6
 
 _written: dict[tuple[str, str, str], DataFrame] = {}
@@ -163,8 +162,17 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @derived
 def edge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored pairs a.id < b.id with a shared sector and subsector."""
-    pairs = similar_pairs(company(spark, sf_dir), MIN_EDGE, lenient=False)
+    """Scored pairs a.id < b.id with a shared sector and subsector, whatever their score."""
+    candidates = overlap_candidates(
+        company(spark, sf_dir), keep_tags=True, ordered=True, lenient=False
+    )
+    pairs = candidates.withColumn(
+        "score",
+        jaccard(
+            F.concat(tags("sectors_a"), tags("subsectors_a")),
+            F.concat(tags("sectors_b"), tags("subsectors_b")),
+        ),
+    )
     low_first = F.col("id_a") < F.col("id_b")
     return pairs.select(
         F.least("id_a", "id_b").alias("a_id"),

@@ -31,26 +31,32 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def clamp_score(col: Column | str) -> Column:
-    """Numeric score within [0, 1]. Text that is no number, and NaN, give null; a
-    missing score counts as 0."""
-    number = F.try_cast(_c(col), "double") if hasattr(F, "try_cast") else _c(col).try_cast("double")
+    """Numeric score within [0, 1]. Text that is no number, NaN and null give null."""
+    number = _c(col).try_cast("double")
     usable = F.when(~F.isnan(number), number)
-    return F.when(_c(col).isNull(), F.lit(0.0)).otherwise(
-        F.when(usable.isNotNull(), F.least(F.greatest(usable, F.lit(0.0)), F.lit(1.0)))
-    )
+    return F.when(usable.isNotNull(), F.least(F.greatest(usable, F.lit(0.0)), F.lit(1.0)))
 
 
-def reply_items(reply: Column | str, item: T.StructType) -> Column:
+def reply_items(
+    reply: Column | str, item: T.StructType, defaults: dict[str, str] | None = None
+) -> Column:
     """Rows of a JSON reply: a bare array, or the first list among an object's values.
-    Elements that are no objects are passed over; a text value is never a list."""
+    Elements that are no objects are passed over; a text value is never a list. A field
+    that an element lacks has its default; an explicit null stays null."""
     reply = _c(reply)
+    by_name = T.MapType(T.StringType(), T.VariantType())
     values = T.ArrayType(T.VariantType())
-    fields = F.from_json(reply, T.MapType(T.StringType(), T.VariantType()))
+    fields = F.from_json(reply, by_name)
     lists = F.filter(F.map_values(fields), lambda v: F.schema_of_variant(v).startswith("ARRAY"))
     inner = F.from_json(F.to_json(F.get(lists, F.lit(0))), values)
     chosen = F.when(F.ltrim(reply).startswith("["), F.from_json(reply, values)).otherwise(inner)
     objects = F.filter(chosen, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
-    return F.coalesce(
-        F.transform(objects, lambda v: F.from_json(F.to_json(v), item)),
-        F.array().cast(T.ArrayType(item)),
-    )
+
+    def row(v: Column) -> Column:
+        out = F.from_json(F.to_json(v), item)
+        for name, value in (defaults or {}).items():
+            given = F.map_contains_key(F.from_json(F.to_json(v), by_name), name)
+            out = out.withField(name, F.when(given, out[name]).otherwise(F.lit(value)))
+        return out
+
+    return F.coalesce(F.transform(objects, row), F.array().cast(T.ArrayType(item)))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.constants import MIN_COMMUNITY_SIZE, MIN_DISTANCE, MIN_SPLIT_MEMBERS
-from tagweave.dataflow import global_rank, seeded
+from tagweave.dataflow import durable, global_rank, seeded
 from tagweave.functions.tags import tags
 from tagweave.operators.edges import unordered, without_dangling
 
@@ -198,3 +198,63 @@ def modularity(graph: DataFrame, membership: DataFrame, resolution: float = 1.0)
             "modularity"
         )
     )
+
+
+def components(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(name, component) of every node (id, name): the smallest id that links reach.
+
+    Each round a node takes the smallest label near it and then the label of that label,
+    so long chains shorten by half; the rounds end when no label falls."""
+    named = nodes.select("name", F.col("id").cast("long").alias("id"))
+    both = both_ways(graph.select("u", "v"))
+    for end in ("src", "dst"):
+        both = both.join(
+            named.select(F.col("name").alias(end), F.col("id").alias(f"{end}_id")), end
+        )
+    both = durable(both.select("src_id", "dst_id").distinct(), "component-links")
+    labels = durable(named.select("id", F.col("id").alias("component")), "components")
+    while True:
+        near = (
+            both.join(labels.select(F.col("id").alias("dst_id"), "component"), "dst_id")
+            .groupBy(F.col("src_id").alias("id")).agg(F.min("component").alias("near"))
+        )
+        lower = labels.join(near, "id", "left").select(
+            "id", F.col("component").alias("old"), F.least("component", "near").alias("component")
+        )
+        far = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
+        stepped = durable(
+            lower.join(far, "component")
+            .select("id", "old", F.least("component", "far").alias("component")),
+            "components",
+        )
+        labels = stepped.select("id", "component")
+        if stepped.filter("component < old").isEmpty():
+            return named.join(labels, "id").select("name", "component")
+
+
+def gaining_moves(links: DataFrame, resolution: float = 1.0, least: float = 1e-9) -> DataFrame:
+    """(src, to, rise): moves of one node to a neighbouring community that raise the
+    modularity. ``links`` has both directions (src, dst, weight) with the communities of
+    their ends, ``own`` and ``to``."""
+    degree = links.groupBy("src", "own").agg(F.sum("weight").alias("k"))
+    totals = degree.groupBy(F.col("own").alias("to")).agg(F.sum("k").alias("tot"))
+    total = links.agg(F.sum("weight").alias("total"))
+    pull = F.lit(resolution) * F.col("k") / F.col("total")
+    rated = (
+        links.groupBy("src", "to").agg(F.sum("weight").alias("w"))
+        .join(degree, "src").join(totals, "to")
+        .crossJoin(F.broadcast(total))  # one row
+        .withColumn("gain", F.col("w") - pull * (F.col("tot") - F.when(F.col("to") == F.col("own"), F.col("k")).otherwise(0.0)))
+    )
+    # a node without links into its own community stays at the cost of its size
+    own = degree.join(totals.withColumnRenamed("to", "own"), "own").crossJoin(F.broadcast(total))
+    stay = (
+        own.select("src", (-pull * (F.col("tot") - F.col("k"))).alias("apart"))
+        .join(rated.filter("to = own").select("src", "gain"), "src", "left")
+        .select("src", F.coalesce("gain", "apart").alias("stay"))
+    )
+    return (
+        rated.filter("to <> own").join(stay, "src")
+        .select("src", "to", (F.col("gain") - F.col("stay")).alias("rise"), "total")
+        .filter(F.col("rise") > F.lit(least) * F.col("total")).drop("total")
+    )

@@ -105,11 +105,13 @@ def overlap_candidates(
     keep_tags: bool = False,
     ordered: bool = False,
     block_rows: int = BLOCK_ROWS,
+    lenient: bool = True,
 ) -> DataFrame:
     """Pairs (company a, company b) with a shared sector and subsector; ``probe`` (id)
     limits which companies stand first.
 
-    Sub-subsectors are tested leniently: they must meet only if both have some.
+    Sub-subsectors are tested leniently: they must meet only if both have some. Without
+    ``lenient`` they are not tested.
     ``ordered`` keeps each unordered pair once, as company_a < company_b.
     ``keep_tags`` keeps the tags of both ends.
     """
@@ -125,9 +127,12 @@ def overlap_candidates(
             _PAIR_KEYS, ["id_a"], ["id_b"], block_rows,
         )
         # one condition, so that its cheap parts stay in front
-        .filter(order & _at_first_shared_tag() & codes_lenient("deep_a", "deep_b"))
+        .filter(
+            order & _at_first_shared_tag() & codes_lenient("deep_a", "deep_b")
+            if lenient else order & _at_first_shared_tag()
+        )
         .drop(*_PAIR_KEYS, *_CODES)
-    )
+    )
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

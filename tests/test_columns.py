@@ -149,7 +149,7 @@ def test_tag_rules(spark):
 def test_scores(spark):
     rows = [("0.5",), ("1.7",), ("-2",), ("n/a",), ("NaN",), (None,)]
     df = spark.createDataFrame(rows, "s string").select(T.clamp_score("s").alias("x"))
-    assert [r.x for r in df.collect()] == [0.5, 1.0, 0.0, None, None, 0.0]
+    assert [r.x for r in df.collect()] == [0.5, 1.0, 0.0, None, None, None]
 
 
 def test_reply_items_pass_over_what_is_no_object(spark):

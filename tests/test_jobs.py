@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagweave import fixtures as fx
 from tagweave.catalog import streams
@@ -273,3 +274,42 @@ def test_files_of_two_versions_in_one_folder(spark, tmp_path):
     assert [r.id for r in active.collect()] == [1]
     plan = active._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(active,true)" in plan.replace(" ", "") or "IsNotNull(active)" in plan
+
+
+def test_partitioned_folder_of_several_versions(spark, tmp_path):
+    """Partition columns stay, in folders of one version and of two."""
+    from tagweave.schemas import COMPANY
+    from tagweave.sources.readers import read_versions
+
+    path = str(tmp_path / "companies")
+    old = spark.createDataFrame([(1, "a", "FR"), (2, "b", "DE")], "id long, name string, country string")
+    old.write.partitionBy("country").parquet(path)
+    first = read_versions(spark, path, COMPANY)
+    assert {(r.id, r.country) for r in first.collect()} == {(1, "FR"), (2, "DE")}
+    new = old.withColumns({"id": F.col("id") + 10, "website": F.lit("x.org")})
+    new.write.mode("append").partitionBy("country").parquet(path)
+    both = read_versions(spark, path, COMPANY)
+    assert {(r.id, r.country, r.website) for r in both.collect()} == {
+        (1, "FR", None), (2, "DE", None), (11, "FR", "x.org"), (12, "DE", "x.org"),
+    }
+
+
+SCORE_ITEM = T.StructType(
+    [T.StructField("name", T.StringType()), T.StructField("score", T.StringType())]
+)
+
+
+def test_missing_scores_count_and_null_scores_do_not(spark):
+    from tagweave.functions.text import reply_items
+    from tagweave.operators.scoring import accepted_scores
+
+    reply = '[{"name": "a"}, {"name": "b", "score": null}, {"name": "c", "score": 0.4}, {"name": "d", "score": "x"}]'
+    rows = spark.createDataFrame([("me", reply)], "company_a string, reply string")
+    items = rows.select(
+        "company_a", F.explode(reply_items("reply", SCORE_ITEM, {"score": "0"})).alias("i")
+    ).select("company_a", "i.*")
+    chunks = spark.createDataFrame(
+        [("me", x, 1) for x in "abcd"], "company_a string, company_b string, pos int"
+    )
+    got = {r.company_b: r.score for r in accepted_scores(items, chunks).collect()}
+    assert got == {"a": 0.0, "c": 0.4}
