@@ -6,6 +6,7 @@ stays; secrets in what is left are blanked; the texts are packed into token sequ
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep one document of each group of linked documents, that with the smallest doc_id
     (null counts as the largest), and one of rows that repeat a doc_id and its text."""
     row, copy = unused(docs, "_row", "_copy")
-    # doc_ids may be null or repeat, so rows are told apart by a number of their own
-    numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    # doc_ids may be null or repeat, so rows are told apart by their places in the files
+    numbered = placed(docs, row)
     groups = jaccard.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("row"))
     kept = (
@@ -43,6 +44,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     )
 
 
+def placed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the file and row that each row is read from as a column: the same
+    whenever it is read. Only rows that come from no files are written first."""
+    place = F.concat_ws(
+        "#", "_metadata.file_path", F.lpad(F.col("_metadata.row_index").cast("string"), 15, "0")
+    )
+    try:
+        return docs.select("*", place.alias(name))
+    except AnalysisException:
+        return durable(docs, "documents").select("*", place.alias(name))
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blank the secrets in texts; every document stays."""
     return secrets.redact(docs, path="source")
