@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from tagweave.llm import jaccard, language, packing, secrets
 from tagweave.llm.queries import BPE
-from tagweave.llm.store import durable, unused
+from tagweave.llm.store import durable, small_batches, unused
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that language identification rejects: those without a letter,
     and texts far from every language of the labelled documents."""
+    small_batches(spark)
     model = language.fit(docs, F.lit(True))
     return language.predict(docs, model).filter("not rejected").select(*docs.columns)
 
@@ -26,6 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of linked documents, that with the smallest doc_id
     (null counts as the largest), and one of rows that repeat a doc_id and its text."""
+    small_batches(spark)
     row, copy = unused(docs, "_row", "_copy")
     # doc_ids may be null or repeat, so rows are told apart by their places in the files
     numbered = placed(docs, row)
@@ -58,11 +60,13 @@ def placed(docs: DataFrame, name: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blank the secrets in texts; every document stays."""
+    small_batches(spark)
     return secrets.redact(docs, path="source")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 1024 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, BPE, added_tokens=True)
 
 
