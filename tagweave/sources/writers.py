@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.dataflow import durable, global_rank
@@ -71,68 +71,87 @@ def upsert_matches(companies: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def _contested(companies: DataFrame, batch: DataFrame) -> DataFrame:
-    """(row, group): batch rows (``b<pos>``) and the stored companies (``c<id>``) that
-    share a website or a name with them, grouped so that rows of different groups cannot
-    touch the same company, in whatever order they arrive."""
-    def keys(rows: DataFrame, row: Column) -> DataFrame:
-        key = F.explode(
-            F.array(
-                F.when(F.col("website") != "", F.concat(F.lit("w"), "website")),
-                F.when(F.col("name") != "", F.concat(F.lit("n"), "name")),
-            )
-        )
-        return rows.select(row.alias("row"), key.alias("key")).filter("key is not null")
+# when stored values were set: before any row of a batch
+_BEFORE = -(2**63)
+
+
+def _values(rows: DataFrame, *columns: Column) -> DataFrame:
+    """One row per (website or name) of each row, websites as kind 0."""
+    both = F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("website").alias("value")),
+        F.struct(F.lit(1).alias("kind"), F.col("name").alias("value")),
+    )
+    out = rows.select(*columns, F.explode(both).alias("_v"))
+    return out.select("*", "_v.kind", "_v.value").drop("_v")
+
+
+def _changes(events: DataFrame, *keys: str) -> DataFrame:
+    """The events that differ from the one before them, and the first of each group."""
+    before = F.lag(F.struct("value")).over(W.partitionBy(*keys).orderBy("at"))
+    same = before.isNotNull() & before["value"].eqNullSafe(F.col("value"))
+    return events.withColumn("_same", same).filter(~F.col("_same")).drop("_same")
 
-    asked = keys(batch, F.concat(F.lit("b"), F.col("pos").cast("string")))
-    stored = keys(companies, F.concat(F.lit("c"), F.col("id").cast("string"))).join(
-        asked.select("key").distinct(), "key", "left_semi"
+
+def _held_spans(placed: DataFrame, values: DataFrame, held: DataFrame, write_nulls: bool) -> DataFrame:
+    """When each company has which website and name if rows fall to companies as
+    ``placed`` says: (kind, value, class, number, at, until), the rows that set and end it.
+
+    Repeats collapse inside blocks of positions first, so that a company which takes much
+    of a batch leaves its changes only. A holder with a lower one beside it all the time
+    is never chosen, so it is left out.
+    """
+    events = (
+        values.join(placed.select("pos", "class", "number"), "pos")
+        .select("class", "number", F.col("pos").alias("at"), "kind", "value")
+        .unionByName(held)
+    )
+    if not write_nulls:
+        events = events.filter("value is not null")
+    owner = ["class", "number", "kind"]
+    events = events.withColumn("_block", F.shiftright("at", 17))
+    changes = _changes(_changes(events, *owner, "_block"), *owner)
+    spans = changes.withColumn("until", F.lead("at").over(W.partitionBy(*owner).orderBy("at")))
+    company = F.struct("class", "number")
+    earlier = W.partitionBy("kind", "value").orderBy("at", "class", "number")
+    lowest = F.min(F.when(F.col("until").isNull(), company)).over(
+        earlier.rowsBetween(W.unboundedPreceding, -1)
+    )
+    return (
+        spans.filter("value <> ''")
+        .withColumn("_lowest", lowest)
+        .filter(F.col("_lowest").isNull() | (company < F.col("_lowest")))
+        .select("kind", "value", "class", "number", "at", "until")
+    )
+
+
+def _followed(rows: DataFrame, values: DataFrame, spans: DataFrame) -> DataFrame:
+    """(pos, class, number) of the company that each row falls to if values are held as
+    ``spans`` says. A row follows the row that set the value it matches by; rows that
+    follow others are led to the first one by doubling."""
+    met = (
+        values.filter("value <> ''")
+        .join(spans, ["kind", "value"])
+        .filter("at < pos and (until is null or pos <= until)")
+        .groupBy("pos")
+        .agg(F.min(F.struct("kind", "class", "number", "at")).alias("_m"))
+    )
+    stored = F.coalesce(F.col("_m.at") == F.lit(_BEFORE), F.lit(False))
+    steps = rows.select("pos").join(met, "pos", "left").select(
+        "pos",
+        F.when(stored, 0).otherwise(1).alias("class"),
+        F.when(stored, F.col("_m.number")).otherwise(F.coalesce("_m.at", "pos")).alias("number"),
+        (stored | F.col("_m").isNull()).alias("settled"),
     )
-    links = durable(asked.unionByName(stored), "upsert-keys")
-    labels = durable(links.groupBy("row").agg(F.min("key").alias("group")), "upsert-groups")
     while True:
-        # the smallest group of a key goes to its rows, and of a row to its keys
-        low = links.join(labels, "row").groupBy("key").agg(F.min("group").alias("low"))
-        nearer = links.join(low, "key").groupBy("row").agg(F.min("low").alias("low"))
-        stepped = durable(
-            labels.join(nearer, "row").select(
-                "row", F.least("group", "low").alias("group"), (F.col("low") < F.col("group")).alias("_moved")
-            ),
-            "upsert-groups",
+        steps = durable(steps, "upsert-steps")
+        if steps.filter("not settled").isEmpty():
+            return steps.drop("settled")
+        ahead = steps.select(
+            F.col("pos").alias("number"),
+            F.struct("class", "number", "settled").alias("_ahead"),
         )
-        labels = stepped.select("row", "group")
-        if stepped.filter("_moved").isEmpty():
-            return labels
-
-
-def _replayed(group: pd.DataFrame, write_nulls: bool) -> pd.DataFrame:
-    """(pos, match_id, entity) of one contested group, row after row in arrival order."""
-    names: dict[tuple, str | None] = {}
-    sites: dict[tuple, str | None] = {}
-    by_name: dict[str, set[tuple]] = {}
-    by_site: dict[str, set[tuple]] = {}
-
-    def put(company: tuple, name: str | None, site: str | None) -> None:
-        for value, current, index in ((name, names, by_name), (site, sites, by_site)):
-            if value is None and company in current and not write_nulls:
-                continue
-            index.get(current.get(company) or "", set()).discard(company)
-            current[company] = value
-            if value:
-                index.setdefault(value, set()).add(company)
-
-    group = group.astype(object).where(group.notna(), None)
-    # stored companies come before new ones, each in the order of their numbers
-    for row in group[group["pos"].isna()].itertuples():
-        put((0, int(row.id)), row.name, row.website)
-    out = []
-    for row in group[group["pos"].notna()].sort_values("pos").itertuples():
-        found = by_site.get(row.website or "") or by_name.get(row.name or "")
-        company = min(found) if found else (1, int(row.pos))
-        put(company, row.name, row.website)
-        stored, number = company[0] == 0, company[1]
-        out.append((int(row.pos), number if stored else None, None if stored else number))
-    return pd.DataFrame(out, columns=["pos", "match_id", "entity"]).astype("Int64")
+        moved = steps.filter("not settled").select("pos", "number").join(ahead, "number")
+        steps = steps.filter("settled").unionByName(moved.select("pos", "_ahead.*"))
 
 
 def upsert_entities(companies: DataFrame, batch: DataFrame, write_nulls: bool = False) -> DataFrame:
@@ -141,30 +160,51 @@ def upsert_entities(companies: DataFrame, batch: DataFrame, write_nulls: bool =
     ``entity``, the ``pos`` of the row that makes a new one.
 
     A row matches by website, else by name, what stored companies and earlier rows have
-    by then, renames included; the lowest number is taken, stored ones first. Only rows
-    that share a name or website, directly or through others, are replayed together.
+    by then, renames included; the lowest number is taken, stored ones first.
+
+    Rounds of joins find this without replaying rows. The first one supposes that what a
+    company once has it keeps. Each further one works out from the companies found so far
+    who holds what and when, and matches all rows against that, until nothing changes. A
+    round is right at least one row further than the one before, since a row depends on
+    earlier rows only, so the result is that of a replay; rounds are few unless renames
+    keep overturning later matches.
     """
-    groups = _contested(companies, batch)
-    pos, number = F.col("pos").cast("long"), F.col("id").cast("long")
-    rows = (
-        batch.select(
-            F.concat(F.lit("b"), pos.cast("string")).alias("row"), pos.alias("pos"),
-            F.lit(None).cast("long").alias("id"), "name", "website",
-        )
-        .unionByName(
-            companies.select(
-                F.concat(F.lit("c"), number.cast("string")).alias("row"),
-                F.lit(None).cast("long").alias("pos"), number.alias("id"), "name", "website",
-            )
-        )
-        .join(groups, "row")
+    rows = durable(batch.select(F.col("pos").cast("long").alias("pos"), "website", "name"), "upsert-rows")
+    values = _values(rows, F.col("pos"))
+    asked = values.filter("value <> ''").select("kind", "value").distinct()
+    # values that no row asks for cannot matter
+    held = durable(
+        _values(
+            companies, F.lit(0).alias("class"), F.col("id").cast("long").alias("number"),
+            F.lit(_BEFORE).cast("long").alias("at"),
+        ).join(asked, ["kind", "value"], "left_semi"),
+        "upsert-held",
     )
-
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        return _replayed(group, write_nulls)
-
-    placed = rows.groupBy("group").applyInPandas(replay, "pos long, match_id long, entity long")
-    return batch.join(placed, "pos", "left")
+    lowest = held.groupBy("kind", "value").agg(
+        F.lit(0).alias("class"), F.min("number").alias("number"), F.first("at").alias("at")
+    )
+    first = values.filter("value <> ''").groupBy("kind", "value").agg(
+        F.lit(1).alias("class"), F.min("pos").alias("number"), F.min("pos").alias("at")
+    )
+    spans = lowest.unionByName(first).withColumn("until", F.lit(None).cast("long"))
+    placed = _followed(rows, values, spans)
+    while True:
+        spans = _held_spans(placed, values, held, write_nulls)
+        again = _followed(rows, values, spans)
+        old = placed.select("pos", F.struct("class", "number").alias("_old"))
+        moved = again.join(old, "pos").filter(F.struct("class", "number") != F.col("_old"))
+        placed = again
+        if moved.isEmpty():
+            break
+    return batch.join(
+        placed.select(
+            "pos",
+            F.expr("case when class = 0 then number end").alias("match_id"),
+            F.expr("case when class = 1 then number end").alias("entity"),
+        ),
+        "pos",
+        "left",
+    )
 
 
 def upsert_changes(

@@ -1,5 +1,7 @@
 """Reviews, classification, upserts, and repeatability of jobs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,7 @@ from tagweave.operators import edges as E
 from tagweave.operators import reviews as R
 from tagweave.operators.taxonomy import TagRules, classify
 from tagweave.sources.readers import read_edges
-from tagweave.sources.writers import upsert_changes, upsert_companies
+from tagweave.sources.writers import upsert_changes, upsert_companies, upsert_entities
 from tagweave.streaming import jobs as J
 
 TAXONOMY = [
@@ -204,6 +206,60 @@ def test_upsert_sees_what_earlier_rows_left(spark):
     )
 
 
+def replayed(stored, batch, write_nulls):
+    """Rows applied one after the other: pos -> (stored?, number)."""
+    state = {(0, i): [name, site] for i, name, site in stored}
+    out = {}
+    for pos, name, site in batch:
+        found = [c for c, (_, s) in state.items() if site and s == site]
+        found = found or [c for c, (n, _) in state.items() if name and n == name]
+        company = min(found) if found else (1, pos)
+        old = state.get(company, [None, None])
+        state[company] = [
+            new if new is not None or write_nulls else was for new, was in zip((name, site), old)
+        ]
+        out[pos] = company
+    return out
+
+
+def placed_rows(spark, stored, batch, write_nulls=False):
+    placed = upsert_entities(
+        spark.createDataFrame(stored, "id long, name string, website string"),
+        spark.createDataFrame(batch, "pos long, name string, website string"),
+        write_nulls,
+    )
+    return {r.pos: (0, r.match_id) if r.entity is None else (1, r.entity) for r in placed.collect()}
+
+
+@pytest.mark.parametrize("seed, kinds, write_nulls", [(1, 4, False), (2, 12, True), (3, 40, False)])
+def test_upsert_in_rounds_equals_replay(spark, seed, kinds, write_nulls):
+    pick = random.Random(seed)
+
+    def row(number):
+        name = f"n{pick.randrange(kinds)}"
+        return number, name, pick.choice([None, "", *[f"s{pick.randrange(kinds)}"] * 4])
+
+    stored = [row(i) for i in range(1, kinds)]
+    batch = [row(pos) for pos in pick.sample(range(-50, 1000), 80)]
+    expected = replayed(stored, sorted(batch), write_nulls)
+    assert placed_rows(spark, stored, batch, write_nulls) == expected
+
+
+def test_upsert_of_long_chains_and_hot_keys(spark):
+    stored = [(i, f"old {i}", f"https://old/{i}") for i in range(500)]
+    # each row shares a name or a website with the next one
+    chain = [(i, f"link {(i + 1) // 2}", f"https://link/{i // 2}") for i in range(10_000)]
+    assert set(placed_rows(spark, stored, chain).values()) == {(1, 0)}
+    # a website in a third of the rows, under a new name each time; a name in another third,
+    # for stored companies and for unknown websites
+    hot = []
+    for i in range(1500):
+        hot.append((3 * i, f"name {i}", "https://hot"))
+        hot.append((3 * i + 1, "Hot", f"https://old/{i}"))
+        hot.append((3 * i + 2, f"plain {i}", None))
+    assert placed_rows(spark, stored, hot) == replayed(stored, hot, False)
+
+
 def fx_company(spark, rows):
     from tagweave.schemas import COMPANY, evolve
 
