@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.operators.betweenness import betweenness
+from tagweave.operators.betweenness import betweenness, sampled_betweenness
 from tagweave.operators.graph import modularity
 from tagweave.operators.louvain import louvain
 
@@ -82,6 +82,29 @@ def test_betweenness_follows_distances(spark):
         assert got == pytest.approx({"a": 0.0, "b": 1.0, "c": 0.0})
 
 
+def test_sampled_betweenness_keeps_its_bound(spark):
+    """Hubs with many leaves: few sources suffice, and no score is further off than its bound."""
+    hubs = [f"h{i}" for i in range(4)]
+    links = [*itertools.combinations(hubs, 2), *((hubs[i % 4], f"x{i}") for i in range(400))]
+    graph, nodes = _graph(spark, links), _nodes(spark, links)
+    exact = {r.name: r.score for r in betweenness(graph, nodes).collect()}
+    for seed in range(2):
+        rows = sampled_betweenness(graph, nodes, 0.45, seed=seed, first_sources=100).collect()
+        assert {r.name for r in rows} == set(exact)
+        assert 0 < rows[0].sources < 404 and all(0 < r.bound <= 0.45 for r in rows)
+        assert all(abs(r.score - exact[r.name]) <= r.bound for r in rows)
+    # an error that no sample reaches takes every source
+    rows = sampled_betweenness(graph, nodes, 1e-9, first_sources=300).collect()
+    assert {r.name: r.score for r in rows} == pytest.approx(exact)
+    assert {r.bound for r in rows} == {0.0}
+
+
+def test_sampled_betweenness_without_links(spark):
+    graph = spark.createDataFrame([], "u string, v string, weight double, distance double")
+    rows = sampled_betweenness(graph, _nodes(spark, [], ("x", "y", "z"))).collect()
+    assert sorted((r.name, r.score, r.bound) for r in rows) == [(c, 0.0, 0.0) for c in "xyz"]
+
+
 def test_louvain_finds_cliques(spark):
     graph, nodes = _graph(spark, CLIQUES), _nodes(spark, CLIQUES)
     groups = defaultdict(set)
