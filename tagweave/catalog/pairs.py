@@ -13,7 +13,9 @@ from tagweave.functions.text import reply_items
 from tagweave.operators import edges as E
 from tagweave.operators import overlap as O
 from tagweave.operators import scoring as S
+from tagweave.operators.cosine import similar_texts
 from tagweave.operators.similarity import similar_pairs
+from tagweave.operators.substring import build_index, first_matches, search_many
 from tagweave.plans import match as M
 from tagweave.sources import readers as R
 
@@ -178,6 +180,32 @@ def p05(spark, d):
     )
 
 
+_ASKED = """(select right(s_name, 4) as query from supplier union select substr(url, 9, 5) from pages
+    union select upper(substr(url, 13, 2)) from pages)"""
+
+
+@query(
+    "p05_search_many",
+    f"""with q as (select distinct lower(trim(query)) as query from {_ASKED})
+       select query, id, name, website, rank from (
+         select query, id, name, website, row_number() over (partition by query order by name, id) as rank
+         from q join f_company on contains(lower(name), query) or contains(lower(coalesce(website, '')), query)
+         where length(query) >= 2) where rank <= 10""",
+)
+def p05_many(spark, d):
+    """The first companies of each of many searches, from one index."""
+    pages = fx.table(spark, d, "pages")
+    asked = (
+        fx.table(spark, d, "supplier").select(F.expr("right(s_name, 4)").alias("query"))
+        .unionByName(pages.select(F.substring("url", 9, 5).alias("query")))
+        .unionByName(pages.select(F.upper(F.substring("url", 13, 2)).alias("query")))
+    )
+    rows = fx.company(spark, d).select("id", "name", "website")
+    index = fresh_path(spark, "trigrams")
+    build_index(rows, ["name", "website"], index)
+    return first_matches(search_many(index, rows, asked, ["name", "website"]))
+
+
 @query("p06_empty_array", "select id, name from f_company where len(subsectors) = 0")
 def p06(spark, d):
     return fx.company(spark, d).filter(is_empty("subsectors")).select("id", "name")
@@ -639,16 +667,19 @@ def x13_cosine(spark, d):
     )
 
 
-@query(
-    "x13_tfidf",
-    r"""with words as (select id, unnest(regexp_split_to_array(lower(description), '[^\p{L}]+')) as term
+_UNIT_TERMS = r"""with words as (select id, unnest(regexp_split_to_array(lower(description), '[^\p{L}]+')) as term
                        from f_company where description is not null),
        tf as (select id, term, count(*) as tf from words where term <> '' group by all),
        df as (select term, count(*) as df from tf group by all),
        w as (select id, term, tf * ln(((select count(*) from f_company where description is not null) + 1.0::double)
                 / (df + 1.0::double)) as w from tf join df using (term)),
        n as (select id, sqrt(sum(w * w)) as n from w where w > 0 group by id),
-       u as (select id, term, w / n as w from w join n using (id) where w > 0),
+       u as (select id, term, w / n as w from w join n using (id) where w > 0)"""
+
+
+@query(
+    "x13_tfidf",
+    rf"""{_UNIT_TERMS},
        dots as (select id_a, id_b, sum(x.w * y.w) as s from f_candidates join u x on x.id = id_a
                 join u y on y.id = id_b and y.term = x.term where company_a < company_b group by id_a, id_b)
        select company_a, company_b, round(coalesce(s, 0), 6) as score
@@ -660,6 +691,18 @@ def x13_tfidf(spark, d):
     return scored.select("company_a", "company_b", F.round("score", 6).alias("score"))
 
 
+@query(
+    "x13_tfidf_threshold",
+    rf"""{_UNIT_TERMS}
+       select x.id as id_a, y.id as id_b, round(sum(x.w * y.w), 6) as score
+       from u x join u y on y.term = x.term and x.id < y.id group by x.id, y.id
+       having sum(x.w * y.w) >= 0.75 - 1e-9""",
+)
+def x13_tfidf_threshold(spark, d):
+    found = similar_texts(fx.company(spark, d).select("id", "description"), 0.75)
+    return found.select("id_a", "id_b", F.round("score", 6).alias("score"))
+
+
 @query(
     "x12_custom_scorer",
     """select company_a, company_b, len(list_intersect(sectors_a, sectors_b))::double

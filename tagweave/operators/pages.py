@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,14 +82,22 @@ def diagnose(
         .groupBy("domain")
         .agg(F.min(order).alias("_first"))
         .join(known.select(F.col("subject").alias("domain")), "domain", "left_anti")
-        .select("_first.*")
-    )
-    texts = placed.join(firsts, ["_key", "page_id"])
-    found = characterized(texts).select("page_id", "domain", "_key", "verdict", "notes")
-    ranked = durable(
-        global_rank(found, [F.col("_key"), F.col("page_id")]), "diagnosed"
+        .select("domain", "_first.*")
     )
-    cut = stability_cut(ranked, "verdict", streak)
+    queue = durable(global_rank(firsts, [F.col("_key"), F.col("page_id")]), "diagnosis-order")
+    # a cut comes after a streak at the earliest, so no more than twice the pages that
+    # count have their text extracted
+    total, done, size, parts = queue.count(), 0, 2 * streak, []
+    while True:
+        wanted = queue.filter(F.col("pos").between(done + 1, size))
+        texts = placed.drop("domain").join(wanted, ["_key", "page_id"])
+        found = characterized(texts).select("page_id", "domain", "_key", "verdict", "notes", "pos")
+        parts.append(durable(found, "diagnosed"))
+        ranked = reduce(DataFrame.unionByName, parts)
+        cut = durable(stability_cut(ranked, "verdict", streak), "diagnosis-cut")
+        if size >= total or not cut.filter("cut is not null").isEmpty():
+            break
+        done, size = size, 2 * size
     # the cut is one row
     kept = ranked.crossJoin(F.broadcast(cut)).filter(
         F.col("cut").isNull() | (F.col("pos") <= F.col("cut"))
