@@ -192,32 +192,64 @@ def running_stability(stream: DataFrame, root: str) -> StreamingQuery:
     State is the length of each sequence and the first position of each of its verdicts,
     which add up over batches; a busy source is never one task's work.
     """
+    return run_batches(
+        stream, lambda df, i: _extend_sequences(df, root, i), f"{root}/checkpoint"
+    )
 
-    def work(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        ranked = rank_within(
-            batch.select("source", "verdict", "date_diagnosed", "id"),
-            ["source"],
-            [F.col("date_diagnosed"), F.col("id")],
-        )
-        before = (
-            batches_before(spark, f"{root}/counts", _COUNTS, batch_id)
-            .groupBy(F.col("source").alias("_source"))
-            .agg(F.sum("n").alias("n"))
-        )
-        # both aggregates combine before the shuffle
-        firsts = (
-            ranked.groupBy("source", "verdict")
-            .agg(F.min("pos").alias("first"))
-            .join(before, F.col("source").eqNullSafe(F.col("_source")), "left")
-            .select("source", "verdict", (F.col("first") + F.coalesce("n", F.lit(0))).alias("first"))
-        )
-        put_batch(firsts, f"{root}/firsts", batch_id)
-        put_batch(
-            batch.groupBy("source").agg(F.count(F.lit(1)).alias("n")), f"{root}/counts", batch_id
-        )
 
-    return run_batches(stream, work, f"{root}/checkpoint")
+def running_stability_by_date(stream: DataFrame, root: str, delay: str) -> StreamingQuery:
+    """:func:`running_stability` with each sequence in order of date, whatever the order
+    of arrival.
+
+    A row waits as state of its own until the watermark (the newest date seen less
+    ``delay``) has passed its date, so no source gathers in one task. What is released
+    is later than all released before, and continues the sequences. Rows that arrive
+    behind the watermark are dropped, repeats of a waiting row count once, and rows
+    without a date have no place and are left out. A row without an id only moves the
+    time on: it releases what waits at the end of a stream. The state is as large as the
+    rows of one delay; the RocksDB state store keeps it out of the heap.
+    """
+    waiting = (
+        stream.filter("date_diagnosed is not null")
+        .withWatermark("date_diagnosed", delay)
+        .groupBy("date_diagnosed", "source", "verdict", "id")
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        # read from a table, so that the state is passed over once
+        released = durable(batch.filter("id is not null"), "released")
+        if not released.isEmpty():
+            _extend_sequences(released, root, batch_id)
+
+    return run_batches(waiting, work, f"{root}/checkpoint")
+
+
+def _extend_sequences(batch: DataFrame, root: str, batch_id: int) -> None:
+    """Add the lengths and first positions of a batch's rows, in order of date, to those
+    of the batches before."""
+    spark = batch.sparkSession
+    ranked = rank_within(
+        batch.select("source", "verdict", "date_diagnosed", "id"),
+        ["source"],
+        [F.col("date_diagnosed"), F.col("id")],
+    )
+    before = (
+        batches_before(spark, f"{root}/counts", _COUNTS, batch_id)
+        .groupBy(F.col("source").alias("_source"))
+        .agg(F.sum("n").alias("n"))
+    )
+    # both aggregates combine before the shuffle
+    firsts = (
+        ranked.groupBy("source", "verdict")
+        .agg(F.min("pos").alias("first"))
+        .join(before, F.col("source").eqNullSafe(F.col("_source")), "left")
+        .select("source", "verdict", (F.col("first") + F.coalesce("n", F.lit(0))).alias("first"))
+    )
+    put_batch(firsts, f"{root}/firsts", batch_id)
+    put_batch(
+        batch.groupBy("source").agg(F.count(F.lit(1)).alias("n")), f"{root}/counts", batch_id
+    )
 
 
 def stability_written(spark: SparkSession, root: str, streak: int = DIAGNOSIS_STREAK) -> DataFrame:
@@ -227,9 +259,11 @@ def stability_written(spark: SparkSession, root: str, streak: int = DIAGNOSIS_ST
         .groupBy("source", "verdict")
         .agg(F.min("first").alias("first"))
     )
-    last = (
-        batches_before(spark, f"{root}/counts", _COUNTS)
-        .groupBy("source")
-        .agg(F.sum("n").alias("last"))
-    )
+    last = lengths_written(spark, root).withColumnRenamed("n", "last")
     return cut_of_firsts(firsts, last, streak, ("source",))
+
+
+def lengths_written(spark: SparkSession, root: str) -> DataFrame:
+    """Length of each source's sequence so far: (source, n)."""
+    rows = batches_before(spark, f"{root}/counts", _COUNTS)
+    return rows.groupBy("source").agg(F.sum("n").alias("n"))

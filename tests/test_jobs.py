@@ -1,6 +1,7 @@
 """Reviews, classification, upserts, and repeatability of jobs."""
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -369,3 +370,36 @@ def test_missing_scores_count_and_null_scores_do_not(spark):
     )
     got = {r.company_b: r.score for r in accepted_scores(items, chunks).collect()}
     assert got == {"a": 0.0, "c": 0.4}
+
+
+def test_reviews_by_date_survive_restarts_late_rows_and_copies(spark, tmp_path):
+    """Rows wait for their place by date; late ones drop out, copies count once."""
+    schema = "id long, source string, verdict string, date_diagnosed timestamp"
+
+    def row(id, source, verdict, day):
+        return (id, source, verdict, None if day is None else datetime(2024, 1, day))
+
+    waves = [
+        [row(1, "a", "ok", 1), row(2, "a", "ok", 3), row(3, "a", "bad", 10), row(4, None, "ok", 4)],
+        # after day 10 all up to day 8 is late
+        [row(5, "a", "slow", 9), row(6, "a", "gone", 2), row(7, "a", "edge", 8), row(3, "a", "bad", 10)],
+        [row(8, "a", "none", None), row(9, "b", "ok", 11)],
+        [row(None, None, None, 31)],
+    ]
+    path, root = str(tmp_path / "in"), str(tmp_path / "out")
+    for wave in waves:
+        df = spark.createDataFrame(wave, schema).coalesce(1)
+        df.write.mode("append").parquet(path)
+        stream = J.file_stream(spark, path, df.schema)
+        J.running_stability_by_date(stream, root, "2 days").awaitTermination()
+    firsts = J.batches_before(spark, f"{root}/firsts", J._FIRSTS).groupBy("source", "verdict").agg(
+        F.min("first")
+    )
+    assert {tuple(r) for r in firsts.collect()} == {
+        ("a", "ok", 1), ("a", "slow", 3), ("a", "bad", 4), ("b", "ok", 1), (None, "ok", 1),
+    }
+    assert {tuple(r) for r in J.lengths_written(spark, root).collect()} == {
+        ("a", 4), ("b", 1), (None, 1),
+    }
+    cuts = {r.source: r.cut for r in J.stability_written(spark, root, 2).collect()}
+    assert cuts == {"a": None, "b": None, None: None}
