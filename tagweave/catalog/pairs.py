@@ -17,6 +17,8 @@ from tagweave.operators.cosine import similar_texts
 from tagweave.operators.similarity import similar_pairs
 from tagweave.operators.substring import build_index, first_matches, search_many
 from tagweave.plans import match as M
+from tagweave.schemas import COMPANY, EDGE
+from tagweave.sources import parts
 from tagweave.sources import readers as R
 
 
@@ -485,16 +487,16 @@ _REPLAY = f"""batch as (select *, row_number() over (order by pos) as k from ({_
     applied as (select b.*, r.hit, r.action from batch b join replay r using (k))"""
 
 
-@query(
-    "s11_upsert",
-    f"""with recursive {_REPLAY},
+_UPSERTED = f"""with recursive {_REPLAY},
     last as (select hit as id, arg_max(name, pos) as name, arg_max(website, pos) as website,
                 arg_max(description, pos) as description from applied group by hit)
     select id, coalesce(l.name, c.name) as name, coalesce(l.website, c.website) as website,
         coalesce(l.description, c.description) as description, country,
         array_to_string(sectors, '|') as sectors, coalesce(taxonomy_version, 'v2') as taxonomy_version
-    from f_company c full join last l using (id)""",
-)
+    from f_company c full join last l using (id)"""
+
+
+@query("s11_upsert", _UPSERTED)
 def s11(spark, d):
     from tagweave.sources.writers import upsert_companies
 
@@ -504,6 +506,23 @@ def s11(spark, d):
     )
 
 
+def _rows_per_part(df) -> int:
+    """Ranges of ids for a table of some 64 folders."""
+    return df.agg(F.max("id")).first()[0] // 64 + 1
+
+
+@query("s11_upsert_parts", _UPSERTED)
+def s11_parts(spark, d):
+    """The upsert into a table in folders by id, of which the touched ones are rewritten."""
+    path, stored = fresh_path(spark, "company-parts"), fx.company(spark, d)
+    rows = _rows_per_part(stored)
+    parts.write_parts(stored, path, rows)
+    parts.upsert_parts(spark, path, upsert_batch(spark, d), rows)
+    return parts.read_parts(spark, path, COMPANY).select(
+        "id", "name", "website", "description", "country", "sectors", "taxonomy_version"
+    )
+
+
 @query(
     "s11_upsert_actions",
     f"with recursive {_REPLAY} select pos, name, action from applied",
@@ -527,6 +546,21 @@ def s12(spark, d):
     return update_by_key(fx.edge(spark, d), changes, ["id"], ["active"]).select("id", "active")
 
 
+@query(
+    "s12_update_parts",
+    """select e.id, case when k.id is not null then false else e.active end as active
+       from f_edge e left join (select id from f_known where id % 3 = 0) k on k.id = e.id""",
+)
+def s12_parts(spark, d):
+    """A third of the known edges set inactive in a table in folders by id."""
+    path, stored = fresh_path(spark, "edge-parts"), fx.edge(spark, d)
+    rows = _rows_per_part(stored)
+    parts.write_parts(stored, path, rows)
+    changes = fx.known_edge(spark, d).filter("id % 3 = 0").select("id", F.lit(False).alias("active"))
+    parts.update_parts(spark, path, changes, ["active"], EDGE, rows)
+    return parts.read_parts(spark, path, EDGE).select("id", "active")
+
+
 def _verdicts(spark, d):
     """Validator replies for known edges: a competitor if the score is high."""
     return fx.known_edge(spark, d).select(

@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from tagweave.operators import audit as A
 from tagweave.operators import edges as E
 from tagweave.operators import reviews as R
 from tagweave.operators.taxonomy import TagRules, classify
+from tagweave.sources import parts
 from tagweave.sources.readers import read_edges
 from tagweave.sources.writers import upsert_changes, upsert_companies, upsert_entities
 from tagweave.streaming import jobs as J
@@ -403,3 +405,39 @@ def test_reviews_by_date_survive_restarts_late_rows_and_copies(spark, tmp_path):
     }
     cuts = {r.source: r.cut for r in J.stability_written(spark, root, 2).collect()}
     assert cuts == {"a": None, "b": None, None: None}
+
+
+def test_only_touched_folders_are_rewritten(spark, tmp_path):
+    """Folders without a changed row keep their files; new ids open new folders."""
+    path = str(tmp_path / "companies")
+    stored = fx_company(spark, [(i, f"c{i}", None, "d", "v1") for i in range(100)])
+    parts.write_parts(stored, path, 10)
+
+    def files():
+        return {f.parent.name: {f.name for f in f.parent.glob("*.parquet")} for f in Path(path).glob("part=*/*.parquet")}
+
+    before = files()
+    batch = spark.createDataFrame(
+        [(1, "c42", "new"), (2, "c45", "newer"), (3, "d", "fresh")],
+        "pos long, name string, description string",
+    )
+    actions, touched = parts.upsert_parts(spark, path, batch, 10)
+    after = files()
+    assert touched == [4, 10]
+    assert {k for k in after if before.get(k) != after[k]} == {"part=4", "part=10"}
+    assert {(r.name, r.action, r.id) for r in actions.collect()} == {
+        ("c42", "updated", 42), ("c45", "updated", 45), ("d", "saved", 100),
+    }
+    expected, _ = upsert_companies(stored, batch)
+    got = parts.read_parts(spark, path, stored.schema).drop("part")
+    assert got.exceptAll(expected).count() == expected.exceptAll(got).count() == 0
+    # a second run of the same rows, as after a break, leaves the same table
+    parts.upsert_parts(spark, path, batch, 10)
+    again = parts.read_parts(spark, path, stored.schema).drop("part")
+    assert again.exceptAll(expected).count() == expected.exceptAll(again).count() == 0
+    # an update reads its folders only, and unknown ids change nothing
+    changes = spark.createDataFrame([(7, "x"), (999, "y")], "id long, country string")
+    assert parts.update_parts(spark, path, changes, ["country"], stored.schema, 10) == [0]
+    rows = parts.read_parts(spark, path, stored.schema).filter("country is not null").collect()
+    assert [(r.id, r.country) for r in rows] == [(7, "x")]
+    assert parts.replace_rows(spark, path, expected.limit(0), stored.schema, 10) == []
