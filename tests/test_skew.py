@@ -107,3 +107,19 @@ def test_two_hop_splits_hubs(spark, companies):
     one = two_hop_candidates(companies, edges).select("company_a", "company_b")
     assert few.exceptAll(one).count() == one.exceptAll(few).count() == 0
     assert one.count() > 0
+
+
+def test_ranked_tags_need_no_shuffle_after_that_by_customer(spark):
+    from tagweave import fixtures as fx
+
+    rows = spark.createDataFrame(
+        [(1, "t", "b1", "S0", 2.0), (1, "t", "b2", "S1", 3.0), (1, "u", "b2", None, 9.0), (2, None, "b1", "S0", 1.0)],
+        "id long, p_type string, p_brand string, size string, q double",
+    ).repartition("id")
+    tags = fx._ranked_tags(rows)
+    assert [tuple(r) for r in tags.orderBy("id").collect()] == [
+        (1, ["u", "t"], ["b2", "b1"], [None, "S1", "S0"]),
+        (2, [None], ["b1"], ["S0"]),
+    ]
+    assert tags._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
+    assert tags._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
