@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 from tagweave.dataflow import pair_join, rank_within
 from tagweave.functions.tags import jaccard, lenient_match, overlap
-from tagweave.operators.overlap import overlap_candidates, two_hop_candidates
+from tagweave.operators.overlap import (
+    candidate_counts,
+    overlap_candidates,
+    sweep_candidates,
+    two_hop_candidates,
+)
 from tagweave.operators.similarity import similar_pairs
 
 
@@ -109,6 +114,49 @@ def test_two_hop_splits_hubs(spark, companies):
     assert one.count() > 0
 
 
+def _tagged(spark, rows):
+    return spark.createDataFrame(
+        rows, "id long, name string, sectors array<string>, subsectors array<string>, sub_subsectors array<string>"
+    )
+
+
+_ODD = [
+    (1, "a", ["x"], ["s", "t"], []),
+    (2, "b", ["x"], ["s", "t"], ["d"]),
+    (3, "b", ["x"], ["s"], ["e"]),
+    (4, None, ["x"], ["s", "t"], []),
+    (5, "c", ["x", None], ["s", "t"], []),
+    (6, "d", ["x", None], ["s", "t", None], ["d"]),
+    (7, "e", [None], [None], []),
+    (8, "f", None, None, None),
+    (9, "g", ["y"], ["t", "s"], []),
+]
+
+
+def test_graph_edges_equal_filtered_scored_pairs(spark, monkeypatch):
+    from tagweave import fixtures as fx
+
+    monkeypatch.setattr(fx, "company", lambda spark, d: _tagged(spark, _ODD))
+    fx_rows = lambda df: sorted(map(repr, df.collect()))
+    strong = fx.edge_base.__wrapped__(spark, "odd").filter(F.col("score") >= fx.MIN_GRAPH_EDGE)
+    found = fx.graph_base.__wrapped__(spark, "odd")
+    assert fx_rows(found) == fx_rows(strong.select(*found.columns))
+    assert found.count() > 5
+
+
+def test_work_estimate_counts_as_many_as_the_sweep_forms(spark):
+    companies = _tagged(spark, _ODD)
+    edges = spark.createDataFrame(
+        [("a", "b"), ("b", "a"), ("c", "a"), ("a", "nobody"), ("a", "g"), (None, "a")],
+        "company_a string, company_b string",
+    )
+    for probe in (None, companies.filter("id in (1, 2, 5)")):
+        counts = candidate_counts(companies, edges, probe, block_rows=2)
+        pairs = sweep_candidates(companies, edges, probe).groupBy("company_a").count()
+        assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, pairs.collect()))
+        assert "LeftAnti" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_ranked_tags_need_no_shuffle_after_that_by_customer(spark):
     from tagweave import fixtures as fx
 
