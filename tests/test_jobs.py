@@ -85,6 +85,37 @@ def test_refused_requests_answer_nothing(spark, taxonomy):
     assert got == {"ok", "all"}
 
 
+def test_a_question_of_many_requests_is_answered_once(spark, taxonomy):
+    stored = spark.createDataFrame(
+        [(i, "scraping_diagnostic", "example.com") for i in range(30)]
+        + [(50, "taxonomy_split", "IAM / PAM"), (51, "redundant_uncategorized_cleanup", "Acme")],
+        "id long, review_type string, subject string",
+    )
+    requests = spark.createDataFrame(
+        [(f"page {i}", "scraping_diagnostic", f"https://www.example.com/{i}") for i in range(40)]
+        + [
+            ("bad type", "nope", None),
+            ("all", "taxonomy_split", None),
+            ("again", "taxonomy_split", None),
+            ("one", "taxonomy_split", "IAM / PAM"),
+            ("one", "taxonomy_split", "IAM / PAM"),
+            ("plain", "redundant_uncategorized_cleanup", "Acme"),
+            ("blanks", "redundant_uncategorized_cleanup", " Acme "),
+            (None, "redundant_uncategorized_cleanup", "Acme"),
+            ("unknown", "scraping_diagnostic", "https://elsewhere.example.org/"),
+        ],
+        "request_id string, review_type string, subject string",
+    )
+    questions, asked = R.distinct_questions(requests, taxonomy)
+    assert questions.count() == 5
+    answers = R.query_reviews(stored, questions, taxonomy).select(F.col("request_id").alias("question"), "id")
+    assert answers.count() == 30 + 1 + 1 + 1
+    expected = R.query_reviews(stored, requests, taxonomy).select("request_id", "id")
+    got = asked.join(answers, "question").select("request_id", "id")
+    assert got.exceptAll(expected).count() == expected.exceptAll(got).count() == 0
+    assert got.count() == 40 * 30 + 2 + 2 + 3
+
+
 def _predict(spark, sectors, subs, deep=()):
     rows = [(1, "sector", None, None, s, i + 1, 0.9) for i, s in enumerate(sectors)]
     rows += [(1, "subsector", sec, None, lab, i + 1, c) for i, (sec, lab, c) in enumerate(subs)]
