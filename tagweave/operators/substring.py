@@ -1,4 +1,4 @@
-"""Substring search for many texts at once, by an inverted index of character trigrams."""
+"""Substring search for many texts at once, by an inverted index of short runs of characters."""
 
 from __future__ import annotations
 
@@ -10,67 +10,71 @@ from pyspark.sql import functions as F
 
 from tagweave.dataflow import durable
 
-# folders of the postings; a search reads those of its trigrams
+# folders of the postings; a search reads those of its runs
 SLOTS = 256
-# the rarest trigrams of a query whose postings are met; the rest is left to the check
+# characters of an indexed run; a query up to that length is the beginning of a run
+RUN = 6
+# the rarest runs of a longer query whose postings are met; the rest is left to the check
 RAREST = 3
 SHORTEST = 2
-_END = "\u0001"
 
 
 def _grams(text: Column, last: Column) -> Column:
-    """Distinct runs of three characters that start at 1 to ``last``."""
-    every = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(3)))
+    """Distinct runs that start at 1 to ``last``."""
+    every = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(RUN)))
     return F.when(last >= 1, F.array_distinct(every))
 
 
-def _slot(head: str) -> Column:
-    return F.pmod(F.xxhash64(head), F.lit(SLOTS)).cast("int").alias("slot")
+def _slot(gram: str) -> Column:
+    """The folder of a run, by its first two characters."""
+    return F.pmod(F.xxhash64(F.substring(gram, 1, SHORTEST)), F.lit(SLOTS)).cast("int").alias("slot")
 
 
 def build_index(rows: DataFrame, fields: Sequence[str], path: str) -> None:
-    """Write the index of ``fields`` of ``rows`` (id unique): postings (slot, head, gram,
-    field, id), foldered by slot and sorted by trigram, and each trigram's row count.
+    """Write the index of ``fields`` of ``rows`` (id unique): postings (slot, gram, field,
+    id), foldered by slot and sorted by run, and each run's row count.
 
-    An end mark follows each text, so that two characters are always the head of a
-    trigram. Null texts and those of one character have no postings: nothing finds them.
+    A run starts at every character but the last, and is shorter at the end of a text. Null
+    texts and those of one character have no postings: nothing finds them.
     """
-    texts = rows.select(
+    # a small table has many runs, so its rows are dealt over the tasks first
+    texts = rows.select("id", *fields).repartition("id").select(
         "id",
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("field"), F.lower(c).alias("text")) for c in fields])
         ).alias("_t"),
     ).select("id", "_t.*")
-    marked = F.concat("text", F.lit(_END))
     grams = texts.select(
-        "id", "field", F.explode(_grams(marked, F.length("text") - 1)).alias("gram")
-    ).withColumn("head", F.substring("gram", 1, 2))
-    # a range of (slot, gram) is one task's, however many rows a trigram has
-    placed = grams.withColumn("slot", _slot("head")).repartitionByRange("slot", "gram", "id")
+        "id", "field", F.explode(_grams(F.col("text"), F.length("text") - 1)).alias("gram")
+    )
+    # a range of (slot, gram) is one task's, however many rows a run has
+    placed = grams.withColumn("slot", _slot("gram")).repartitionByRange("slot", "gram", "id")
     placed.sortWithinPartitions("slot", "gram").write.partitionBy("slot").parquet(f"{path}/postings")
     postings = rows.sparkSession.read.parquet(f"{path}/postings")
     postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/counts")
 
 
 def _asked(queries: DataFrame, counts: DataFrame) -> DataFrame:
-    """(query, slot, head, gram, need): the trigrams to meet for each query, and how many
-    there are; gram is null for a query of two characters. A query with a trigram that no
-    text has is left out."""
+    """(query, slot, size, gram, need): the first ``size`` characters to meet for each query,
+    a whole run if it is longer than that, and how many there are. A longer query with a run
+    that no text has is left out."""
     texts = queries.select(F.lower(F.trim("query")).alias("query")).distinct()
     size = F.length("query")
-    long = texts.filter(size > SHORTEST).select("query", F.explode(_grams(F.col("query"), size - 2)).alias("gram"))
+    long = texts.filter(size > RUN).select(
+        "query", F.explode(_grams(F.col("query"), size - RUN + 1)).alias("gram")
+    )
     rank = F.row_number().over(W.partitionBy("query").orderBy("n", "gram"))
     ranked = long.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("_rank", rank)
     kept = ranked.filter(F.col("_rank") <= RAREST)
-    # the rarest one comes first, so an unknown trigram is always among these
+    # the rarest one comes first, so an unknown run is always among these
     needs = kept.groupBy("query").agg(F.count(F.lit(1)).alias("need"), F.min("n").alias("_least"))
     parts = kept.join(needs.filter("_least > 0"), "query").select(
-        "query", F.substring("gram", 1, 2).alias("head"), "gram", "need"
+        "query", F.lit(RUN).alias("size"), "gram", "need"
     )
-    short = texts.filter(size == SHORTEST).select(
-        "query", F.col("query").alias("head"), F.lit(None).cast("string").alias("gram"), F.lit(1).cast("long").alias("need")
+    short = texts.filter(size.between(SHORTEST, RUN)).select(
+        "query", size.alias("size"), F.col("query").alias("gram"), F.lit(1).cast("long").alias("need")
     )
-    return parts.unionByName(short).withColumn("slot", _slot("head"))
+    return parts.unionByName(short).withColumn("slot", _slot("gram"))
 
 
 def matching_postings(path: str, asked: DataFrame) -> DataFrame:
@@ -81,27 +85,40 @@ def matching_postings(path: str, asked: DataFrame) -> DataFrame:
     return postings.filter(F.col("slot").isin(slots))
 
 
+def met_postings(path: str, asked: DataFrame) -> DataFrame:
+    """The postings that begin as an asked run, with the query that asks: (query, need, field,
+    id, gram). A query meets the texts that hold the run and no others."""
+    # at most RUN values
+    sizes = [F.lit(r["size"]) for r in asked.select("size").distinct().collect()]
+    return (
+        matching_postings(path, asked)
+        .withColumn("size", F.explode(F.array(*sizes).cast("array<int>")))
+        .withColumn("gram", F.substring("gram", F.lit(1), F.col("size")))
+        .join(asked, ["slot", "size", "gram"])
+        .select("query", "need", "field", "id", "gram")
+    )
+
+
 def search_many(path: str, rows: DataFrame, queries: DataFrame, fields: Sequence[str]) -> DataFrame:
     """(query, and the columns of ``rows``): the rows with the query, trimmed and whatever
     its case, in one of ``fields``. ``path`` is the index of these rows.
 
     Queries under two characters or null find nothing; repeated ones count once. Rows that hold a
-    query's rarest trigrams in one field are fetched and checked against its whole text.
+    query's rarest runs in one field are fetched and checked against its whole text.
     """
     spark = rows.sparkSession
     asked = durable(_asked(queries, spark.read.parquet(f"{path}/counts")), "search-asked")
-    postings = matching_postings(path, asked)
-    by_gram = (
-        postings.join(asked.filter("gram is not null").select("slot", "gram", "query", "need"), ["slot", "gram"])
+    met = met_postings(path, asked)
+    # a query that is no longer than a run is met by its own rows only
+    whole = met.filter("need = 1").select("query", "id")
+    in_parts = (
+        met.filter("need > 1")
         .groupBy("query", "need", "field", "id")
-        .agg(F.count(F.lit(1)).alias("met"))
+        .agg(F.count_distinct("gram").alias("met"))
         .filter("met = need")
         .select("query", "id")
     )
-    by_head = postings.join(asked.filter("gram is null").select("slot", "head", "query"), ["slot", "head"]).select(
-        "query", "id"
-    )
-    found = by_gram.unionByName(by_head).distinct().join(rows, "id")
+    found = whole.unionByName(in_parts).distinct().join(rows, "id")
     within = F.lit(False)
     for c in fields:
         within = within | F.coalesce(F.contains(F.lower(c), F.col("query")), F.lit(False))

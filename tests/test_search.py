@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 from tagweave.operators import pages as P
 from tagweave.operators.cosine import candidate_pairs, similar_texts, vector_prefixes
 from tagweave.operators.scoring import term_weights
-from tagweave.operators.substring import build_index, matching_postings, search_many
+from tagweave.operators.substring import (
+    _asked,
+    build_index,
+    matching_postings,
+    met_postings,
+    search_many,
+)
 
 ROWS = [
     (1, "Acme Labs", "https://acme.example.org"),
@@ -51,6 +57,36 @@ def test_search_reads_the_asked_folders_only(spark, tmp_path):
     assert 0 < postings.count() + 1 < everything / 20
 
 
+def test_a_search_meets_its_own_rows_only(spark, tmp_path):
+    """Numbered names share their runs of zeros: those once met each query with such a run."""
+    names = [(i, f"Customer#{i * 7:09d}") for i in range(3000)]
+    rows = spark.createDataFrame(names, "id long, name string")
+    path = str(tmp_path / "index")
+    build_index(rows, ["name"], path)
+    texts = [f"{n:04d}" for n in range(0, 10000, 3)]
+    queries = spark.createDataFrame([(t,) for t in texts], "query string")
+    met = met_postings(path, _asked(queries, spark.read.parquet(f"{path}/counts")))
+    held = Counter(n[i : i + 4] for _, n in names for i in range(len(n) - 3))
+    assert met.count() <= sum(held[t] for t in texts)
+    found = search_many(path, rows, queries, ["name"])
+    assert found.count() == sum(len({n for _, n in names if t in n}) for t in texts if held[t])
+
+
+def test_searches_of_any_length_equal_the_scan(spark, tmp_path):
+    pick = random.Random(3)
+    texts = ["".join(pick.choices("ab0", k=pick.randrange(0, 14))) for _ in range(150)]
+    # rows may share an id
+    stored = [(i // 2, t if i % 9 else None) for i, t in enumerate(texts)]
+    rows = spark.createDataFrame(stored, "id long, name string")
+    path = str(tmp_path / "index")
+    build_index(rows, ["name"], path)
+    asked = {"".join(pick.choices("ab0", k=pick.randrange(2, 11))) for _ in range(300)} | set(texts[1:9])
+    queries = spark.createDataFrame([(t,) for t in asked], "query string")
+    got = Counter((r.query, r.id, r.name) for r in search_many(path, rows, queries, ["name"]).collect())
+    expected = Counter((t, i, n) for t in asked if len(t) >= 2 for i, n in stored if n and t in n)
+    assert got == expected
+
+
 def _cosines(texts):
     words = {i: Counter(w for w in re.split(r"[^a-z]+", t.lower()) if w) for i, t in texts if t is not None}
     df = Counter(w for c in words.values() for w in c)
