@@ -13,6 +13,7 @@ from tagweave.operators.overlap import (
     overlap_candidates,
     sweep_candidates,
     two_hop_candidates,
+    without_linked,
 )
 from tagweave.operators.similarity import similar_pairs
 
@@ -157,6 +158,25 @@ def test_work_estimate_counts_as_many_as_the_sweep_forms(spark):
         assert "LeftAnti" not in counts._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("block_rows", [2, 1000])
+def test_known_pairs_are_left_out_where_pairs_form(spark, block_rows):
+    """Also where names or ids repeat, and without a shuffle of the pairs."""
+    rows = [*_ODD, *_ODD[:4], (20, "a", ["x"], ["s"], []), (9, "h", ["x"], ["s"], [])]
+    companies = _tagged(spark, rows)
+    edges = spark.createDataFrame(
+        [("a", "b"), ("b", "a"), ("c", "a"), ("a", "nobody"), ("g", "h"), (None, "a"), ("d", "d")],
+        "company_a string, company_b string",
+    )
+    for probe in (None, companies.filter("id in (1, 2, 5, 20)")):
+        every = overlap_candidates(companies, probe, ordered=True)
+        got = sweep_candidates(companies, edges, probe, block_rows=block_rows)
+        plain = without_linked(every, edges).select(*got.columns)
+        assert got.exceptAll(plain).count() == plain.exceptAll(got).count() == 0
+        assert 0 < got.count() < every.count()
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" not in plan
+
+
 def test_ranked_tags_need_no_shuffle_after_that_by_customer(spark):
     from tagweave import fixtures as fx
 
