@@ -191,3 +191,54 @@ def test_ranked_tags_need_no_shuffle_after_that_by_customer(spark):
     ]
     assert tags._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
     assert tags._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+@pytest.fixture(scope="module")
+def odd_companies(spark):
+    """Companies with null tags, rows that come twice and names that two ids share."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(150):
+        rows.append(
+            (
+                i,
+                f"c{i % 140:04d}" if i % 9 else f"c{i:04d}",
+                rng.sample(["A", "B", None], rng.randint(1, 2)),
+                rng.sample(["hot", "x", "y", None], rng.randint(0, 3)),
+                rng.sample(["s0", "s1"], rng.randint(0, 2)),
+            )
+        )
+    return _tagged(spark, rows + rows[::40]).cache()
+
+
+def _same_rows(a, b):
+    assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize("list_rows", [0, 3, 256])
+def test_members_of_signatures_from_lists_and_rows(odd_companies, list_rows):
+    brute = _brute(odd_companies).select(
+        "id_a", "id_b",
+        jaccard(
+            F.concat("sectors_a", "subsectors_a"), F.concat("sectors_b", "subsectors_b")
+        ).alias("score"),
+    )
+    got = similar_pairs(odd_companies, 1e-12, False, count_nulls=True, list_rows=list_rows)
+    got = got.filter("company_a < company_b").select("id_a", "id_b", "score")
+    assert got.count() > 0
+    _same_rows(got, brute)
+
+
+def test_company_pairs_are_not_shuffled(companies, monkeypatch):
+    """Pairs of companies come from lists; only signatures meet by tags."""
+    from tagweave.operators import similarity
+
+    met = []
+
+    def joined(left, right, keys, *rest):
+        met.append(keys)
+        return pair_join(left, right, keys, *rest)
+
+    monkeypatch.setattr(similarity, "pair_join", joined)
+    assert similar_pairs(companies, 0.5).count() > 0
+    assert met == [["sector_key", "tag"]]
