@@ -242,3 +242,37 @@ def test_company_pairs_are_not_shuffled(companies, monkeypatch):
     monkeypatch.setattr(similarity, "pair_join", joined)
     assert similar_pairs(companies, 0.5).count() > 0
     assert met == [["sector_key", "tag"]]
+
+
+def test_two_hop_among_wanted_pairs(spark, odd_companies):
+    links = [("c0000", f"c{i:04d}") for i in range(1, 60)] + [("c0070", "c0071"), ("c0071", "c0072")]
+    edges = spark.createDataFrame(links, "company_a string, company_b string")
+    every = two_hop_candidates(odd_companies, edges, keep_tags=True)
+    wanted = spark.createDataFrame(
+        [(a, b) for a in range(150) for b in range(0, 150, 3)], "id_a long, id_b long"
+    )
+    few = two_hop_candidates(odd_companies, edges, keep_tags=True, among=wanted)
+    assert few.count() > 0
+    _same_rows(few, every.filter("id_b % 3 = 0").select(*few.columns))
+
+
+def test_new_companies_form_no_paths_of_weak_pairs(spark, companies, monkeypatch):
+    """The built-in scorer looks paths up for pairs that reach the threshold, and finds what
+    it finds when all paths are scored."""
+    from tagweave.operators import overlap as O
+    from tagweave.operators.scoring import jaccard_scorer
+    from tagweave.plans.match import match_new
+
+    new = companies.filter("id % 7 = 0")
+    links = [(f"c{i:04d}", f"c{(i * 5 + 1) % 240:04d}") for i in range(0, 240, 2)]
+    edges = spark.createDataFrame(links, "company_a string, company_b string")
+    every = match_new(new, companies, edges, jaccard_scorer, 0.6).cache()
+
+    def by_pairs(left, right, keys, *rest, **named):
+        assert "hub" not in keys
+        return pair_join(left, right, keys, *rest, **named)
+
+    monkeypatch.setattr(O, "pair_join", by_pairs)
+    got = match_new(new, companies, edges, threshold=0.6).cache()
+    assert got.count() > 0
+    _same_rows(got, every)
