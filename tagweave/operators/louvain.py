@@ -50,11 +50,13 @@ def _spread(edges: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
     return durable(salted, "louvain-edges"), nodes
 
 
-def _labelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Edges with the community of both ends. ``labels`` is (node, salts, k, comm)."""
+def _labelled(
+    edges: DataFrame, labels: DataFrame, ends: tuple[str, ...] = ("src", "dst")
+) -> DataFrame:
+    """Edges with the community of their ends. ``labels`` is (node, salts, k, comm)."""
     spread = labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     out = edges
-    for end in ("src", "dst"):
+    for end in ends:
         out = out.join(
             spread.select(
                 F.col("node").alias(end), F.col("salt").alias(f"{end}_salt"),
@@ -69,7 +71,7 @@ def _wanted(
     labelled: DataFrame, labels: DataFrame, total: float, resolution: float
 ) -> DataFrame:
     """(node, k, own, to, rise): the best move of each node that has a gaining one, to a
-    neighbouring community or alone."""
+    neighbouring community or alone. Of ``labelled`` the communities of dst are needed."""
     totals = labels.groupBy("comm").agg(F.sum("k").alias("tot"))
     near = (
         labelled.filter(F.col("src") != F.col("dst"))
@@ -157,7 +159,7 @@ def _local_moves(
     moved = False
     while True:
         wanted = durable(
-            _wanted(_labelled(salted, labels), labels, total, resolution), "louvain-wanted"
+            _wanted(_labelled(salted, labels, ("dst",)), labels, total, resolution), "louvain-wanted"
         )
         if wanted.isEmpty():
             return labels, moved

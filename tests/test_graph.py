@@ -224,3 +224,14 @@ def test_louvain_ends_where_no_move_gains(spark, seed):
     assert plain.modularity(label) >= plain.modularity(plain.sequential()) - 0.02
     found = spark.createDataFrame(list(label.items()), "name string, label long")
     assert modularity(graph, found).first()[0] == pytest.approx(plain.modularity(label))
+
+
+def test_louvain_moves_need_one_end_of_links(spark):
+    from tagweave.operators.louvain import _labelled, _spread
+
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "src long, dst long, w double")
+    salted, nodes = _spread(edges, 10)
+    labels = nodes.selectExpr("*", "node as comm")
+    one = _labelled(salted, labels, ("dst",))
+    assert "src_comm" not in one.columns
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
