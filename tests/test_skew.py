@@ -83,6 +83,26 @@ def test_overlap_candidates_match_brute_force(companies, block_rows):
     assert got.select("id_a", "id_b").exceptAll(brute.select("id_a", "id_b")).count() == 0
 
 
+def test_equal_tags_meet_once_and_hot_keys_are_split_by_companies(companies, monkeypatch):
+    """80 companies with equal tags are one row of the join, which weighs as many."""
+    from tagweave import dataflow
+    from tagweave.operators import overlap as O
+
+    seen = []
+
+    def spied(left, right, keys, left_id, right_id, block_rows, weights):
+        seen.append(left)
+        hot = dataflow._hot_keys([left, right], keys, block_rows, weights)
+        seen.append(hot and hot.count())
+        return pair_join(left, right, keys, left_id, right_id, block_rows, weights=weights)
+
+    monkeypatch.setattr(O, "pair_join", spied)
+    got = overlap_candidates(companies, ordered=True, block_rows=70)
+    brute = _brute(companies).filter(lenient_match("sub_subsectors_a", "sub_subsectors_b"))
+    assert got.count() == brute.count()
+    assert seen[0].filter("n_a >= 80").count() == 1 and seen[1] > 0
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.6, 0.85, 1.0])
 @pytest.mark.parametrize("lenient", [True, False])
 def test_similar_pairs_match_brute_force(companies, threshold, lenient):
