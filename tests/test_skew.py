@@ -103,6 +103,29 @@ def test_equal_tags_meet_once_and_hot_keys_are_split_by_companies(companies, mon
     assert seen[0].filter("n_a >= 80").count() == 1 and seen[1] > 0
 
 
+@pytest.mark.parametrize("twice", [False, True])
+def test_listed_candidates_are_numbered_like_pairs(companies, monkeypatch, twice):
+    """Lists in several ranges, parts and copies; rows of one name share their numbering."""
+    from tagweave.operators import overlap as O
+    from tagweave.operators.scoring import chunked
+
+    monkeypatch.setattr(O, "LIST_RANGE", 50)
+    monkeypatch.setattr(O, "LIST_ROWS", 7)
+    monkeypatch.setattr(O, "LIST_READERS", 9)
+    if twice:
+        other = companies.filter("id % 40 < 5").withColumn("id", F.col("id") + 1000)
+        null = companies.limit(3).withColumns({"id": F.col("id") + 2000, "name": F.lit(None)})
+        companies = companies.unionByName(other.withColumn("subsectors", F.array(F.lit("x"))))
+        companies = companies.unionByName(null.withColumn("name", F.col("name").cast("string")))
+    cols = ["company_a", "company_b", "pos", "chunk"]
+    plain = chunked(overlap_candidates(companies).select("company_a", "company_b")).select(*cols)
+    listed = overlap_candidates(companies, listed=True)
+    got = chunked(listed).select(*cols)
+    assert listed.filter("size(others) > 50").isEmpty()
+    assert got.count() == plain.count() > 0
+    assert got.exceptAll(plain).count() == plain.exceptAll(got).count() == 0
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.6, 0.85, 1.0])
 @pytest.mark.parametrize("lenient", [True, False])
 def test_similar_pairs_match_brute_force(companies, threshold, lenient):
