@@ -235,3 +235,17 @@ def test_louvain_moves_need_one_end_of_links(spark):
     one = _labelled(salted, labels, ("dst",))
     assert "src_comm" not in one.columns
     assert one._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_dangling_edges_go_by_the_names_no_company_has(spark):
+    from tagweave.operators.edges import without_dangling
+
+    rows = [(1, "a", "b"), (2, "a", "ghost"), (3, "ghost", "b"), (4, None, "b"), (5, "a", None), (1, "a", "b"), (6, "b", "b")]
+    edges = spark.createDataFrame(rows, "id long, company_a string, company_b string")
+    companies = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "name string")
+    got = without_dangling(edges, companies)
+    assert got.columns == edges.columns
+    assert sorted(map(tuple, got.collect())) == [(1, "a", "b"), (1, "a", "b"), (6, "b", "b")]
+    # a join that keeps known names would need every edge shuffled to all the names
+    assert "LeftSemi" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert without_dangling(edges, companies.limit(0)).isEmpty()
