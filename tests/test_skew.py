@@ -319,3 +319,52 @@ def test_new_companies_form_no_paths_of_weak_pairs(spark, companies, monkeypatch
     got = match_new(new, companies, edges, threshold=0.6).cache()
     assert got.count() > 0
     _same_rows(got, every)
+
+
+def test_similar_pairs_meet_in_generated_code(companies):
+    """A function of a lambda in the join's condition would test every pair outside of it."""
+    plan = similar_pairs(companies, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and "tag_bits_a" in line]
+    assert joins and not any("lambda" in line for line in joins)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6])
+def test_rows_of_a_signature_make_no_difference(odd_companies, threshold):
+    """Also for pairs of one name, for which the name decides inside a signature only."""
+    probe = odd_companies.filter("id % 4 = 0").select("id")
+    for of in (None, probe):
+        few = similar_pairs(odd_companies, threshold, probe=of, list_rows=2)
+        _same_rows(few, similar_pairs(odd_companies, threshold, probe=of, list_rows=1000))
+        assert few.count() > 0
+
+
+def test_edges_are_formed_and_not_written(spark, monkeypatch):
+    """Of the edges only the lists that they come from are written, and stored edges that
+    come twice come from one pass over the pairs."""
+    from tagweave import fixtures as fx
+    from tagweave.operators import similarity
+
+    companies, met = _tagged(spark, [(13 * i, *r[1:]) for i, r in enumerate(_ODD)]), []
+
+    def joined(*args):
+        met.append(args[2])
+        return pair_join(*args)
+
+    def no_write(df, label):
+        raise AssertionError(f"{label} written")
+
+    monkeypatch.setattr(fx, "company", lambda spark, d: companies)
+    monkeypatch.setattr(fx, "durable", no_write)
+    monkeypatch.setattr(similarity, "pair_join", joined)
+    base = fx.graph_base(spark, "formed").collect()
+    want = []
+    for a, b, first, second, score in base:
+        for again in (False, True) if b % 13 == 0 else (False,):
+            ends = (second, first) if (b % 7 == 0) != again else (first, second)
+            end = f"Ghost#{b}" if b % 97 == 0 else ends[1]
+            want.append((a + 1000000000 * again, b, ends[0], end, score / 2 if again else score))
+    want = [(a * 1000000 + b, x, y, s, (a + b) % 10 != 0, (a + b) % 3 == 0) for a, b, x, y, s in want]
+    got = fx.messy_edge(spark, "formed")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r)[:6] for r in got.collect()) == sorted(want) and len(want) > len(base) > 5
+    assert met == [["sector_key", "tag"]] and plan.count("Union") == 0
